@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from colloquy.llm import bpe, language, lookalike, packing, pairing, splitting
+from colloquy.llm import bpe, language, lookalike, overlap, packing, pairing, splitting
 from colloquy.session import materialise
 from colloquy.sources import table
 
@@ -37,6 +38,22 @@ def p3_sample_tokens(spark: SparkSession, d: str) -> DataFrame:
     return bpe.count_tokens(table(spark, d, "processed_dataset"), ["sample_id"], "messages", messages=True)
 
 
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    found = overlap.cross_split_overlaps(table(spark, d, "processed_dataset"))
+    return found.select(F.least("train_id", "eval_id").alias("sample_id_lo"), F.greatest("train_id", "eval_id").alias("sample_id_hi"))
+
+
+def p5_report(spark: SparkSession, d: str) -> DataFrame:
+    """Overlaps by split, source and spelled language of the evaluation row: pairs, rows concerned, and all rows."""
+    samples, alias = table(spark, d, "processed_dataset"), table(spark, d, "lang_alias")
+    found = overlap.cross_split_overlaps(samples).groupBy("eval_id").agg(F.count(F.lit(1)).alias("pairs"))
+    held = samples.where("split <> 'train'").select("sample_id", "split", "source", bpe.spelled(F.col("lang")).alias("alias"))
+    rows = held.join(found, held["sample_id"] == found["eval_id"], "left")
+    partial = rows.groupBy("split", "source", "alias").agg(F.count(F.lit(1)).alias("n"), F.count("eval_id").alias("hit"), F.coalesce(F.sum("pairs"), F.lit(0)).alias("p"))
+    named = partial.join(alias.select("alias", F.col("lang").alias("lang")).dropDuplicates(["alias"]), "alias", "left")
+    return named.groupBy("split", "source", "lang").agg(F.sum("n").alias("n_rows"), F.sum("hit").alias("n_overlapping"), F.sum("p").alias("n_pairs"))
+
+
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
     return splitting.split_sides(table(spark, d, "pairs"), "pair_id").where("piece_no = 0").select("pair_id", "side")
 
@@ -69,6 +86,8 @@ QUERIES = {
     "p2_found": p2_found,
     "p3_token_budget": p3_token_budget,
     "p3_sample_tokens": p3_sample_tokens,
+    "p5_found": p5_found,
+    "p5_report": p5_report,
     "p6_found": p6_found,
     "p6_pieces": p6_pieces,
     "p7_ids": p7_ids,
