@@ -19,7 +19,10 @@ _MARKER = re.compile(r"\[\s*(?:\*\*)?/?\s*END\s*(?:\*\*)?\s*\]|<\|END_RESPONSE\|
 _WORD = re.compile(r"[^\W_]+(?:[̀-ًͯ-ٕ]+[^\W_]*)*")
 _SENTENCE = re.compile(r"(?<=[.!?؟])(?=\s)|\n")
 #: Characters that show nothing: zero-width, joiners, directional marks, soft hyphen.
-INVISIBLE = dict.fromkeys([0x00AD, 0x061C, 0x180E, 0x200B, 0x200C, 0x200D, 0x200E, 0x200F, 0x2060, 0xFEFF])
+INVISIBLE = re.compile("[\u00ad\u061c\u180e\u200b-\u200f\u2060\ufeff]")
+#: Combining marks: Latin accents, Arabic vowel signs and the like.
+MARKS = re.compile("[\u0300-\u036f\u0483-\u0489\u0591-\u05bd\u0610-\u061a\u064b-\u065f\u0670\u06d6-\u06dc\u1ab0-\u1aff\u1dc0-\u1dff\u20d0-\u20ff\ufe20-\ufe2f]+")
+_FAR_DIGITS = re.compile("[\u0660-\u0669\u06f0-\u06f9]")
 _ARABIC_DIGITS = {0x0660 + i: str(i) for i in range(10)} | {0x06F0 + i: str(i) for i in range(10)}
 
 
@@ -55,7 +58,9 @@ def turns_of(raw: str | None) -> list[tuple[str, str | None]] | None:
 def plain(text: str) -> str:
     """Text without markers, speaker labels and invisible characters, in composed form."""
     if not text.isascii():
-        text = unicodedata.normalize("NFKC", text).translate(INVISIBLE)
+        if not unicodedata.is_normalized("NFKC", text):
+            text = unicodedata.normalize("NFKC", text)
+        text = INVISIBLE.sub("", text)
     if "[" in text or "<" in text or "*" in text:
         text = _MARKER.sub(" ", text)
     if ":" in text:
@@ -69,12 +74,11 @@ def fold(text: str) -> str:
     Spelled-out umlauts (``ae oe ue``) fold to the plain vowel too, so all writing habits of a word meet in one form.
     """
     text = text.lower()
-    if text.isascii():
-        folded = text
-    else:
-        folded = "".join(c for c in unicodedata.normalize("NFKD", text) if not unicodedata.combining(c))
-        folded = folded.translate(_ARABIC_DIGITS).replace("ß", "ss").replace("œ", "oe").replace("æ", "ae")
-    return folded.replace("ae", "a").replace("oe", "o").replace("ue", "u")
+    if not text.isascii():
+        text = MARKS.sub("", unicodedata.normalize("NFKD", text)).replace("ß", "ss").replace("œ", "oe").replace("æ", "ae")
+        if _FAR_DIGITS.search(text):
+            text = text.translate(_ARABIC_DIGITS)
+    return text.replace("ae", "a").replace("oe", "o").replace("ue", "u")
 
 
 def words(text: str) -> list[str]:

@@ -43,7 +43,7 @@ def _hash(text: str) -> int:
 
 def bare(word: str) -> str:
     """Lower case without accents, as some writers leave them out."""
-    return word if word.isascii() else "".join(c for c in unicodedata.normalize("NFKD", word) if not unicodedata.combining(c))
+    return word if word.isascii() else _text.MARKS.sub("", unicodedata.normalize("NFKD", word))
 
 
 def features(word: str, lexicon: dict[str, int]) -> list[int]:
