@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from colloquy.llm import bpe, language, lookalike, overlap, packing, pairing, splitting
+from colloquy.llm import align, bpe, language, lookalike, overlap, packing, pairing, splitting
 from colloquy.session import materialise
 from colloquy.sources import table
 
@@ -38,6 +38,10 @@ def p3_sample_tokens(spark: SparkSession, d: str) -> DataFrame:
     return bpe.count_tokens(table(spark, d, "processed_dataset"), ["sample_id"], "messages", messages=True)
 
 
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    return align.sentence_pairs(table(spark, d, "pairs")).select("pair_id", "src_no", "mt_no")
+
+
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     found = overlap.cross_split_overlaps(table(spark, d, "processed_dataset"))
     return found.select(F.least("train_id", "eval_id").alias("sample_id_lo"), F.greatest("train_id", "eval_id").alias("sample_id_hi"))
@@ -86,6 +90,7 @@ QUERIES = {
     "p2_found": p2_found,
     "p3_token_budget": p3_token_budget,
     "p3_sample_tokens": p3_sample_tokens,
+    "p4_found": p4_found,
     "p5_found": p5_found,
     "p5_report": p5_report,
     "p6_found": p6_found,
