@@ -390,7 +390,7 @@ def align(a: list[list[str]], b: list[list[str]], scorer: Scorer, sl: str, ml: s
         if len(own) and len(other):
             total += len(own)
             met += int((best_a[own][:, list(units_b[y])].max(axis=1) >= 0.9).sum())
-    if total >= 3 and met < foreign * total:
+    if total and met < foreign * total and (total >= 3 or len(chosen) < 0.6 * min(len(a), len(b))):
         return []
     out = []
     for x, y in chosen:
@@ -403,21 +403,21 @@ def align(a: list[list[str]], b: list[list[str]], scorer: Scorer, sl: str, ml: s
 
 
 def _merge(score: np.ndarray, cover_a: np.ndarray, cover_b: np.ndarray, null: float) -> list[tuple[int, ...]]:
-    """Units of side b: neighbours j, j + 1 become a span if one sentence i is the best for both and covers both well,
-    while each covers only a part of it and both together cover more than the better one."""
-    m = score.shape[1]
-    units, j = [], 0
+    """Units of side b: a run of neighbours becomes a span if one sentence i is the best for each and covers each well,
+    while each further one covers words of i that the span so far leaves open."""
+    units: list[tuple[int, ...]] = []
     best = score.argmax(axis=0)
-    while j < m:
-        if j + 1 < m and best[j] == best[j + 1]:
-            i = int(best[j])
-            one, two = cover_a[i, j], cover_a[i, j + 1]
-            if min(cover_b[i, j], cover_b[i, j + 1]) >= null and max(one, two) < 0.85 and min(one, two) >= 0.15 and one + two >= 1.25 * max(one, two):
-                units.append((j, j + 1))
-                j += 2
+    for j in range(score.shape[1]):
+        i = int(best[j])
+        if units and best[j - 1] == i and cover_b[i, j] >= null and cover_b[i, j - 1] >= null:
+            run = units[-1]
+            covered = [float(cover_a[i, k]) for k in run]
+            new = float(cover_a[i, j])
+            # a sentence that renders the same part again adds little to the largest share
+            if min(new, *covered) >= 0.08 and sum(covered) + new <= 1.0:
+                units[-1] = (*run, j)
                 continue
         units.append((j,))
-        j += 1
     return units
 
 
