@@ -1 +1,3 @@
+from colloquy.functions import dialogue, judge, labels, text
 
+__all__ = ["dialogue", "judge", "labels", "text"]
