@@ -1,3 +1,4 @@
+from colloquy.sources import sinks, text
 from colloquy.sources.tables import table
 
-__all__ = ["table"]
+__all__ = ["sinks", "table", "text"]
