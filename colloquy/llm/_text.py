@@ -15,6 +15,8 @@ THERAPIST_ROLES = {"assistant", "therapist"}
 LABELS = ("Therapist", "Client", "Thérapeute", "Therapeute", "Therapeut", "Klient", "المعالج", "العميل")
 
 _LABEL = re.compile(r"(?:(?<=\s)|^)(?:" + "|".join(sorted(LABELS, key=len, reverse=True)) + r")\s*[:：]\s*", re.I)
+#: Parts of labels, one of which every text with a label holds.
+_LABEL_HINTS = ("rapeut", "therapist", "client", "klient", "المعالج", "العميل")
 _MARKER = re.compile(r"\[\s*(?:\*\*)?/?\s*END\s*(?:\*\*)?\s*\]|<\|END_RESPONSE\|>|</?think>|\*\*", re.I)
 _WORD = re.compile(r"[^\W_]+(?:[̀-ًͯ-ٕ]+[^\W_]*)*")
 _SENTENCE = re.compile(r"(?<=[.!?؟])(?=\s)|\n")
@@ -63,8 +65,10 @@ def plain(text: str) -> str:
         text = INVISIBLE.sub("", text)
     if "[" in text or "<" in text or "*" in text:
         text = _MARKER.sub(" ", text)
-    if ":" in text:
-        text = _LABEL.sub(" ", text)
+    if ":" in text or "：" in text:
+        low = text.lower()
+        if any(hint in low for hint in _LABEL_HINTS):
+            text = _LABEL.sub(" ", text)
     return text
 
 
