@@ -25,21 +25,18 @@ def parsed_scores(text: Column) -> Column:
     """
     raw = F.from_json(reply_json(text), "map<string,string>")
     keyed = F.transform_keys(raw, lambda k, _: F.lower(F.trim(k)))
-    # a text keeps no quotes in the map; the typed reading tells numbers from texts
-    number = F.from_json(reply_json(text), "map<string,double>", {"mode": "PERMISSIVE"})
     fields, bad = [], F.lit(False)
     for name in CRITERIA:
         spellings = [name, *[k for k, v in KEY_ALIASES.items() if v == name]]
         value = F.coalesce(*[F.try_element_at(keyed, F.lit(k)) for k in spellings])
-        present = F.coalesce(*[F.map_contains_key(keyed, k) for k in spellings], F.lit(False))
+        present = F.lit(False)
         for k in spellings:
             present = present | F.coalesce(F.map_contains_key(keyed, k), F.lit(False))
         whole = F.try_to_number(F.regexp_extract(value, r"^\s*([+-]?\d{1,9})(?:\.\d+)?\s*$", 1), F.lit("S999999999")).cast("int")
         quoted = F.regexp_like(reply_json(text), F.lit(rf'(?i)"\s*(?:{"|".join(spellings)})\s*"\s*:\s*"\s*[+-]?\d+\.'))
         bad = bad | (present & (whole.isNull() | quoted))
-        fields.append(F.greatest(F.lit(1), F.least(F.lit(5), whole)).alias(name))
+        fields.append(F.when(whole.isNotNull(), F.greatest(F.lit(1), F.least(F.lit(5), whole))).alias(name))
     error = F.when(raw.isNull(), "unreadable reply").when(bad, "score is no whole number")
-    del number
     return F.struct(*fields, F.coalesce(F.try_element_at(keyed, F.lit("brief_justification")), F.lit("")).alias("brief_justification"), error.alias("error"))
 
 

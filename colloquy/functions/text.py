@@ -39,7 +39,8 @@ def short_id(name: Column) -> Column:
 
 def format_double(col: Column, digits: int = 4) -> Column:
     """Fixed decimals, or ``nan`` where undefined."""
-    return F.coalesce(F.format_string(f"%.{digits}f", col.cast("double")), F.lit("nan"))
+    value = col.cast("double")
+    return F.when(value.isNull() | F.isnan(value), "nan").otherwise(F.format_string(f"%.{digits}f", value))
 
 
 def normalise(col: Column) -> Column:

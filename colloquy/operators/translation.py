@@ -39,7 +39,7 @@ def words_of_pair(src: str, mt: str) -> int:
 
 def chunks_of(src: str | None, mt: str | None, budget: int, size: Callable[[str, str], int] = words_of_pair) -> list[tuple[str, str]]:
     """Line pairs packed in order while they fit ``budget``; one that does not fit closes the open chunk and forms a
-    chunk of its own (W5). Blank lines at a chunk's ends fall away."""
+    chunk of its own (W5). Blank lines fall away, as each step trims what it holds."""
     left, right = (src or "").splitlines(), (mt or "").splitlines()
     count = max(len(left), len(right))
     left += [""] * (count - len(left))
@@ -75,4 +75,4 @@ def chunks(pairs: DataFrame, key: str, src: str = "src", mt: str = "mt", max_pos
 
 def macro_mean(scored: DataFrame, key: str, score: str = "score") -> DataFrame:
     """Mean over documents of each document's mean over its chunks (A10)."""
-    return scored.groupBy(key).agg(F.avg(score).alias("doc")).agg(F.count("doc").alias("documents"), F.avg("doc").alias("score"))
+    return scored.groupBy(key).agg(F.avg(score).alias("_mean")).agg(F.count("_mean").alias("documents"), F.avg("_mean").alias("score"))

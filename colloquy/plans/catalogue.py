@@ -1,6 +1,533 @@
-"""Named queries over the project's tables, each with the SQL that must give the same rows."""
+"""Named queries over the project's tables, each with the SQL that must give the same rows.
+
+Every query reads its whole tables. Results are flat scalars with the same names and types on both sides; nested
+values come out as joined text, undefined numbers as null.
+"""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from colloquy.functions import dialogue as D
+from colloquy.functions import labels as L
+from colloquy.functions import text as X
+from colloquy.operators import benchmark, generation, jsontree, judging, samples, sessions, statistics, translation
+from colloquy.schemas import ANY_MESSAGES, CRITERIA
+from colloquy.sources import sinks, table
+from colloquy.streaming import sessions as streams
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
+
+
+def query(name: str, sql: str | None = None):
+    """Register a query and its oracle."""
+
+    def add(run):
+        QUERIES[name] = run
+        if sql is not None:
+            ORACLES[name] = sql
+        return run
+
+    return add
+
+
+def turns(spark: SparkSession, d: str) -> DataFrame:
+    """Messages of each sample as turns of a session: sample_id, turn from 0, role, text; both key layouts."""
+    parsed = table(spark, d, "processed_dataset").select("sample_id", F.from_json("messages", ANY_MESSAGES).alias("m"))
+    flat = parsed.select("sample_id", F.posexplode("m").alias("turn", "x"))
+    role = F.when(F.lower("x.role").isin("assistant", "therapist"), "assistant").when(F.lower("x.role").isin("user", "client"), "user").otherwise(F.lower("x.role"))
+    return flat.select("sample_id", "turn", role.alias("role"), F.coalesce("x.content", "x.response", F.lit("")).alias("text"))
+
+
+#: The same in SQL, as common table expression ``turns``.
+TURNS = """turns AS (
+  SELECT sample_id, CAST(i AS INT) AS turn,
+    CASE WHEN lower(x.role) IN ('assistant','therapist') THEN 'assistant' WHEN lower(x.role) IN ('user','client') THEN 'user' ELSE lower(x.role) END AS role,
+    coalesce(x.content, x.response, '') AS text
+  FROM (SELECT sample_id, unnest(m) AS x, unnest(range(len(m))) AS i
+    FROM (SELECT sample_id, from_json(messages, '[{"role":"VARCHAR","content":"VARCHAR","response":"VARCHAR"}]') AS m FROM processed_dataset WHERE messages IS NOT NULL)))"""
+
+WORDS_SQL = r"regexp_extract_all(lower({0}), '[\p{{L}}\p{{N}}_]+')"
+TOKENS_SQL = r"regexp_extract_all(lower({0}), '[\p{{L}}\p{{N}}_]+|[^\p{{L}}\p{{N}}_\s\p{{Z}}]')"
+STRIP_SQL = r"regexp_replace({0}, '^\s+|\s+$', '', 'g')"
+STRIP_ANY_SQL = r"regexp_replace({0}, '^[\s\p{{Z}}]+|[\s\p{{Z}}]+$', '', 'g')"
+COUNT_SQL = r"CAST(coalesce(len(list_filter(regexp_split_to_array({0}, '\s+'), lambda x: x <> '')), 0) AS BIGINT)"
+
+
+@query(
+    "context_windows",
+    f"""WITH {TURNS}, f AS (
+      SELECT sample_id, turn, role, text,
+        list(CASE WHEN text <> '' THEN role || ':' || text END) OVER (PARTITION BY sample_id ORDER BY turn ROWS BETWEEN 6 PRECEDING AND 1 PRECEDING) AS before
+      FROM turns)
+    SELECT sample_id, turn, CAST(coalesce(len(list_filter(before, lambda x: x IS NOT NULL)), 0) + 1 AS BIGINT) AS n_messages,
+      md5(concat_ws(chr(10), nullif(array_to_string(list_filter(before, lambda x: x IS NOT NULL), chr(10)), ''), role || ':' || text)) AS digest
+    FROM f WHERE role = 'assistant' AND text <> ''""",
+)
+def context_windows(spark, d):
+    """W1, P2, P3, P4 over the messages of every sample."""
+    found = samples.context_windows(turns(spark, d), conv="sample_id")
+    text = F.array_join(F.transform("messages", lambda m: F.concat(m["role"], F.lit(":"), m["content"])), "\n")
+    return found.select("sample_id", "turn", F.size("messages").cast("long").alias("n_messages"), F.md5(text).alias("digest"))
+
+
+@query(
+    "sample_counts",
+    r"""SELECT lang, CAST(count(*) FILTER (sub = 'control' AND sp = 'train') AS BIGINT) AS control_train, CAST(count(*) FILTER (sub = 'control' AND sp = 'dev') AS BIGINT) AS control_dev,
+      CAST(count(*) FILTER (sub = 'mdd' AND sp = 'train') AS BIGINT) AS mdd_train, CAST(count(*) FILTER (sub = 'mdd' AND sp = 'dev') AS BIGINT) AS mdd_dev, CAST(count(*) FILTER (sp = 'test') AS BIGINT) AS skipped_test
+    FROM (SELECT lang, CASE WHEN contains(p, '/train/') THEN 'train' WHEN contains(p, '/dev/') THEN 'dev' WHEN contains(p, '/test/') THEN 'test' ELSE 'train' END AS sp,
+        CASE WHEN contains(p, '/mdd/') THEN 'mdd' ELSE 'control' END AS sub FROM (SELECT lang, replace(path, '\', '/') AS p FROM processed_dataset)) GROUP BY lang""",
+)
+def sample_counts(spark, d):
+    """A1 with routing from the path."""
+    return samples.sample_counts(samples.routed(table(spark, d, "processed_dataset").select("lang", "path")))
+
+
+@query("languages_with_training", "SELECT lang, split, CAST(count(*) AS BIGINT) AS n FROM processed_dataset WHERE lang IN (SELECT lang FROM processed_dataset WHERE split = 'train') GROUP BY lang, split")
+def languages_with_training(spark, d):
+    """J5, A18."""
+    return samples.languages_with_training(table(spark, d, "processed_dataset").select("lang", "split")).groupBy("lang", "split").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("spelled_languages", "SELECT a.lang AS lang, CAST(count(*) AS BIGINT) AS n FROM processed_dataset p LEFT JOIN lang_alias a ON lower(trim(p.lang)) = a.alias GROUP BY a.lang")
+def spelled_languages(spark, d):
+    """Labels through a fixed-size dimension; labels without spelling form the null group."""
+    alias = table(spark, d, "lang_alias").select(F.col("alias"), F.col("lang").alias("to"))
+    return table(spark, d, "processed_dataset").join(alias, F.lower(F.trim("lang")) == F.col("alias"), "left").groupBy(F.col("to").alias("lang")).agg(F.count(F.lit(1)).alias("n"))
+
+
+_SENTINEL = "string_split(regexp_replace(" + STRIP_SQL.format("text") + r", '(Therapist:|Client:)', chr(1) || '\1', 'g'), chr(1))"
+
+
+@query(
+    "transcript_turns",
+    f"""SELECT doc_id, CAST(i AS INT) AS turn, CASE WHEN starts_with(p, 'Therapist:') THEN 'assistant' WHEN starts_with(p, 'Client:') THEN 'user' END AS role,
+      md5(CASE WHEN starts_with(p, 'Therapist:') THEN {STRIP_SQL.format("regexp_replace(" + STRIP_SQL.format("replace(p, 'Therapist:', '')") + r", '\[/?END\]', '', 'g')")}
+        WHEN starts_with(p, 'Client:') THEN {STRIP_SQL.format("replace(p, 'Client:', '')")} ELSE '' END) AS digest
+    FROM (SELECT doc_id, unnest(ps) AS p, unnest(range(len(ps))) AS i FROM (SELECT doc_id, list_filter(list_transform({_SENTINEL}, lambda x: {STRIP_SQL.format('x')}), lambda x: x <> '') AS ps FROM documents WHERE text IS NOT NULL))""",
+)
+def transcript_turns(spark, d):
+    """F4, F5, F6, W2, P1 over all documents."""
+    found = samples.transcript_turns(table(spark, d, "documents").select("doc_id", "text"), D.LABELS["en"], key="doc_id")
+    return found.select("doc_id", "turn", "role", F.md5("text").alias("digest"))
+
+
+_ENDS = "text"
+for _a, _b in D.END_SPELLINGS:
+    _ENDS = f"replace({_ENDS}, '{_a}', '{_b}')"
+
+
+@query("end_markers", f"WITH {TURNS}, c AS (SELECT sample_id, turn, {_ENDS} AS t FROM turns) SELECT sample_id, turn, contains(t, '[/END]') AS ended, md5({STRIP_SQL.format(r'''regexp_replace(t, '\[/?END\]', '', 'g')''')}) AS digest FROM c")
+def end_markers(spark, d):
+    """F6, F7."""
+    t = D.canonical_end(F.col("text"))
+    return turns(spark, d).select("sample_id", "turn", F.contains(t, F.lit("[/END]")).alias("ended"), F.md5(D.without_end(t)).alias("digest"))
+
+
+@query(
+    "cleaned_client_turns",
+    None,
+)
+def cleaned_client_turns(spark, d):
+    """F8-F12, F16, O7 in one expression; tested against hand-written cases."""
+    said = D.cleaned(F.col("text"), "client", F.col("turn"), F.col("subset"))
+    return table(spark, d, "processed_dataset").select("sample_id", "subset").join(turns(spark, d), "sample_id").where("role = 'user'").select("sample_id", "turn", said.alias("text"))
+
+
+@query(
+    "cut_at_other_speaker",
+    """WITH """
+    + TURNS
+    + """, p AS (SELECT sample_id, turn, text, coalesce(nullif(strpos(lower(text), 'klient:'), 0), nullif(strpos(lower(text), 'client:'), 0), nullif(strpos(lower(text), 'العميل:'), 0), nullif(strpos(lower(text), 'العميلة:'), 0)) AS place FROM turns)
+    SELECT sample_id, turn, CAST(place AS INT) AS place, md5(CASE WHEN place IS NOT NULL THEN substr(text, 1, place - 1) ELSE text END) AS digest FROM p""",
+)
+def cut_at_other_speaker(spark, d):
+    """The first tag of the list that occurs, not the first in the text."""
+    return turns(spark, d).select("sample_id", "turn", D.first_tag(F.col("text"), D.CLIENT_TAGS).alias("place"), F.md5(D.cut_at_tags(F.col("text"), D.CLIENT_TAGS)).alias("digest"))
+
+
+@query(
+    "early_ends",
+    f"WITH {TURNS} SELECT t.sample_id, t.turn, md5({STRIP_SQL.format('''CASE WHEN t.turn < CASE WHEN contains(p.subset, 'mdd') THEN 12 ELSE 7 END THEN replace(replace(t.text, '[/END]', ''), '[END]', '') ELSE t.text END''')}) AS digest FROM turns t JOIN processed_dataset p USING (sample_id)",
+)
+def early_ends(spark, d):
+    """F16, W6."""
+    joined = turns(spark, d).join(table(spark, d, "processed_dataset").select("sample_id", "subset"), "sample_id")
+    return joined.select("sample_id", "turn", F.md5(D.early_end(F.col("text"), F.col("turn"), F.col("subset"))).alias("digest"))
+
+
+@query("repeated_turns", f"WITH {TURNS} SELECT sample_id, turn, row_number() OVER (PARTITION BY sample_id, role, text ORDER BY turn) > 1 AS seen_before FROM turns")
+def repeated_turns(spark, d):
+    """W3, J12."""
+    return sessions.repeats(turns(spark, d), conv="sample_id").select("sample_id", "turn", "seen_before")
+
+
+@query(
+    "first_word_loops",
+    f"""WITH {TURNS}, k AS (SELECT sample_id, turn, coalesce(role, '') AS role, left(lower(text), 1) AS w FROM turns),
+    l AS (SELECT *, lag(role, 1) OVER o AS r1, lag(role, 2) OVER o AS r2, lag(role, 3) OVER o AS r3, lag(w, 1) OVER o AS w1, lag(w, 2) OVER o AS w2, lag(w, 3) OVER o AS w3 FROM k WINDOW o AS (PARTITION BY sample_id ORDER BY turn))
+    SELECT sample_id, turn, coalesce(role = r2 AND w = w2 AND r1 = r3 AND w1 = w3, false) AS loop FROM l""",
+)
+def first_word_loops(spark, d):
+    """W4 on the first letter, where loops occur."""
+    keyed = turns(spark, d).select("sample_id", "turn", F.coalesce("role", F.lit("")).alias("role"), F.substring(F.lower("text"), 1, 1).alias("text"))
+    return sessions.loops(keyed, conv="sample_id").select("sample_id", "turn", "loop")
+
+
+@query("session_lengths", f"WITH {TURNS}, s AS (SELECT sample_id, count(*) AS n FROM turns GROUP BY sample_id) SELECT CAST(count(n) AS BIGINT) AS n, round(avg(n), 6) AS mean, round(stddev_samp(n), 6) AS std, CAST(min(n) AS BIGINT) AS min, CAST(max(n) AS BIGINT) AS max FROM s")
+def session_lengths(spark, d):
+    """A19, A5."""
+    out = statistics.summary(sessions.session_lengths(turns(spark, d), conv="sample_id"), "n_turns")
+    return out.select("n", F.round("mean", 6).alias("mean"), F.round("std", 6).alias("std"), "min", "max")
+
+
+@query(
+    "dialogue_totals",
+    f"""WITH {TURNS}, u AS (SELECT p.source, t.sample_id, {COUNT_SQL.format('t.text')} AS c FROM turns t JOIN processed_dataset p USING (sample_id) WHERE t.text <> ''),
+    per AS (SELECT source, sample_id, count(*) AS u, sum(c) AS t FROM u GROUP BY ALL)
+    SELECT source, CAST(count(*) AS BIGINT) AS dialogues, CAST(sum(u) AS BIGINT) AS utterances, CAST(sum(t) AS BIGINT) AS tokens, round(sum(u) / count(*), 6) AS avg_utterances FROM per GROUP BY source""",
+)
+def dialogue_totals(spark, d):
+    """A2, A3, P11."""
+    said = turns(spark, d).where("text <> ''").join(table(spark, d, "processed_dataset").select("sample_id", "source"), "sample_id")
+    out = statistics.dialogue_totals(said, "source", "sample_id", "text")
+    return out.withColumn("avg_utterances", F.round("avg_utterances", 6))
+
+
+@query(
+    "tagged_lines",
+    f"""WITH l AS (SELECT doc_id, {STRIP_SQL.format('x')} AS line FROM (SELECT doc_id, unnest(regexp_split_to_array(text, '\\r?\\n')) AS x FROM documents WHERE text IS NOT NULL)),
+    k AS (SELECT doc_id, line, starts_with(line, 'Therapist:') OR starts_with(line, 'Client:') AS t FROM l WHERE line <> ''),
+    w AS (SELECT *, bool_or(t) OVER (PARTITION BY doc_id) AS a FROM k)
+    SELECT doc_id, CAST(count(*) AS BIGINT) AS n, CAST(sum({COUNT_SQL.format('line')}) AS BIGINT) AS tokens FROM w WHERE t OR NOT a GROUP BY doc_id""",
+)
+def tagged_lines(spark, d):
+    """P10, S5."""
+    lines = table(spark, d, "documents").where("text is not null").select("doc_id", F.explode(F.split("text", r"\r?\n")).alias("line"))
+    kept = statistics.tagged_lines(lines, key="doc_id")
+    return kept.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.sum(X.whitespace_count(F.col("line")).cast("long")).alias("tokens"))
+
+
+@query(
+    "vocabulary_by_language",
+    f"""WITH t AS (SELECT lang, unnest({TOKENS_SQL.format('text')}) AS token FROM documents WHERE text IS NOT NULL)
+    SELECT lang, CAST(count(*) AS BIGINT) AS tokens, CAST(count(DISTINCT token) AS BIGINT) AS types, round(count(DISTINCT token) / count(*), 9) AS ttr FROM t GROUP BY lang""",
+)
+def vocabulary_by_language(spark, d):
+    """F1, A4, U4."""
+    return statistics.vocabulary(table(spark, d, "documents").select("lang", "text"), ["lang"], "text").withColumn("ttr", F.round("ttr", 9))
+
+
+@query(
+    "two_corpora_vocabulary",
+    f"""WITH t AS (SELECT unnest({TOKENS_SQL.format('src')}) AS token FROM pairs UNION ALL SELECT unnest({TOKENS_SQL.format('mt')}) FROM pairs)
+    SELECT CAST(count(*) AS BIGINT) AS tokens, CAST(count(DISTINCT token) AS BIGINT) AS types, round(count(DISTINCT token) / count(*), 9) AS ttr FROM t""",
+)
+def two_corpora_vocabulary(spark, d):
+    """U1, A4 over the union of two corpora."""
+    pairs = table(spark, d, "pairs")
+    both = pairs.select(F.col("src").alias("text")).unionByName(pairs.select(F.col("mt").alias("text")))
+    return statistics.vocabulary(both, [], "text").withColumn("ttr", F.round("ttr", 9))
+
+
+@query("mtld_by_kind")
+def mtld_by_kind(spark, d):
+    """A6, A7, A5, X6; tested against a direct computation."""
+    scored = table(spark, d, "documents").where("text is not null").select("kind", statistics.mtld(X.words(F.col("text"))).alias("mtld"))
+    return statistics.summary(scored, "mtld", ["kind"]).select("kind", "n", *[F.round(c, 6).alias(c) for c in ("mean", "std", "min", "max")])
+
+
+@query("mtld_per_document")
+def mtld_per_document(spark, d):
+    """A7, K4."""
+    return table(spark, d, "documents").select("doc_id", F.round(statistics.mtld(X.words(F.col("text"))), 6).alias("mtld"))
+
+
+_BLEU_SQL = f"""WITH d AS (SELECT idx AS id, {WORDS_SQL.format("coalesce(situation, '') || ' ' || coalesce(thoughts, '')")} AS w FROM items),
+    b AS (SELECT id, w, len(w) AS n FROM d WHERE len(w) > 0),
+    g AS (SELECT id, k, list_aggregate(w[i:i + k - 1], 'string_agg', ' ') AS gram FROM (SELECT id, w, k, unnest(range(1, n - k + 2)) AS i FROM b, (SELECT unnest([1, 2, 3, 4]) AS k) WHERE n >= k)),
+    c AS (SELECT id, k, gram, count(*) AS c FROM g GROUP BY ALL),
+    r AS (SELECT *, row_number() OVER o AS rn, first_value(c) OVER o AS top, lead(c) OVER o AS nxt FROM c WINDOW o AS (PARTITION BY k, gram ORDER BY c DESC, id)),
+    m AS (SELECT id, k, sum(least(c, CASE WHEN rn = 1 THEN coalesce(nxt, 0) ELSE top END)) AS clip FROM r GROUP BY ALL),
+    l AS (SELECT n, count(*) AS same FROM b GROUP BY n),
+    z AS (SELECT n, same, lag(n) OVER (ORDER BY n) AS lo, lead(n) OVER (ORDER BY n) AS hi FROM l),
+    f AS (SELECT n, CASE WHEN same > 1 THEN n WHEN lo IS NULL THEN hi WHEN hi IS NULL THEN lo WHEN n - lo <= hi - n THEN lo ELSE hi END AS ref FROM z),
+    p AS (SELECT b.id, b.n, x.k, coalesce(m.clip, 0) AS clip FROM b CROSS JOIN (SELECT unnest([1, 2, 3, 4]) AS k) x LEFT JOIN m ON m.id = b.id AND m.k = x.k),
+    s AS (SELECT id, n, max(CASE WHEN k = 1 THEN clip END) AS uni, sum(ln(CASE WHEN clip > 0 THEN clip ELSE 0.1e0 END / greatest(1, n - k + 1)) / 4) AS e FROM p GROUP BY ALL)
+    SELECT s.id AS idx, round(CASE WHEN ref IS NULL THEN NULL WHEN uni = 0 THEN 0e0 ELSE CASE WHEN s.n > ref THEN 1e0 ELSE exp(1 - ref / s.n) END * exp(e) END, 6) AS self_bleu FROM s JOIN f ON f.n = s.n"""
+
+
+@query("self_bleu_per_item", _BLEU_SQL)
+def self_bleu_per_item(spark, d):
+    """A8, A9, J10, W7, W8."""
+    text = F.concat_ws(" ", F.coalesce("situation", F.lit("")), F.coalesce("thoughts", F.lit("")))
+    docs = table(spark, d, "items").select("idx", X.words(text).alias("words"))
+    return statistics.self_bleu(docs, "idx").select("idx", F.round("self_bleu", 6).alias("self_bleu"))
+
+
+@query("self_bleu_summary", f"WITH q AS ({_BLEU_SQL}) SELECT CAST(count(self_bleu) AS BIGINT) AS n, round(avg(self_bleu), 5) AS mean, round(stddev_samp(self_bleu), 5) AS std FROM q")
+def self_bleu_summary(spark, d):
+    """A5, P16."""
+    return statistics.summary(self_bleu_per_item(spark, d), "self_bleu").select("n", F.round("mean", 5).alias("mean"), F.round("std", 5).alias("std"))
+
+
+@query("short_ids", r"SELECT pair_id, CASE WHEN regexp_extract(basename, '(?i)(notactive|active|control)\d+') <> '' THEN lower(regexp_extract(basename, '(?i)(notactive|active|control)\d+')) ELSE regexp_replace(basename, '(.)\.[^.]*$', '\1') END AS short_id FROM pairs")
+def short_ids(spark, d):
+    """F2."""
+    return table(spark, d, "pairs").select("pair_id", X.short_id(F.col("basename")).alias("short_id"))
+
+
+@query(
+    "path_parts",
+    r"""SELECT sample_id, string_split(string_split(p, '/')[-1], '.')[1] AS name, CASE WHEN len(string_split(p, '/')) >= 3 THEN string_split(p, '/')[-3] END AS style, lower(regexp_extract(p, '(\.[^./\\]+)$', 1)) AS suffix
+    FROM (SELECT sample_id, replace(path, '\', '/') AS p FROM processed_dataset)""",
+)
+def path_parts(spark, d):
+    """F29, D4, P8, P19."""
+    p = F.col("path")
+    return table(spark, d, "processed_dataset").select("sample_id", X.path_name(p).alias("name"), X.path_style(p).alias("style"), X.path_suffix(p).alias("suffix"))
+
+
+@query("capped_per_source", "SELECT source, doc_id FROM (SELECT source, doc_id, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS rn FROM documents) WHERE rn <= 5")
+def capped_per_source(spark, d):
+    """The first five documents of each source."""
+    return samples.capped(table(spark, d, "documents").select("source", "doc_id"), "source", "doc_id", 5)
+
+
+@query("aligned_pairs", "SELECT a.pair_id AS src_id, b.pair_id AS mt_id FROM pairs a JOIN pairs b ON a.basename = b.basename WHERE a.src <> '' AND b.mt <> ''")
+def aligned_pairs(spark, d):
+    """Sources and translations by file name; repeated deliveries pair each."""
+    pairs = table(spark, d, "pairs")
+    left = pairs.where("src <> ''").select("basename", F.col("pair_id").alias("src_id"))
+    return left.join(pairs.where("mt <> ''").select("basename", F.col("pair_id").alias("mt_id")), "basename").select("src_id", "mt_id")
+
+
+@query("untranslated", "SELECT pair_id, basename FROM pairs p WHERE src <> '' AND NOT EXISTS (SELECT 1 FROM pairs q WHERE q.basename = p.basename AND q.mt <> '')")
+def untranslated(spark, d):
+    """J2."""
+    pairs = table(spark, d, "pairs")
+    return translation.untranslated(pairs.where("src <> ''").select("pair_id", "basename"), pairs.where("mt <> ''").select("basename")).select("pair_id", "basename")
+
+
+_ZIP = r"""s AS (SELECT pair_id, regexp_split_to_array(src, '\r?\n') AS a, regexp_split_to_array(mt, '\r?\n') AS b FROM pairs WHERE src IS NOT NULL AND mt IS NOT NULL),
+    z AS (SELECT pair_id, CAST(i AS INT) AS line_no, coalesce(a[i + 1], '') AS src, coalesce(b[i + 1], '') AS mt FROM (SELECT *, unnest(range(greatest(len(a), len(b)))) AS i FROM s))"""
+
+
+@query("zipped_lines", f"WITH {_ZIP} SELECT pair_id, line_no, md5(src || chr(9) || mt) AS digest FROM z")
+def zipped_lines(spark, d):
+    """J3, J11."""
+    z = translation.zipped_lines(table(spark, d, "pairs").where("src is not null and mt is not null"), "pair_id")
+    return z.select("pair_id", "line_no", F.md5(F.concat("src", F.lit("\t"), "mt")).alias("digest"))
+
+
+@query("greedy_chunks")
+def greedy_chunks(spark, d):
+    """W5 with 512 positions; tested against hand-written cases and a direct computation."""
+    return translation.chunks(table(spark, d, "pairs"), "pair_id").select("pair_id", "chunk_no", translation_size(F.col("src"), F.col("mt")).alias("n_words"))
+
+
+def translation_size(src, mt):
+    return (X.whitespace_count(src) + X.whitespace_count(mt)).cast("long")
+
+
+@query("chunk_macro_mean")
+def chunk_macro_mean(spark, d):
+    """A10, X3 with the stand-in scorer."""
+    scorer = generation.pair_scorer(generation.stub_scores)
+    scored = translation.chunks(table(spark, d, "pairs"), "pair_id").withColumn("score", scorer("src", "mt"))
+    return translation.macro_mean(scored, "pair_id").select("documents", F.round("score", 6).alias("score"))
+
+
+_AVG = "(" + " + ".join(f"coalesce({c}, 0)" for c in CRITERIA) + ") / 6"
+
+
+@query("judge_row_average", f"SELECT dialogue_id, language, round({_AVG}, 6) AS average FROM judge WHERE error IS NULL")
+def judge_row_average(spark, d):
+    """A11, P15."""
+    return judging.with_average(table(spark, d, "judge").where("error is null")).select("dialogue_id", "language", F.round("average", 6).alias("average"))
+
+
+_MEANS = ", ".join(f"coalesce(avg({c}), 0e0) AS {c}" for c in CRITERIA)
+
+
+@query(
+    "judge_group_means",
+    f"""WITH g AS (SELECT CASE grouping_id(language, dialogue_id) WHEN 3 THEN 'overall' WHEN 1 THEN 'language' ELSE 'dialogue' END AS level, language, dialogue_id, count(*) AS n, {_MEANS}
+      FROM judge WHERE error IS NULL GROUP BY GROUPING SETS ((language), (dialogue_id), ()))
+    SELECT level, language, dialogue_id, CAST(n AS BIGINT) AS n, {", ".join(f"round({c}, 6) AS {c}" for c in CRITERIA)}, round(({" + ".join(CRITERIA)}) / 6, 6) AS overall FROM g WHERE n > 0""",
+)
+def judge_group_means(spark, d):
+    """One pass for languages, dialogues and the whole."""
+    out = judging.group_means(table(spark, d, "judge"))
+    return out.select("level", "language", "dialogue_id", "n", *[F.round(c, 6).alias(c) for c in (*CRITERIA, "overall")])
+
+
+_FENCED = r"regexp_replace(regexp_replace(" + STRIP_SQL.format("text") + r", '```json\s*', '', 'g'), '```\s*', '', 'g')"
+_KEY = "CASE WHEN json_exists(j, '$.{0}') THEN greatest(1, least(5, CAST(trunc(TRY_CAST(json_extract_string(j, '$.{0}') AS DOUBLE)) AS INT))) END AS {0}"
+
+
+@query(
+    "judge_parsed_replies",
+    f"""WITH r AS (SELECT doc_id, {_FENCED} AS t FROM documents WHERE kind = 'judge_reply' AND text IS NOT NULL), v AS (SELECT doc_id, CASE WHEN json_valid(t) THEN CAST(t AS JSON) END AS j FROM r)
+    SELECT doc_id, j IS NULL AS unreadable, {", ".join(_KEY.format(c) for c in ("fluency", "empathy", "engagement", "appropriateness"))} FROM v""",
+)
+def judge_parsed_replies(spark, d):
+    """Replies of a judge model."""
+    out = judging.parsed(table(spark, d, "documents").where("kind = 'judge_reply' and text is not null").select("doc_id", "text"), "text")
+    return out.select("doc_id", (F.col("error").isNotNull()).alias("unreadable"), "fluency", "empathy", "engagement", "appropriateness")
+
+
+@query("judge_manifest", "SELECT x.d AS dialogue_id, l.lang AS language, CAST(count(j.dialogue_id) AS BIGINT) AS n FROM (SELECT DISTINCT dialogue_id AS d FROM judge) x CROSS JOIN (SELECT DISTINCT lang FROM lang_alias) l LEFT JOIN judge j ON j.dialogue_id = x.d AND j.language = l.lang GROUP BY ALL")
+def judge_manifest(spark, d):
+    """J7, S14."""
+    judge, langs = table(spark, d, "judge"), table(spark, d, "lang_alias").select(F.col("lang").alias("language")).distinct()
+    every = judging.manifest(judge.select("dialogue_id").distinct(), langs)
+    have = judge.groupBy("dialogue_id", "language").agg(F.count(F.lit(1)).alias("n"))
+    return every.join(have, ["dialogue_id", "language"], "left").select("dialogue_id", "language", F.coalesce("n", F.lit(0)).alias("n"))
+
+
+_NORM = "regexp_replace(translate(lower(" + STRIP_SQL.format("{0}") + "), '’`“”—–', '''''\"\"--'), '\\s+', ' ', 'g')"
+_GOLD = f"""names AS (SELECT DISTINCT task_id, label_en, {_NORM.format('label')} AS alias FROM label_dim UNION SELECT DISTINCT task_id, label_en, {_NORM.format('label_en')} FROM label_dim),
+    gold AS (SELECT DISTINCT i.idx, i.task_id, n.label_en FROM (SELECT idx, task_id, unnest(gold) AS g FROM items) i JOIN names n ON n.task_id = i.task_id AND n.alias = {_NORM.format('i.g')})"""
+
+
+@query("gold_labels", f"WITH {_GOLD} SELECT idx, task_id, label_en FROM gold")
+def gold_labels(spark, d):
+    """F17, J4, A16, O6."""
+    return benchmark.gold_labels(table(spark, d, "items"), table(spark, d, "label_dim"))
+
+
+_SCORES = f"""{_GOLD}, lab AS (SELECT DISTINCT task_id, label_en, letter FROM label_dim),
+    t AS (SELECT i.task_id, p.source, l.label_en, CASE WHEN g.idx IS NULL THEN 0 ELSE 1 END AS y, CASE WHEN coalesce(list_contains(p.pred_letters, l.letter), false) THEN 1 ELSE 0 END AS q
+      FROM predictions p JOIN items i USING (idx) JOIN lab l USING (task_id) LEFT JOIN gold g ON g.idx = p.idx AND g.label_en = l.label_en),
+    c AS (SELECT task_id, source, label_en, sum(y * q) AS tp, sum((1 - y) * q) AS fp, sum(y * (1 - q)) AS fn FROM t GROUP BY ALL),
+    f AS (SELECT *, coalesce(2 * tp / nullif(2 * tp + fp + fn, 0), 0) AS f1, coalesce(tp / nullif(tp + fn, 0), 0) AS rc FROM c)"""
+
+
+@query(
+    "multilabel_scores",
+    f"WITH {_SCORES} SELECT task_id, source, round(avg(f1), 6) AS macro_f1, round(coalesce(sum(f1 * (tp + fn)) / nullif(sum(tp + fn), 0), 0), 6) AS weighted_f1, round(avg(rc), 6) AS macro_recall FROM f GROUP BY task_id, source",
+)
+def multilabel_scores(spark, d):
+    """J8, A13, D16."""
+    rows = benchmark.truth_table(table(spark, d, "predictions"), table(spark, d, "items"), table(spark, d, "label_dim"), run=["source"])
+    out = benchmark.scores(rows, ["task_id", "source"])
+    return out.select("task_id", "source", *[F.round(c, 6).alias(c) for c in ("macro_f1", "weighted_f1", "macro_recall")])
+
+
+@query(
+    "format_and_cost",
+    "SELECT source, CAST(count(*) FILTER (follow_format) AS BIGINT) AS n_format, round(coalesce(avg(CAST(follow_format AS INT)), 0), 6) AS format_ratio, "
+    + ", ".join(f"round(coalesce(avg({c}), 0), 6) AS mean_{c}" for c in ("prompt_tokens", "generated_tokens", "elapsed_sec"))
+    + " FROM predictions GROUP BY source",
+)
+def format_and_cost(spark, d):
+    """A14, A15."""
+    out = benchmark.format_and_cost(table(spark, d, "predictions"), ["source"])
+    return out.select("source", "n_format", *[F.round(c, 6).alias(c) for c in out.columns if c not in ("source", "n_format")])
+
+
+_LETTERS = "replace(replace(replace(replace(replace(replace(lower(raw_output), chr(10), ','), ';', ','), '，', ','), 'answer:', ''), 'réponse:', ''), 'antwort:', '')"
+
+
+@query(
+    "reparsed_letters",
+    rf"""WITH a AS (SELECT task_id, list(DISTINCT letter) AS allowed FROM label_dim GROUP BY task_id),
+    r AS (SELECT p.idx, p.source, p.raw_output, list_distinct(list_filter(regexp_split_to_array({_LETTERS}, '[,\s]+'), lambda x: list_contains(a.allowed, x))) AS l FROM predictions p JOIN items i USING (idx) JOIN a USING (task_id))
+    SELECT idx, source, md5(coalesce(raw_output, '')) AS digest, coalesce(array_to_string(list_sort(l), ','), '') AS letters, coalesce(len(l) > 0, false) AS in_format FROM r""",
+)
+def reparsed_letters(spark, d):
+    """F19, A17; letters sorted, as the other engine keeps no order."""
+    out = benchmark.reparsed(table(spark, d, "predictions"), table(spark, d, "items"), table(spark, d, "label_dim"))
+    return out.select("idx", "source", F.md5(F.coalesce("raw_output", F.lit(""))).alias("digest"), F.array_join(F.array_sort("letters"), ",").alias("letters"), "in_format")
+
+
+@query(
+    "choice_prompts",
+    """WITH c AS (SELECT task_id, lang, string_agg(letter || ': ' || label, chr(10) ORDER BY ord) AS choices FROM label_dim GROUP BY ALL)
+    SELECT i.idx, md5('Situation: ' || coalesce(i.situation, '') || chr(10) || 'Thoughts: ' || coalesce(i.thoughts, '') || chr(10) || c.choices) AS digest FROM items i JOIN c ON c.task_id = i.task_id AND c.lang = i.lang""",
+)
+def choice_prompts(spark, d):
+    """F20, F21, J11."""
+    listed = table(spark, d, "label_dim").groupBy("task_id", "lang").agg(F.array_sort(F.collect_list(F.struct("ord", "letter", "label"))).alias("l"))
+    choices = listed.select("task_id", "lang", L.choices(F.col("l.letter"), F.col("l.label")).alias("choices"))
+    prompt = D.filled(F.lit("Situation: {situation}\nThoughts: {thoughts}\n{choices}"), situation=F.col("situation"), thoughts=F.col("thoughts"), choices=F.col("choices"))
+    return table(spark, d, "items").join(choices, ["task_id", "lang"]).select("idx", F.md5(prompt).alias("digest"))
+
+
+@query("instruction_texts", f"WITH {TURNS}, l AS (SELECT sample_id, turn, text, lag(text) OVER (PARTITION BY sample_id ORDER BY turn) AS before FROM turns) SELECT sample_id, turn, md5(before || ' ' || text) AS digest FROM l WHERE before IS NOT NULL")
+def instruction_texts(spark, d):
+    """F27, P17, X5."""
+    from pyspark.sql import Window
+
+    t = turns(spark, d).withColumn("before", F.lag("text").over(Window.partitionBy("sample_id").orderBy("turn"))).where("before is not null")
+    return t.select("sample_id", "turn", F.md5(X.instruction(F.col("before"), F.col("text"))).alias("digest"))
+
+
+@query("seeded_sample", "SELECT doc_id FROM documents ORDER BY md5(doc_id || '|7'), doc_id LIMIT 50")
+def seeded_sample(spark, d):
+    """Fifty rows drawn by a seed."""
+    return samples.seeded_sample(table(spark, d, "documents").select("doc_id"), "doc_id", 50, seed=7)
+
+
+@query("latest_checkpoint", "SELECT arg_max('checkpoint-' || doc_id, doc_id) AS name FROM documents")
+def latest_checkpoint(spark, d):
+    """O5."""
+    return samples.latest_checkpoint(table(spark, d, "documents").select(F.concat(F.lit("checkpoint-"), F.col("doc_id").cast("string")).alias("name")))
+
+
+@query("message_roles", f"WITH {TURNS} SELECT sample_id, CAST(count(*) AS BIGINT) AS n, string_agg(coalesce(role, ''), ',' ORDER BY turn) AS roles FROM turns GROUP BY sample_id")
+def message_roles(spark, d):
+    """decoded, encoded and decoded again."""
+    kind = "array<struct<role: string, content: string>>"
+    listed = turns(spark, d).groupBy("sample_id").agg(F.array_sort(F.collect_list(F.struct("turn", "role", F.col("text").alias("content")))).alias("m"))
+    again = listed.select("sample_id", F.from_json(F.to_json(F.transform("m", lambda x: F.struct(F.coalesce(x["role"], F.lit("")).alias("role"), x["content"].alias("content")))), kind).alias("m"))
+    return again.select("sample_id", F.size("m").cast("long").alias("n"), F.array_join(D.roles(F.col("m")), ",").alias("roles"))
+
+
+@query(
+    "flattened_messages",
+    f"""WITH x AS (SELECT sample_id, unnest(m) AS x, unnest(range(len(m))) AS i FROM (SELECT sample_id, from_json(messages, '[{{"role":"VARCHAR","content":"VARCHAR","response":"VARCHAR"}}]') AS m FROM processed_dataset WHERE messages IS NOT NULL)),
+    u AS (SELECT sample_id, i, {STRIP_ANY_SQL.format("coalesce(x.content, x.response, '')")} AS t, {STRIP_ANY_SQL.format("coalesce(x.role, '')")} AS r FROM x), v AS (SELECT sample_id, i, CASE WHEN t <> '' THEN t ELSE r END AS t FROM u)
+    SELECT sample_id, CAST(count(*) AS BIGINT) AS n, md5(string_agg(t, chr(10) ORDER BY i)) AS digest FROM v WHERE t <> '' GROUP BY sample_id""",
+)
+def flattened_messages(spark, d):
+    """F24, X7, U3 on message lists, where an object without an utterance gives its role."""
+    flat = jsontree.utterances(table(spark, d, "processed_dataset").select("sample_id", "messages"), "sample_id", "messages")
+    listed = flat.groupBy("sample_id").agg(F.array_sort(F.collect_list(F.struct("no", "utterance"))).alias("u"))
+    return listed.select("sample_id", F.size("u").cast("long").alias("n"), F.md5(F.array_join("u.utterance", "\n")).alias("digest"))
+
+
+@query("fallback_replies", "SELECT doc_id, ['Client: [No reply]','Client: [Pause and thinking]','Client: [Keep silent]','Client: [Quiet]','Client: I don''t know what to say','Client: I don''t know'][CAST(CAST('0x' || substr(md5(doc_id || '|3'), 1, 8) AS UBIGINT) % 6 AS INT) + 1] AS reply FROM documents")
+def fallback_replies(spark, d):
+    """the same choice on every run."""
+    return table(spark, d, "documents").select("doc_id", D.client_reply(F.lit(""), "en", F.col("doc_id"), F.lit(3)).alias("reply"))
+
+
+@query("rendered_transcripts", f"WITH {TURNS} SELECT sample_id, md5(string_agg(text, chr(10) ORDER BY turn) || chr(10)) AS digest FROM turns GROUP BY sample_id")
+def rendered_transcripts(spark, d):
+    """K1, F26, F28."""
+    return sinks.transcripts(turns(spark, d), by="sample_id").select("sample_id", F.md5("value").alias("digest"))
+
+
+@query("score_rows", "SELECT doc_id, format('{:.6f}', n_chars / 7) AS score FROM documents WHERE n_chars IS NOT NULL UNION ALL SELECT doc_id, '' FROM documents WHERE n_chars IS NULL")
+def score_rows(spark, d):
+    """K4, F3."""
+    return sinks.score_table(table(spark, d, "documents").select("doc_id", (F.col("n_chars") / 7).alias("score")))
+
+
+@query("shortened_texts", "SELECT doc_id, CASE WHEN length(t) <= 300 THEN t ELSE left(t, 300) || '...[TRUNCATED]' END AS preview FROM (SELECT doc_id, replace(text, chr(10), '\\n') AS t FROM documents)")
+def shortened_texts(spark, d):
+    """F22, O8."""
+    return table(spark, d, "documents").select("doc_id", X.shorten(F.col("text")).alias("preview"))
+
+
+@query("event_windows", "SELECT time_bucket(INTERVAL '1 hour', ts) AS start, event_type, CAST(count(*) AS BIGINT) AS n, round(sum(value), 3) AS total FROM events GROUP BY ALL")
+def event_windows(spark, d):
+    """The streaming aggregate run as a batch."""
+    out = streams.windowed_counts(table(spark, d, "events").select("ts", "event_type", "value"))
+    return out.select(F.col("window.start").cast("timestamp_ntz").alias("start"), "event_type", "n", F.round("total", 3).alias("total"))

@@ -26,7 +26,7 @@ def write_dataset(samples: DataFrame, path: str, mode: str = "errorifexists") ->
 def score_table(df: DataFrame, digits: int = 6, undefined: str = "") -> DataFrame:
     """Doubles as fixed decimals, undefined ones as ``undefined`` (K4)."""
     kinds = dict(df.dtypes)
-    return df.select(*[F.coalesce(F.format_string(f"%.{digits}f", F.col(c)), F.lit(undefined)).alias(c) if kinds[c] in ("double", "float") else F.col(c) for c in df.columns])
+    return df.select(*[F.when(F.col(c).isNull() | F.isnan(c), undefined).otherwise(F.format_string(f"%.{digits}f", F.col(c))).alias(c) if kinds[c] in ("double", "float") else F.col(c) for c in df.columns])
 
 
 def write_tsv(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
