@@ -47,6 +47,15 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` over all cores where it comes in fewer partitions (a small table in one file), unchanged otherwise.
+
+    Meant for work that costs far more per row than moving it; large inputs come in many partitions and never move.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < min(cores, 64) else df
+
+
 _SHIPPED: set[str] = set()
 
 
