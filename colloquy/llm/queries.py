@@ -6,28 +6,32 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from colloquy.llm import align, bpe, language, lookalike, overlap, packing, pairing, splitting
-from colloquy.session import materialise
+from colloquy.session import materialise, spread
 from colloquy.sources import table
 
 
+def samples_of(spark: SparkSession, d: str) -> DataFrame:
+    return spread(table(spark, d, "processed_dataset"))
+
+
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
-    return language.unstated_languages(table(spark, d, "processed_dataset"), table(spark, d, "lang_alias"), table(spark, d, "glossary"))
+    return language.unstated_languages(samples_of(spark, d), table(spark, d, "lang_alias"), table(spark, d, "glossary"))
 
 
 def p1_documents(spark: SparkSession, d: str) -> DataFrame:
-    samples = table(spark, d, "processed_dataset")
+    samples = samples_of(spark, d)
     field = language.fit_field(samples, table(spark, d, "lang_alias"), table(spark, d, "glossary"))
     return language.document_languages(samples, field).select("sample_id", "language", "confidence")
 
 
 def p1_stretches(spark: SparkSession, d: str) -> DataFrame:
-    samples = table(spark, d, "processed_dataset")
+    samples = samples_of(spark, d)
     field = language.fit_field(samples, table(spark, d, "lang_alias"), table(spark, d, "glossary"))
     return language.language_stretches(samples, field)
 
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
-    return pairing.pair_defects(table(spark, d, "processed_dataset"), table(spark, d, "lang_alias"), table(spark, d, "glossary"), keep=lambda df: materialise(df, "pair-checks"))
+    return pairing.pair_defects(samples_of(spark, d), table(spark, d, "lang_alias"), table(spark, d, "glossary"), keep=lambda df: materialise(df, "pair-checks"))
 
 
 def p3_token_budget(spark: SparkSession, d: str) -> DataFrame:
@@ -39,11 +43,11 @@ def p3_sample_tokens(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
-    return align.sentence_pairs(table(spark, d, "pairs")).select("pair_id", "src_no", "mt_no")
+    return align.sentence_pairs(spread(table(spark, d, "pairs"))).select("pair_id", "src_no", "mt_no")
 
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
-    found = overlap.cross_split_overlaps(table(spark, d, "processed_dataset"))
+    found = overlap.cross_split_overlaps(samples_of(spark, d))
     return found.select(F.least("train_id", "eval_id").alias("sample_id_lo"), F.greatest("train_id", "eval_id").alias("sample_id_hi"))
 
 
