@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from colloquy.functions import judge as J
 from colloquy.schemas import CRITERIA
+from colloquy.session import small
 
 
 def parsed(replies: DataFrame, text: str) -> DataFrame:
@@ -34,6 +35,7 @@ def group_means(rows: DataFrame, language: str = "language", dialogue: str = "di
     return out.withColumn("overall", overall).where("n > 0")
 
 
-def manifest(dialogues: DataFrame, languages: DataFrame) -> DataFrame:
-    """Every dialogue in every language of a small list."""
-    return dialogues.crossJoin(F.broadcast(languages.limit(1000)))
+def manifest(dialogues: DataFrame, languages: DataFrame, language: str = "language") -> DataFrame:
+    """Every dialogue in every language of a small list (J7); a narrow explode, no join."""
+    values = [r[0] for r in small(languages.select(language).distinct())]
+    return dialogues.withColumn(language, F.explode(F.array(*[F.lit(v) for v in values]).cast("array<string>")))

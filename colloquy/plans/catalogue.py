@@ -247,7 +247,7 @@ def mtld_per_document(spark, d):
     return table(spark, d, "documents").select("doc_id", F.round(statistics.mtld(X.words(F.col("text"))), 6).alias("mtld"))
 
 
-_BLEU_SQL = f"""WITH d AS (SELECT idx AS id, {WORDS_SQL.format("coalesce(situation, '') || ' ' || coalesce(thoughts, '')")} AS w FROM items),
+_BLEU = """WITH d AS (SELECT {key} AS id, {words} AS w FROM {table}),
     b AS (SELECT id, w, len(w) AS n FROM d WHERE len(w) > 0),
     g AS (SELECT id, k, list_aggregate(w[i:i + k - 1], 'string_agg', ' ') AS gram FROM (SELECT id, w, k, unnest(range(1, n - k + 2)) AS i FROM b, (SELECT unnest([1, 2, 3, 4]) AS k) WHERE n >= k)),
     c AS (SELECT id, k, gram, count(*) AS c FROM g GROUP BY ALL),
@@ -258,7 +258,8 @@ _BLEU_SQL = f"""WITH d AS (SELECT idx AS id, {WORDS_SQL.format("coalesce(situati
     f AS (SELECT n, CASE WHEN same > 1 THEN n WHEN lo IS NULL THEN hi WHEN hi IS NULL THEN lo WHEN n - lo <= hi - n THEN lo ELSE hi END AS ref FROM z),
     p AS (SELECT b.id, b.n, x.k, coalesce(m.clip, 0) AS clip FROM b CROSS JOIN (SELECT unnest([1, 2, 3, 4]) AS k) x LEFT JOIN m ON m.id = b.id AND m.k = x.k),
     s AS (SELECT id, n, max(CASE WHEN k = 1 THEN clip END) AS uni, sum(ln(CASE WHEN clip > 0 THEN clip ELSE 0.1e0 END / greatest(1, n - k + 1)) / 4) AS e FROM p GROUP BY ALL)
-    SELECT s.id AS idx, round(CASE WHEN ref IS NULL THEN NULL WHEN uni = 0 THEN 0e0 ELSE CASE WHEN s.n > ref THEN 1e0 ELSE exp(1 - ref / s.n) END * exp(e) END, 6) AS self_bleu FROM s JOIN f ON f.n = s.n"""
+    SELECT s.id AS {key}, round(CASE WHEN ref IS NULL THEN NULL WHEN uni = 0 THEN 0e0 ELSE CASE WHEN s.n > ref THEN 1e0 ELSE exp(1 - ref / s.n) END * exp(e) END, 6) AS self_bleu FROM s JOIN f ON f.n = s.n"""
+_BLEU_SQL = _BLEU.format(key="idx", table="items", words=WORDS_SQL.format("coalesce(situation, '') || ' ' || coalesce(thoughts, '')"))
 
 
 @query("self_bleu_per_item", _BLEU_SQL)
@@ -269,6 +270,13 @@ def self_bleu_per_item(spark, d):
     return statistics.self_bleu(docs, "idx").select("idx", F.round("self_bleu", 6).alias("self_bleu"))
 
 
+@query("self_bleu_per_document", _BLEU.format(key="doc_id", table="documents WHERE text IS NOT NULL", words=WORDS_SQL.format("text")))
+def self_bleu_per_document(spark, d):
+    """A8, A9 on every whole document."""
+    docs = table(spark, d, "documents").where("text is not null").select("doc_id", X.words(F.col("text")).alias("words"))
+    return statistics.self_bleu(docs, "doc_id").select("doc_id", F.round("self_bleu", 6).alias("self_bleu"))
+
+
 @query("self_bleu_summary", f"WITH q AS ({_BLEU_SQL}) SELECT CAST(count(self_bleu) AS BIGINT) AS n, round(avg(self_bleu), 5) AS mean, round(stddev_samp(self_bleu), 5) AS std FROM q")
 def self_bleu_summary(spark, d):
     """A5, P16."""

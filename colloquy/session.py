@@ -7,7 +7,7 @@ import tempfile
 import uuid
 import zipfile
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 
 
 def local_session(cores: int | str = 8, shuffle_partitions: int = 8, memory: str = "8g") -> SparkSession:
@@ -47,6 +47,14 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def small(df: DataFrame, most: int = 10_000) -> list[Row]:
+    """The rows of a dimension of fixed size; a table above ``most`` rows is refused rather than cut."""
+    rows = df.limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"expected a small dimension, found more than {most} rows")
+    return rows
+
+
 def spread(df: DataFrame) -> DataFrame:
     """``df`` over all cores where it comes in fewer partitions (a small table in one file), unchanged otherwise.
 
