@@ -13,6 +13,7 @@ import re
 import uuid
 from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -34,6 +35,8 @@ SIGNIFICANT, LEAST_STRENGTH = 10.83, 0.08
 COMMON = 10
 #: What a sentence gains by staying alone: pairs scoring below stay apart.
 NULL_SCORE = 0.3
+#: Share of a merged sentence that a further sentence must render in addition to those found.
+GAIN = 0.12
 #: Words in under this share of a language's documents count as names; sides whose paired sentences share fewer than
 #: ``FOREIGN`` of their numbers and names belong to different texts.
 RARE_SHARE, FOREIGN = 0.005, 0.35
@@ -62,6 +65,7 @@ _ARABIC_CONSONANTS = {"ب": "b", "ت": "t", "ث": "t", "ج": "g", "ح": "h", "خ
 _LATIN_CLASSES = str.maketrans({"p": "b", "v": "f", "q": "k", "c": "k", "j": "g", **dict.fromkeys("aeiouyw", "")})
 
 
+@lru_cache(maxsize=200_000)
 def consonants(word: str) -> str:
     """Consonant classes of a folded word, the same in Latin and Arabic script."""
     if word.isascii():
@@ -160,6 +164,13 @@ def document_words(pairs: DataFrame) -> DataFrame:
     return found.groupBy("lang", "word").agg(F.sum("n").alias("n"), F.sum("k").alias("k")).where((F.col("n") >= LEAST_DOCUMENTS) | (F.col("word") == ""))
 
 
+def _alike(a: set[str], b: set[str]) -> set[str]:
+    """Words of both sides that the other side has alike (names, mostly): the scores know them without a lexicon."""
+    left, right = {consonants(w) for w in a}, {consonants(w) for w in b}
+    both = {c for c in left & right if len(c) >= 3}
+    return {w for w in a if (len(w) > 3 and w in b) or consonants(w) in both} | {w for w in b if (len(w) > 3 and w in a) or consonants(w) in both}
+
+
 def cooccurrences(pairs: DataFrame, words: str) -> DataFrame:
     """``sl``, ``tl``, ``s``, ``t``, ``n``: source sentences with word ``s`` whose window on the other side holds
     ``t``. ``t`` = -1 and ``s`` = -1 hold the marginals of the other word, both -1 the number of sentences."""
@@ -180,8 +191,9 @@ def cooccurrences(pairs: DataFrame, words: str) -> DataFrame:
                     sl = lexicon.language(sl, {w for ws in a for w in ws})
                     ml = lexicon.language(ml, {w for ws in b for w in ws})
                     left, right = lexicon.vocabulary.get(sl, {}), lexicon.vocabulary.get(ml, {})
-                    x = [np.array([left[w][0] for w in ws if w in left], np.int64) for ws in a]
-                    y = [np.array([right[w][0] for w in ws if w in right], np.int64) for ws in b]
+                    known = _alike({w for ws in a for w in ws}, {w for ws in b for w in ws})
+                    x = [np.array([left[w][0] for w in ws if w in left and w not in known], np.int64) for ws in a]
+                    y = [np.array([right[w][0] for w in ws if w in right and w not in known], np.int64) for ws in b]
                     # both directions: a lexicon from en to de also learns from pairs that go from de to en
                     for here, there, key in ((x, y, (sl, ml)), (y, x, (ml, sl))):
                         out = by_pair.setdefault(key, [])
@@ -384,22 +396,50 @@ def align(a: list[list[str]], b: list[list[str]], scorer: Scorer, sl: str, ml: s
     chosen = assignment(taken - null)
     # numbers and names of the paired sentences, and how many of them the other side has
     met = total = 0
+    kept = []
     for x, y in chosen:
         own = np.flatnonzero((member_a[list(units_a[x])].max(axis=0) > 0) & rare_a)
         other = np.flatnonzero((member_b[list(units_b[y])].max(axis=0) > 0) & rare_b)
+        shared = int((best_a[own][:, list(units_b[y])].max(axis=1) >= 0.9).sum()) if len(own) and len(other) else 0
         if len(own) and len(other):
             total += len(own)
-            met += int((best_a[own][:, list(units_b[y])].max(axis=1) >= 0.9).sum())
+            met += shared
+        # one detail may slip; two sentences of one pattern with all details different are no translation
+        if shared or min(len(own), len(other)) < 2:
+            kept.append((x, y))
     if total and met < foreign * total and (total >= 3 or len(chosen) < 0.6 * min(len(a), len(b))):
         return []
     out = []
-    for x, y in chosen:
+    for x, y in kept:
         for i in units_a[x]:
             for j in units_b[y]:
                 # of a span only the sentences that are rendered themselves
                 if len(units_a[x]) * len(units_b[y]) == 1 or max(cover_a[i, j], cover_b[i, j]) >= null:
                     out.append((i, j, float(taken[x, y])))
-    return out
+    _attach(out, cover_a, score, member_b, best_b, null)
+    turned = [(j, i, s) for i, j, s in out]
+    _attach(turned, cover_b.T, score.T, member_a, best_a, null)
+    return [(i, j, s) for j, i, s in turned]
+
+
+def _attach(pairs: list[tuple[int, int, float]], cover: np.ndarray, score: np.ndarray, member: np.ndarray, best: np.ndarray, null: float) -> None:
+    """Add sentences that stayed alone to the partner of another one, where that partner renders them too: parts of a
+    merged sentence need not be neighbours on the other side once sentences were moved."""
+    partners: dict[int, list[int]] = {}
+    for i, j, _ in pairs:
+        partners.setdefault(j, []).append(i)
+    taken = {i for i, _, _ in pairs}
+    for i in range(len(cover)):
+        if i in taken:
+            continue
+        j = int(score[i].argmax())
+        if j not in partners or cover[i, j] < 1.2 * null or score[i, j] < null:
+            continue
+        before = best[:, partners[j]].max(axis=1)
+        gain = float(member[j] @ np.maximum(before, best[:, i]) - member[j] @ before)
+        if gain >= GAIN:
+            pairs.append((i, j, float(score[i, j])))
+            partners[j].append(i)
 
 
 def _merge(score: np.ndarray, cover_a: np.ndarray, cover_b: np.ndarray, null: float) -> list[tuple[int, ...]]:
