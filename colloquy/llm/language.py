@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from colloquy.llm import _text
+from colloquy.session import small
 
 LANGS = ("en", "de", "fr", "ar")
 #: Labelled rows the field is fitted on, at most.
@@ -372,10 +373,10 @@ def worker_tagger(key: str, shared) -> Tagger:
 def fit_rows(samples: DataFrame, alias: DataFrame, glossary: DataFrame | None = None, id_col: str = "sample_id", text_col: str = "messages", label_col: str = "lang", rows: int = FIT_ROWS) -> tuple[list[tuple[list[str], str | None]], dict[str, str]]:
     """At most ``rows`` rows as ``(messages, stated language)``, those with the smallest hash of their id, and the
     words of the glossary by language (``?`` where languages share one). The bound holds at every size of the input."""
-    spelling = {r["alias"]: r["lang"] for r in alias.select("alias", "lang").limit(1000).collect()}
+    spelling = {r["alias"]: r["lang"] for r in small(alias.select("alias", "lang"))}
     words: dict[str, str] = {}
     if glossary is not None:
-        for r in glossary.limit(1000).collect():
+        for r in small(glossary):
             for lang in LANGS:
                 for w in _text.words((r.asDict().get(f"{lang}_term") or "").lower()):
                     words[w] = lang if words.get(w, lang) == lang else "?"
