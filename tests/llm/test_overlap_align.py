@@ -64,6 +64,24 @@ def test_overlaps(spark):
     assert overlap.cross_split_overlaps(df.where("split = 'train'")).count() == 0
 
 
+def test_many_near_copies(spark):
+    rng = random.Random(8)
+    words = [f"w{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(300)]
+    base = [rng.choices(words, k=40), rng.choices(words, k=45)]
+
+    def copy():
+        return sample(*[" ".join(w if rng.random() > 0.04 else rng.choice(words) for w in m) for m in base])
+
+    rows = [(i, "train" if i % 2 else "dev", copy()) for i in range(120)] + [(200 + i, "dev", sample(" ".join(rng.choices(words, k=50)), " ".join(rng.choices(words, k=50)))) for i in range(60)]
+    df = spark.createDataFrame(rows, "sample_id long, split string, messages string")
+    ids = overlap.WordIds()
+    bodies = {i: [w for w in map(ids, overlap.passage(m))] for i, _, m in rows}
+    flat = {i: (np.concatenate(p), len(p[-1])) for i, p in bodies.items()}
+    want = {(a, b) for a, s, _ in rows if s == "train" for b, t, _ in rows if t == "dev" and overlap._compare(*flat[a], *flat[b])}
+    got = {(r["train_id"], r["eval_id"]) for r in overlap.cross_split_overlaps(df).collect()}
+    assert got <= want and len(got) >= 0.98 * len(want) and len(want) > 2000
+
+
 def test_overlaps_of_the_table_against_brute_force(spark, sf_dir):
     from colloquy.sources import table
 
