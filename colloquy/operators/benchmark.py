@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from colloquy.functions import labels as L
 from colloquy.functions.text import normalise
+from colloquy.session import fixed
 
 
 def gold_labels(items: DataFrame, dimension: DataFrame, key: str = "idx", gold: str = "gold") -> DataFrame:
@@ -17,7 +18,7 @@ def gold_labels(items: DataFrame, dimension: DataFrame, key: str = "idx", gold:
     names = dimension.select("task_id", "label_en", F.col("label").alias("alias")).unionByName(dimension.select("task_id", "label_en", F.col("label_en").alias("alias")))
     names = names.select("task_id", "label_en", normalise(F.col("alias")).alias("alias")).dropDuplicates(["task_id", "alias"])
     raw = items.select(key, "task_id", F.explode(gold).alias("g")).select(key, "task_id", normalise(F.col("g")).alias("alias"))
-    return raw.join(names, ["task_id", "alias"]).select(key, "task_id", "label_en").distinct()
+    return raw.join(fixed(names), ["task_id", "alias"]).select(key, "task_id", "label_en").distinct()
 
 
 def truth_table(predictions: DataFrame, items: DataFrame, dimension: DataFrame, key: str = "idx", run: list[str] | None = None) -> DataFrame:
@@ -28,7 +29,7 @@ def truth_table(predictions: DataFrame, items: DataFrame, dimension: DataFrame,
     run = run or []
     canonical = dimension.select("task_id", "label_en", "letter").distinct()
     tasks = items.select(key, "task_id").dropDuplicates([key])
-    wide = predictions.join(tasks, key).join(canonical, "task_id")
+    wide = predictions.join(tasks, key).join(fixed(canonical), "task_id")
     gold = gold_labels(items, dimension, key).select(key, "label_en", F.lit(1).alias("t"))
     marked = wide.join(gold, [key, "label_en"], "left")
     hit = F.coalesce(F.array_contains("pred_letters", F.col("letter")), F.lit(False)).cast("int")
@@ -59,6 +60,6 @@ def format_and_cost(predictions: DataFrame, by: list[str]) -> DataFrame:
 def reparsed(predictions: DataFrame, items: DataFrame, dimension: DataFrame, key: str = "idx", text: str = "raw_output") -> DataFrame:
     """Letters read anew from the raw answers, with the labels they stand for."""
     allowed = dimension.select("task_id", "letter").distinct().groupBy("task_id").agg(F.array_sort(F.collect_set("letter")).alias("allowed"))
-    joined = predictions.join(items.select(key, "task_id").dropDuplicates([key]), key).join(allowed, "task_id")
+    joined = predictions.join(items.select(key, "task_id").dropDuplicates([key]), key).join(fixed(allowed), "task_id")
     found = F.coalesce(L.letters(F.col(text), F.col("allowed")), F.array().cast("array<string>"))
     return joined.withColumn("letters", found).withColumn("in_format", F.size("letters") > 0)

@@ -8,6 +8,7 @@ import uuid
 import zipfile
 
 from pyspark.sql import DataFrame, Row, SparkSession
+from pyspark.sql import functions as F
 
 
 def local_session(cores: int | str = 8, shuffle_partitions: int = 8, memory: str = "8g") -> SparkSession:
@@ -55,6 +56,11 @@ def small(df: DataFrame, most: int = 10_000) -> list[Row]:
     return rows
 
 
+def fixed(df: DataFrame, most: int = 10_000) -> DataFrame:
+    """``df`` marked for broadcast if it has at most ``most`` rows, else as it is (a shuffled join then)."""
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+
+
 def spread(df: DataFrame) -> DataFrame:
     """``df`` over all cores where it comes in fewer partitions (a small table in one file), unchanged otherwise.
 
