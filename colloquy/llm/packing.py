@@ -113,9 +113,7 @@ def pack(sized: DataFrame, id_col: str = "doc_id", size_col: str = "n_tokens", c
     start = F.col("part_no").cast("long") * capacity
     items = items.select(id_col, "part_no", start.alias("start"), F.least(F.lit(capacity), F.col("_n") - start).cast("int").alias("size"))
     block = F.pmod(F.xxhash64(F.col(id_col), "part_no"), F.lit(blocks)).cast("int")
-    # full containers need no search
-    full = items.where(F.col("size") == capacity).select("*", F.concat_ws("-", F.lit("f"), F.col(id_col), F.col("part_no")).alias("container"))
-    rest = items.where(F.col("size") < capacity).withColumn("_block", block)
+    rest = items.withColumn("_block", block)
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         # a canonical order makes the packing independent of how rows arrive
@@ -124,5 +122,4 @@ def pack(sized: DataFrame, id_col: str = "doc_id", size_col: str = "n_tokens", c
         name = [f"b{b}-{n}" for b, n in zip(pdf["_block"], bins)]
         return pdf.drop(columns="_block").assign(container=name)
 
-    packed = rest.groupBy("_block").applyInPandas(run, f"`{id_col}` {kind}, part_no int, start long, size int, container string")
-    return packed.unionByName(full)
+    return rest.groupBy("_block").applyInPandas(run, f"`{id_col}` {kind}, part_no int, start long, size int, container string")

@@ -67,7 +67,7 @@ def test_completion_is_optimal():
 
 
 def test_pack(spark):
-    rows = [(i, n) for i, n in enumerate([5000, 2048, 0, 1000, 1000, 48, 3, None, 2047, 1, 1])] + [(3, 1000)]
+    rows = [(i, n) for i, n in enumerate([5000, 2048, 0, 1000, 1000, 48, 3, None, 2047, 1, 1])] + [(3, 1000), (1, 2048), (None, 2048), (None, 4096)]
     df = spark.createDataFrame([(*r, "c") for r in rows], "doc_id long, n_tokens long, container string")
     got = P.pack(df).collect()
     load, total = {}, {}
@@ -75,9 +75,9 @@ def test_pack(spark):
         load[r["container"]] = load.get(r["container"], 0) + r["size"]
         total[r["doc_id"]] = total.get(r["doc_id"], 0) + r["size"]
     assert max(load.values()) <= 2048
-    assert total == {0: 5000, 1: 2048, 2: 0, 3: 2000, 4: 1000, 5: 48, 6: 3, 7: 0, 8: 2047, 9: 1, 10: 1}
+    assert total == {None: 6144, 0: 5000, 1: 4096, 2: 0, 3: 2000, 4: 1000, 5: 48, 6: 3, 7: 0, 8: 2047, 9: 1, 10: 1}
     assert sorted(r["start"] for r in got if r["doc_id"] == 0) == [0, 2048, 4096]
-    assert all(r["part_no"] == 0 for r in got if r["doc_id"] != 0)
+    assert all(r["part_no"] == 0 for r in got if r["doc_id"])
     assert P.pack(df.limit(0)).count() == 0
 
 
