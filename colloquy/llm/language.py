@@ -139,7 +139,7 @@ def sentence_words(text: str) -> list[list[str]]:
     return [_text.words(text[a:b]) for a, b in _text.sentences(text)]
 
 
-def fit(rows: list[tuple[list[str], str | None]], glossary: dict[str, str] | None = None, passes: tuple[int, ...] = (14, 18)) -> Field:
+def fit(rows: list[tuple[list[str], str | None]], glossary: dict[str, str] | None = None, passes: tuple[int, ...] = (10, 10)) -> Field:
     """Fit the field on ``(messages, label)`` rows; labels may be wrong or missing in part. Sentences are labelled by
     word counts over the labelled rows, then by the field itself between the ``passes`` (numbers of gradient steps).
     ``glossary`` maps words to languages."""
