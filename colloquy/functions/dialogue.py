@@ -8,6 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from colloquy.functions.text import squeeze
+from colloquy.schemas import ANY_MESSAGES
 
 # Tags of both speakers, in order of priority, and the labels of each language's transcripts.
 THERAPIST_TAGS = ("Therapeut", "Therapist", "Thérapeute", "Therapiste", "المعالج", "المعالجة")
@@ -145,6 +146,18 @@ def commented(prompt: Column, comment: Column, token: str, last: bool = False) -
     return F.when(comment == "", prompt).otherwise(F.concat(kept, F.lit("\n"), comment, F.lit("\n" + token)))
 
 
+def decoded(raw: Column) -> Column:
+    """Messages of a JSON text as ``{role, content}``, whichever key layout it has; unreadable texts give null."""
+    role = lambda m: F.lower(m["role"])
+    named = lambda m: F.when(role(m) == "therapist", "assistant").when(role(m) == "client", "user").otherwise(role(m))
+    return F.transform(F.from_json(raw, ANY_MESSAGES), lambda m: F.struct(named(m).alias("role"), F.coalesce(m["content"], m["response"]).alias("content")))
+
+
+def encoded(messages: Column) -> Column:
+    """Messages as JSON text."""
+    return F.to_json(messages)
+
+
 def chat_text(messages: Column) -> Column:
     """A plain rendering of a message list, one ``role: content`` line each."""
     return F.array_join(F.transform(messages, lambda m: F.concat(m["role"], F.lit(": "), F.coalesce(m["content"], F.lit("")))), "\n")

@@ -61,6 +61,17 @@ def counter(run: Callable[[list[str]], list[int]]):
     return batched
 
 
+def generated_once(df: DataFrame, prompt: str, generate, keep: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """Adds ``generated``: every distinct prompt is sent once, however many rows have it.
+
+    ``keep`` materialises the answers (such as ``lambda d: session.materialise(d, "answers")``), so later stages and
+    retries read them instead of calling the model again. Null prompts get no call and null.
+    """
+    asked = df.select(F.col(prompt).alias("_p")).where("_p is not null").distinct()
+    answers = keep(asked.select(F.md5("_p").alias("_key"), generate(F.col("_p")).alias("generated")))
+    return df.withColumn("_key", F.md5(prompt)).join(answers, "_key", "left").drop("_key")
+
+
 def stub_texts(prompts: list[str]) -> list[str]:
     """A generator for tests: a short answer that depends on the prompt only."""
     return ["" if p is None else "Client: " + hashlib.md5(p.encode()).hexdigest()[:8] for p in prompts]

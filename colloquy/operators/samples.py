@@ -82,7 +82,12 @@ def capped(df: DataFrame, by: str, order: str, n: int) -> DataFrame:
     return df.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= n).drop("_rn")
 
 
+def first_rows(df: DataFrame, order: str, n: int) -> DataFrame:
+    """The first ``n`` rows in order (O3): a top-k per partition, then of those."""
+    return df.orderBy(order).limit(n)
+
+
 def latest_checkpoint(names: DataFrame, name: str = "name") -> DataFrame:
     """The name with the largest number behind its last dash (O5); names without one do not take part."""
-    number = F.regexp_extract(name, r"-(\d+)$", 1).try_cast("long") if hasattr(F.col(name), "try_cast") else F.regexp_extract(name, r"-(\d+)$", 1).cast("long")
-    return names.where(F.regexp_like(name, F.lit(r"-\d+$"))).agg(F.max_by(F.col(name), number).alias(name))
+    number = F.regexp_extract(name, r"-(\d{1,18})$", 1)
+    return names.where(number != "").agg(F.max_by(F.col(name), number.cast("long")).alias(name))

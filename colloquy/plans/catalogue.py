@@ -8,14 +8,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from colloquy.functions import dialogue as D
 from colloquy.functions import labels as L
 from colloquy.functions import text as X
 from colloquy.operators import benchmark, generation, jsontree, judging, samples, sessions, statistics, translation
-from colloquy.schemas import ANY_MESSAGES, CRITERIA
+from colloquy.schemas import CRITERIA
 from colloquy.sources import sinks, table
 from colloquy.streaming import sessions as streams
 
@@ -37,10 +37,8 @@ def query(name: str, sql: str | None = None):
 
 def turns(spark: SparkSession, d: str) -> DataFrame:
     """Messages of each sample as turns of a session: sample_id, turn from 0, role, text; both key layouts."""
-    parsed = table(spark, d, "processed_dataset").select("sample_id", F.from_json("messages", ANY_MESSAGES).alias("m"))
-    flat = parsed.select("sample_id", F.posexplode("m").alias("turn", "x"))
-    role = F.when(F.lower("x.role").isin("assistant", "therapist"), "assistant").when(F.lower("x.role").isin("user", "client"), "user").otherwise(F.lower("x.role"))
-    return flat.select("sample_id", "turn", role.alias("role"), F.coalesce("x.content", "x.response", F.lit("")).alias("text"))
+    flat = table(spark, d, "processed_dataset").select("sample_id", F.posexplode(D.decoded(F.col("messages"))).alias("turn", "x"))
+    return flat.select("sample_id", "turn", F.col("x.role").alias("role"), F.coalesce("x.content", F.lit("")).alias("text"))
 
 
 #: The same in SQL, as common table expression ``turns``.
@@ -470,8 +468,6 @@ def choice_prompts(spark, d):
 @query("instruction_texts", f"WITH {TURNS}, l AS (SELECT sample_id, turn, text, lag(text) OVER (PARTITION BY sample_id ORDER BY turn) AS before FROM turns) SELECT sample_id, turn, md5(before || ' ' || text) AS digest FROM l WHERE before IS NOT NULL")
 def instruction_texts(spark, d):
     """F27, P17, X5."""
-    from pyspark.sql import Window
-
     t = turns(spark, d).withColumn("before", F.lag("text").over(Window.partitionBy("sample_id").orderBy("turn"))).where("before is not null")
     return t.select("sample_id", "turn", F.md5(X.instruction(F.col("before"), F.col("text"))).alias("digest"))
 
@@ -491,9 +487,8 @@ def latest_checkpoint(spark, d):
 @query("message_roles", f"WITH {TURNS} SELECT sample_id, CAST(count(*) AS BIGINT) AS n, string_agg(coalesce(role, ''), ',' ORDER BY turn) AS roles FROM turns GROUP BY sample_id")
 def message_roles(spark, d):
     """decoded, encoded and decoded again."""
-    kind = "array<struct<role: string, content: string>>"
     listed = turns(spark, d).groupBy("sample_id").agg(F.array_sort(F.collect_list(F.struct("turn", "role", F.col("text").alias("content")))).alias("m"))
-    again = listed.select("sample_id", F.from_json(F.to_json(F.transform("m", lambda x: F.struct(F.coalesce(x["role"], F.lit("")).alias("role"), x["content"].alias("content")))), kind).alias("m"))
+    again = listed.select("sample_id", D.decoded(D.encoded(F.transform("m", lambda x: F.struct(F.coalesce(x["role"], F.lit("")).alias("role"), x["content"].alias("content"))))).alias("m"))
     return again.select("sample_id", F.size("m").cast("long").alias("n"), F.array_join(D.roles(F.col("m")), ",").alias("roles"))
 
 

@@ -89,6 +89,14 @@ def test_prompts(spark):
     assert one(spark, "a", lambda c: D.commented(c, F.lit(""), "[T]")) == "a"
 
 
+def test_messages(spark):
+    raw = '[{"role": "Therapist", "response": "a"}, {"role": "user", "content": "b"}, {"role": "system"}]'
+    assert [tuple(m) for m in one(spark, raw, D.decoded)] == [("assistant", "a"), ("user", "b"), ("system", None)]
+    assert one(spark, raw, lambda c: D.decoded(D.encoded(D.decoded(c)))) == one(spark, raw, D.decoded)
+    assert one(spark, "no json", D.decoded) is None and one(spark, None, D.decoded) is None
+    assert one(spark, raw, lambda c: D.chat_text(D.decoded(c))) == "assistant: a\nuser: b\nsystem: "
+
+
 @pytest.mark.parametrize("raw,found", [("Answer: a; C, a", ["a", "c"]), ("a.", []), ("", []), ("Réponse: b\nc", ["b", "c"])])
 def test_letters(spark, raw, found):
     assert one(spark, raw, lambda c: L.letters(c, F.array(*[F.lit(x) for x in "abc"]))) == found

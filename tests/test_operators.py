@@ -142,9 +142,36 @@ def test_plugins(spark):
     assert said[0] == "Therapist: hi" and said[1].startswith("Client: ")
 
 
+def test_prompts_are_sent_once(spark):
+    from colloquy.session import materialise
+
+    calls = spark.sparkContext.accumulator(0)
+
+    def run(prompts):
+        calls.add(len(prompts))
+        return [p.upper() for p in prompts]
+
+    df = spark.createDataFrame([("a",), ("a",), ("b",), (None,), ("a",)], "p string")
+    out = generation.generated_once(df, "p", generation.generator(run), lambda d: materialise(d, "answers"))
+    assert sorted((r["p"] or "", r["generated"]) for r in out.collect()) == [("", None), ("a", "A"), ("a", "A"), ("a", "A"), ("b", "B")]
+    assert calls.value == 2
+
+
+def test_small_tables_are_checked(spark):
+    from colloquy.session import fixed, small
+
+    df = spark.range(5)
+    assert len(small(df, 5)) == 5
+    with pytest.raises(ValueError):
+        small(df, 4)
+    plan = lambda d: spark.range(9).join(d, "id")._jdf.queryExecution().optimizedPlan().toString()
+    assert "broadcast" in plan(fixed(df, 5)) and "broadcast" not in plan(fixed(df, 4))
+
+
 def test_capped_sampled_latest(spark):
     df = spark.createDataFrame([("a", i) for i in range(5)] + [(None, 9)], "g string, i long")
     assert samples.capped(df, "g", "i", 2).count() == 3
+    assert [r["i"] for r in samples.first_rows(df, "i", 2).collect()] == [0, 1]
     assert samples.seeded_sample(df, "i", 3).count() == 3 and samples.seeded_sample(df, "i", 99).count() == 6
     names = spark.createDataFrame([("c-9",), ("c-10",), ("c",), ("x-1b",)], "name string")
     assert samples.latest_checkpoint(names).first()["name"] == "c-10"
