@@ -18,7 +18,7 @@ _LABEL = re.compile(r"(?:(?<=\s)|^)(?:" + "|".join(sorted(LABELS, key=len, rever
 #: Parts of labels, one of which every text with a label holds.
 _LABEL_HINTS = ("rapeut", "therapist", "client", "klient", "المعالج", "العميل")
 _MARKER = re.compile(r"\[\s*(?:\*\*)?/?\s*END\s*(?:\*\*)?\s*\]|<\|END_RESPONSE\|>|</?think>|\*\*", re.I)
-_WORD = re.compile(r"[^\W_]+(?:[̀-ًͯ-ٕ]+[^\W_]*)*")
+_WORD = re.compile("[^\\W_]+(?:[\u0300-\u036f\u064b-\u0655]+[^\\W_]*)*")
 _SENTENCE = re.compile(r"(?<=[.!?؟])(?=\s)|\n")
 #: Characters that show nothing: zero-width, joiners, directional marks, soft hyphen.
 INVISIBLE = re.compile("[\u00ad\u061c\u180e\u200b-\u200f\u2060\ufeff]")

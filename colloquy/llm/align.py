@@ -41,7 +41,7 @@ GAIN = 0.12
 #: ``FOREIGN`` of their numbers and names belong to different texts.
 RARE_SHARE, FOREIGN = 0.005, 0.35
 
-_BREAK = re.compile(r"[\r\n  ]+|(?<=[.!?؟])(?=\s)")
+_BREAK = re.compile("[\r\n\u2028\u2029]+|(?<=[.!?\u061f])(?=\\s)")
 _LABEL = re.compile(r"\s*(?:" + "|".join(sorted(_text.LABELS, key=len, reverse=True)) + r")\s*[:：]\s*", re.I)
 _LETTER = re.compile(r"[^\W\d_]")
 

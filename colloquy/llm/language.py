@@ -32,7 +32,7 @@ SENTENCE_SHARE = 0.6
 BUCKETS = 1 << 16
 _K = 20
 
-_ARABIC = re.compile(r"[؀-ۿ]")
+_ARABIC = re.compile("[\u0600-\u06ff]")
 
 
 def _hash(text: str) -> int:

@@ -31,7 +31,7 @@ LOOKALIKES = {
     # Arabic letters of other alphabets
     "ی": "ي", "ک": "ك", "ھ": "ه", "ہ": "ه", "ە": "ه",
     # Hyphens, dots, apostrophes and slashes that show alike
-    "‐": "-", "‑": "-", "﹣": "-", "⁃": "-", "․": ".", "‚": ",", "ʼ": "’", "ꞌ": "'", "∕": "/", "⁄": "/", "∶": ":", "ː": ":", "؛": "؛",
+    "‐": "-", "‑": "-", "﹣": "-", "⁃": "-", "․": ".", "‚": ",", "ʼ": "’", "ꞌ": "'", "∕": "/", "⁄": "/", "∶": ":", "ː": ":",
 }
 
 #: Compatibility decompositions that keep the look of a text.
