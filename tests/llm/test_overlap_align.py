@@ -41,7 +41,7 @@ def sample(*texts):
     return json.dumps([{"role": "system", "content": "be kind"}, *[{"role": "user" if i % 2 == 0 else "assistant", "content": t} for i, t in enumerate(texts)]])
 
 
-def test_overlaps(spark):
+def test_overlaps(spark, monkeypatch):
     rng = random.Random(5)
     words = [f"w{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(400)]
 
@@ -58,6 +58,7 @@ def test_overlaps(spark):
     rows = overlap.cross_split_overlaps(df).collect()
     got = {(r["train_id"], r["eval_id"]) for r in rows}
     assert got == {(1, 2), (1, 3), (6, 2), (6, 3), (13, 12)} and len(rows) == len(got)
+    monkeypatch.setattr(overlap, "FILTER_CODES", 3)
     sharded = {(r["train_id"], r["eval_id"]) for r in overlap.cross_split_overlaps(df, shard_rows=2).collect()}
     assert sharded == got
     assert overlap.cross_split_overlaps(df.limit(0)).count() == 0
