@@ -311,6 +311,7 @@ class Scorer:
 
     def __init__(self, lexicon: Lexicon):
         self.lexicon = lexicon
+        self.column = np.full(lexicon.size + 1, -1, np.int64)  # column of each word of the vocabulary in the open document
 
     def coverage(self, a: list[list[str]], b: list[list[str]], sl: str, ml: str):
         """For each side the words' shares in their sentences, the best strength of each word in each sentence of the
@@ -341,15 +342,21 @@ class Scorer:
 
     def _fill(self, strength: np.ndarray, at: dict[str, int], known: dict, other: dict[int, int]) -> None:
         """Raise the strengths of the words ``at`` to those of their lexicon entries among ``other``."""
+        found = [(known[w][0], i) for w, i in at.items() if w in known]
+        if not found or not other:
+            return
         lexicon = self.lexicon
-        for w, i in at.items():
-            if w in known:
-                k = known[w][0]
-                low, high = lexicon.cut[k], lexicon.cut[k + 1]
-                for t, s in zip(lexicon.target[low:high].tolist(), lexicon.strength[low:high].tolist()):
-                    j = other.get(t)
-                    if j is not None and strength[i, j] < s:
-                        strength[i, j] = s
+        ids, rows = np.array(found, np.int64).T
+        low = lexicon.cut[ids]
+        count = lexicon.cut[ids + 1] - low
+        entry = np.repeat(low - (np.cumsum(count) - count), count) + np.arange(int(count.sum()))
+        mine = np.fromiter(other, np.int64, len(other))
+        self.column[mine] = np.fromiter(other.values(), np.int64, len(other))
+        column = self.column[lexicon.target[entry]]
+        self.column[mine] = -1
+        hit = column >= 0
+        i, j = np.repeat(rows, count)[hit], column[hit]
+        strength[i, j] = np.maximum(strength[i, j], lexicon.strength[entry[hit]])
 
     def _rare(self, words: list[str], known: dict, lang: str) -> np.ndarray:
         least = max(LEAST_DOCUMENTS, RARE_SHARE * self.lexicon.documents.get(lang, 1))
@@ -386,27 +393,22 @@ def align(a: list[list[str]], b: list[list[str]], scorer: Scorer, sl: str, ml: s
     # spans of two neighbours on one side that one sentence of the other side renders as a whole
     units_b = _merge(score, cover_a, cover_b, null)
     units_a = _merge(score.T, cover_b.T, cover_a.T, null)
-    taken = score
-    if len(units_a) < len(a) or len(units_b) < len(b):
-        ca = np.stack([member_a[list(u)].mean(axis=0) for u in units_a])
-        cb = np.stack([member_b[list(u)].mean(axis=0) for u in units_b])
-        ba = np.stack([best_a[:, list(u)].max(axis=1) for u in units_b], axis=1)
-        bb = np.stack([best_b[:, list(u)].max(axis=1) for u in units_a], axis=1)
-        taken = (ca @ ba + (cb @ bb).T) / 2
+    # units tile their side, so sums and maxima over them are taken from their first sentences on
+    first_a, first_b = np.array([u[0] for u in units_a]), np.array([u[0] for u in units_b])
+    size_a, size_b = np.diff(np.r_[first_a, len(a)]), np.diff(np.r_[first_b, len(b)])
+    unit_a, unit_b = np.add.reduceat(member_a, first_a, axis=0) / size_a[:, None], np.add.reduceat(member_b, first_b, axis=0) / size_b[:, None]
+    near_a, near_b = np.maximum.reduceat(best_a, first_b, axis=1), np.maximum.reduceat(best_b, first_a, axis=1)
+    taken = score if len(units_a) == len(a) and len(units_b) == len(b) else (unit_a @ near_a + (unit_b @ near_b).T) / 2
     chosen = assignment(taken - null)
     # numbers and names of the paired sentences, and how many of them the other side has
-    met = total = 0
-    kept = []
-    for x, y in chosen:
-        own = np.flatnonzero((member_a[list(units_a[x])].max(axis=0) > 0) & rare_a)
-        other = np.flatnonzero((member_b[list(units_b[y])].max(axis=0) > 0) & rare_b)
-        shared = int((best_a[own][:, list(units_b[y])].max(axis=1) >= 0.9).sum()) if len(own) and len(other) else 0
-        if len(own) and len(other):
-            total += len(own)
-            met += shared
-        # one detail may slip; two sentences of one pattern with all details different are no translation
-        if shared or min(len(own), len(other)) < 2:
-            kept.append((x, y))
+    xs, ys = np.array([x for x, _ in chosen], np.int64), np.array([y for _, y in chosen], np.int64)
+    own = unit_a[:, rare_a][xs] > 0
+    n_own, n_other = own.sum(axis=1), (unit_b[:, rare_b][ys] > 0).sum(axis=1)
+    shared = (own & (near_a[rare_a][:, ys].T >= 0.9)).sum(axis=1)
+    both = (n_own > 0) & (n_other > 0)
+    total, met = int(n_own[both].sum()), int(shared[both].sum())
+    # one detail may slip; two sentences of one pattern with all details different are no translation
+    kept = [pair for pair, s, n in zip(chosen, shared, np.minimum(n_own, n_other)) if s or n < 2]
     if total and met < foreign * total and (total >= 3 or len(chosen) < 0.6 * min(len(a), len(b))):
         return []
     out = []
