@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from colloquy.llm import _text
-from colloquy.session import shared_dir
+from colloquy.session import fixed, shared_dir
 
 #: Documents a word must occur in to take part in the lexicon; fewer give no significant ratio.
 LEAST_DOCUMENTS = 4
@@ -171,17 +171,52 @@ def _alike(a: set[str], b: set[str]) -> set[str]:
     return {w for w in a if (len(w) > 3 and w in b) or consonants(w) in both} | {w for w in b if (len(w) > 3 and w in a) or consonants(w) in both}
 
 
+class _Counts:
+    """Counted codes, merged as they grow: most repeat within a partition and leave it once."""
+
+    def __init__(self):
+        self.parts: list[tuple[np.ndarray, np.ndarray]] = []
+        self.size = 0
+
+    def add(self, codes: np.ndarray) -> None:
+        self.parts.append(np.unique(codes, return_counts=True))
+        self.size += len(self.parts[-1][0])
+
+    def merge(self) -> tuple[np.ndarray, np.ndarray]:
+        codes, n = (np.concatenate(c) for c in zip(*self.parts))
+        order = np.argsort(codes, kind="stable")
+        codes, n = codes[order], n[order]
+        first = np.flatnonzero(np.r_[True, codes[1:] != codes[:-1]])
+        self.parts = [(codes[first], np.add.reduceat(n, first))]
+        self.size = len(first)
+        return self.parts[0]
+
+
+#: Codes a task holds before it gives them out.
+HELD_CODES = 1_500_000
+
+
 def cooccurrences(pairs: DataFrame, words: str) -> DataFrame:
-    """``sl``, ``tl``, ``s``, ``t``, ``n``: source sentences with word ``s`` whose window on the other side holds
-    ``t``. ``t`` = -1 and ``s`` = -1 hold the marginals of the other word, both -1 the number of sentences."""
+    """``pair``, ``s``, ``t``, ``n``: source sentences with word ``s`` whose window on the other side holds ``t``.
+    ``pair`` is a number for both languages. ``t`` = -1 and ``s`` = -1 hold the marginals of the other word, both -1
+    the number of sentences."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lexicon = _lexicon(words)
         size = lexicon.size + 1
+        number = {lang: i for i, lang in enumerate(sorted(lexicon.vocabulary))}
+        counts: dict[int, _Counts] = {}
+
+        def given() -> Iterator[pa.RecordBatch]:
+            for pair, held in counts.items():
+                code, n = held.merge()
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(code), pair, np.int32)), pa.array((code // size - 1).astype(np.int32)), pa.array((code % size - 1).astype(np.int32)), pa.array(n.astype(np.int64))], names=["pair", "s", "t", "n"])
+            counts.clear()
+
         for whole in batches:
             for begin in range(0, whole.num_rows, 100):
                 batch = whole.slice(begin, 100)
-                by_pair: dict[tuple[str, str], list[np.ndarray]] = {}
+                by_pair: dict[int, list[np.ndarray]] = {}
                 for src, mt, sl, ml in zip(*(batch.column(c).to_pylist() for c in range(4))):
                     if not src or not mt:
                         continue
@@ -190,12 +225,15 @@ def cooccurrences(pairs: DataFrame, words: str) -> DataFrame:
                         continue
                     sl = lexicon.language(sl, {w for ws in a for w in ws})
                     ml = lexicon.language(ml, {w for ws in b for w in ws})
-                    left, right = lexicon.vocabulary.get(sl, {}), lexicon.vocabulary.get(ml, {})
+                    if sl not in number or ml not in number:
+                        continue
+                    left, right = lexicon.vocabulary[sl], lexicon.vocabulary[ml]
                     known = _alike({w for ws in a for w in ws}, {w for ws in b for w in ws})
                     x = [np.array([left[w][0] for w in ws if w in left and w not in known], np.int64) for ws in a]
                     y = [np.array([right[w][0] for w in ws if w in right and w not in known], np.int64) for ws in b]
+                    sl, ml = number[sl], number[ml]
                     # both directions: a lexicon from en to de also learns from pairs that go from de to en
-                    for here, there, key in ((x, y, (sl, ml)), (y, x, (ml, sl))):
+                    for here, there, key in ((x, y, sl * len(number) + ml), (y, x, ml * len(number) + sl)):
                         out = by_pair.setdefault(key, [])
                         for i, s in enumerate(here):
                             low, high = _window(i, len(here), len(there))
@@ -203,13 +241,17 @@ def cooccurrences(pairs: DataFrame, words: str) -> DataFrame:
                             # shifted by one, so that 0 stands for the marginals
                             s1, t1 = np.r_[0, s + 1], np.r_[0, t + 1]
                             out.append((s1[:, None] * size + t1[None]).ravel())
-                for (sl, ml), parts in by_pair.items():
-                    code, n = np.unique(np.concatenate(parts), return_counts=True)
-                    k = len(code)
-                    yield pa.RecordBatch.from_arrays([pa.array([sl] * k), pa.array([ml] * k), pa.array(code // size - 1), pa.array(code % size - 1), pa.array(n.astype(np.int64))], names=["sl", "tl", "s", "t", "n"])
+                for key, parts in by_pair.items():
+                    counts.setdefault(key, _Counts()).add(np.concatenate(parts))
+                if sum(c.size for c in counts.values()) > 2 * HELD_CODES:
+                    for held in counts.values():
+                        held.merge()
+                    if sum(c.size for c in counts.values()) > HELD_CODES:
+                        yield from given()
+        yield from given()
 
-    found = pairs.mapInArrow(run, "sl string, tl string, s bigint, t bigint, n bigint")
-    return found.groupBy("sl", "tl", "s", "t").agg(F.sum("n").alias("n"))
+    found = pairs.mapInArrow(run, "pair int, s int, t int, n bigint")
+    return found.groupBy("pair", "s", "t").agg(F.sum("n").alias("n"))
 
 
 def strengths(counts: DataFrame) -> DataFrame:
@@ -217,10 +259,10 @@ def strengths(counts: DataFrame) -> DataFrame:
     ``t`` near ``s`` rises from its base rate towards one, less for words that stand almost everywhere. The three
     marginals are joined by key."""
     pair = counts.where("s >= 0 and t >= 0 and n >= 3")
-    by_s = counts.where("s >= 0 and t = -1").select("sl", "tl", "s", F.col("n").alias("ns"))
-    by_t = counts.where("s = -1 and t >= 0").select("sl", "tl", "t", F.col("n").alias("nt"))
-    total = counts.where("s = -1 and t = -1").select("sl", "tl", F.col("n").alias("total"))
-    joined = pair.join(by_s, ["sl", "tl", "s"]).join(by_t, ["sl", "tl", "t"]).join(total, ["sl", "tl"])
+    by_s = counts.where("s >= 0 and t = -1").select("pair", "s", F.col("n").alias("ns"))
+    by_t = counts.where("s = -1 and t >= 0").select("pair", "t", F.col("n").alias("nt"))
+    total = counts.where("s = -1 and t = -1").select("pair", F.col("n").alias("total"))
+    joined = pair.join(by_s, ["pair", "s"]).join(by_t, ["pair", "t"]).join(fixed(total), "pair")
 
     def term(k, n, p):
         return F.when(k > 0, k * F.log(k / n / p)).otherwise(F.lit(0.0))
@@ -230,7 +272,7 @@ def strengths(counts: DataFrame) -> DataFrame:
     base = nt / total_n
     ratio = 2 * (term(a, ns, base) + term(ns - a, ns, 1 - base) + term(nt - a, total_n - ns, base) + term(total_n - ns - nt + a, total_n - ns, 1 - base))
     strength = (a / ns - base) / (1 - base) * F.least(F.lit(1.0), -F.log(base) / math.log(COMMON))
-    kept = joined.where(base < 1).select("s", "t", strength.cast("float").alias("strength"), ratio.alias("ratio"))
+    kept = joined.where(base < 1).select(F.col("s").cast("long").alias("s"), F.col("t").cast("long").alias("t"), strength.cast("float").alias("strength"), ratio.alias("ratio"))
     return kept.where((F.col("ratio") >= SIGNIFICANT) & (F.col("strength") >= LEAST_STRENGTH)).select("s", "t", "strength")
 
 
