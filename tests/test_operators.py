@@ -157,6 +157,20 @@ def test_prompts_are_sent_once(spark):
     assert calls.value == 2
 
 
+def test_shared_dir_has_a_scheme(spark, tmp_path):
+    from colloquy.session import materialise, shared_dir
+
+    before = shared_dir(spark)
+    assert before.startswith("file:///")
+    spark.conf.set("spark.checkpoint.dir", str(tmp_path))
+    try:
+        assert shared_dir(spark) == f"file://{tmp_path}"
+        assert materialise(spark.range(3), "x").count() == 3
+        assert list(tmp_path.glob("x-*"))
+    finally:
+        spark.conf.set("spark.checkpoint.dir", before)
+
+
 def test_small_tables_are_checked(spark):
     from colloquy.session import fixed, small
 
