@@ -26,15 +26,18 @@ def local_session(cores: int | str = 8, shuffle_partitions: int = 8, memory: str
     )
 
 
+_OWN: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share, as named in ``spark.checkpoint.dir``.
 
-    Only where that setting is absent (tests, local runs) a temporary folder is chosen and set for the session.
+    Only where that setting is absent (tests, local runs) a temporary folder is chosen, one per application.
     """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
-        found = "file://" + os.path.join(tempfile.gettempdir(), f"colloquy-{os.getpid()}")
-        spark.conf.set("spark.checkpoint.dir", found)
+        app = spark.sparkContext.applicationId
+        found = _OWN.setdefault(app, "file://" + os.path.join(tempfile.gettempdir(), f"colloquy-{app}"))
     if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
         spark.sparkContext.setCheckpointDir(found)
     # with its scheme, as Spark and the workers' own readers must mean the same place

