@@ -2,9 +2,9 @@
 
 The messages of the evaluation splits (each distinct one once) form the shards of an FM-index over words: a suffix
 array, the Burrows-Wheeler transform as word positions, and backward search. Training samples are streamed through
-it: every message is taken apart into maximal matches from its end, spans are merged and counted per evaluation
-message, and samples whose last messages are covered by those of one evaluation sample become candidates. An exact
-check of the whole passage follows.
+it: every message is taken apart into maximal matches from its end, and the words they cover are counted for every
+evaluation message in which they occur, however many those are. Samples whose last messages are covered by those of
+one evaluation sample become candidates. An exact check of the whole passage follows.
 
 The index lies in the folder all executors share, so a lost executor costs its tasks only. Training data is read
 once, without a shuffle; what is shuffled are evaluation messages (to their shards) and candidates.
@@ -34,13 +34,18 @@ LEAST, LONG = 5, 7
 #: Share of the longer message that merged matches must cover for two messages to correspond: of one message of a
 #: pair of samples at least ``COVER``, of the other ``COVER_WEAK`` (a short message with edits has short matches).
 COVER, COVER_WEAK = 0.25, 0.12
-#: A match is closed from so few occurrences on; one that ends before counts up to four times as many, or four times
-#: the occurrences of its message's rarest. Families of near copies larger than that are completed by ``families``.
+#: A match is closed from so few occurrences on, and the search begins anew before it.
 RARE = 12
-#: The codes of evaluation rows, which keep codes without partner from the join, are held in slices of so many.
-FILTER_CODES = 20_000_000
-#: Training rows searched at a time; more of them where every batch visits several shards.
-BATCH_ROWS, WIDE_BATCH_ROWS = 2500, 10_000
+#: Occurrences of matches, and pairs of training rows and evaluation tails, are worked off in slices of so many.
+OCCURRENCES, FILTER_CODES = 300_000, 100_000
+#: Classes of words by which passages are compared before the exact check; a full count in a byte says nothing.
+BAG, FULL = 256, 255
+#: Bits for the number of covered words where it is packed beside two message numbers.
+WEIGHT_BITS = 30
+#: Training rows that visit a shard together, and those of them that are searched at a time.
+BATCH_ROWS, SEARCH_ROWS = 10_000, 400
+#: A message that makes up this share of a passage tells the passage alone.
+MAIN = 0.6
 #: Share of common words (longest common subsequence, both sides) of the whole passage, and of its last message.
 SAME, SAME_LAST = 0.85, 0.6
 
@@ -169,7 +174,13 @@ class Shard:
     def maximal_matches(self, words: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, ...]:
         """Backward search of many patterns at once: ``(pattern, length, low, high)`` of each match of at least
         ``LEAST`` words. Each pattern is taken apart from its end; a match that cannot be extended, or is long and
-        rare, is closed and the search begins anew before it."""
+        rare, is closed and the search begins anew before it. Where an extension leaves texts behind, the match up to
+        there is given out as well: it is maximal for them."""
+        return self._search(words, starts, sizes)[:4]
+
+    def _search(self, words: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, ...]:
+        """The matches and, fifth, the words each has more than the one before it in the same search: a text that
+        holds a match holds those before it too, so these add up to its longest."""
         codes = self.symbols(words)
         # runs of LEAST words by their last word, and the next such run at or before each place
         gram = np.full(len(words), -1, np.int64)
@@ -182,10 +193,11 @@ class Shard:
             hit = self.grams[at] == code[order]
             gram[ends[order[hit]]] = at[hit]
         near = np.maximum.accumulate(np.where(gram >= 0, np.arange(len(words)), -1))
-        found: list[list[np.ndarray]] = [[], [], [], []]
+        found: list[list[np.ndarray]] = [[], [], [], [], []]
         which = np.flatnonzero(sizes > 0)
         first, at = starts[which].astype(np.int64), (starts + sizes)[which].astype(np.int64)
         which, first, at, end, low, high = self._begin(which, first, at, gram, near)
+        given = np.zeros(len(which), np.int64)
         while len(which):
             more = at > first
             symbol = codes[np.maximum(at - 1, 0)] << 32
@@ -195,13 +207,16 @@ class Shard:
             below[sort] = np.searchsorted(self.occ, (symbol | low)[sort])
             above[sort] = np.searchsorted(self.occ, (symbol | high)[sort])
             extended = more & (below < above)
-            low, high = np.where(extended, below, low), np.where(extended, above, high)
-            at = np.where(extended, at - 1, at)
             closed = ~extended | ((end - at >= LONG) & (high - low <= RARE))
-            for out, column in zip(found, (which, end - at, low, high)):
-                out.append(column[closed])
+            size = end - at
+            out_now = closed | (above - below < high - low)
+            for out, column in zip(found, (which, size, low, high, size - given)):
+                out.append(column[out_now])
+            given = np.where(out_now, size, given)
             go = ~closed
             fresh = self._begin(which[closed], first[closed], at[closed], gram, near)
+            given = np.concatenate((given[go], np.zeros(len(fresh[0]), np.int64)))
+            low, high, at = below, above, at - 1
             which, first, at, end, low, high = (np.concatenate(p) for p in zip((which[go], first[go], at[go], end[go], low[go], high[go]), fresh))
         return tuple(np.concatenate(f) if f else np.zeros(0, np.int64) for f in found)
 
@@ -214,101 +229,101 @@ class Shard:
         return which, first, last - LEAST + 1, last + 1, self.gram_low[g].astype(np.int64), self.gram_high[g].astype(np.int64)
 
     def corresponding(self, messages: list[np.ndarray], keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """``(message, key, share)``: the keys of the shard's messages each message corresponds to, at least weakly,
-        with the covered share; in order of message. A message with the same words has share 1."""
+        """``(message, other, share)``: the numbers of the shard's messages each message corresponds to, at least
+        weakly, with the covered share; in order of message and number. A message with the same words has share 1."""
         none = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
         if not messages or not self.n:
             return none
         sizes = np.fromiter(map(len, messages), np.int64, len(messages))
         starts = np.cumsum(sizes) - sizes
         same = self.equal(keys)
-        which, length, low, high = self.maximal_matches(np.concatenate(messages), starts, sizes)
-        many = high - low
-        rarest = np.full(len(messages), np.iinfo(np.int64).max)
-        np.minimum.at(rarest, which, many)
-        # a message without a rare match (one of very many near copies) counts all about as rare as its rarest
-        take = many <= 4 * np.maximum(RARE, rarest[which])
-        which, length, low, many = which[take], length[take], low[take], many[take]
-        own_same = np.flatnonzero((same >= 0) & (sizes > 0))
-        code_parts, weight_parts = [own_same * len(self.sizes) + same[own_same]], [sizes[own_same]]
-        ends = np.cumsum(many)
+        which, _, low, high, more = self._search(np.concatenate(messages), starts, sizes)
+        order = np.argsort(which, kind="stable")
+        which, low, many, more = which[order], low[order], (high - low)[order], more[order]
+        # every occurrence counts; slices of whole messages bound what is held at a time
+        cut = np.searchsorted(which, np.arange(len(messages) + 1))
+        ends = np.r_[0, np.cumsum(many)][cut]
+        parts = [none]
         at = 0
-        while at < len(many):  # bounded slices of the occurrences
-            stop = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + 2_000_000, "right")))
-            n = many[at:stop]
-            offset = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
-            message = self.owners[np.repeat(low[at:stop], n) + offset]
-            code = np.repeat(which[at:stop], n) * len(self.sizes) + message
-            distinct, back = np.unique(code, return_inverse=True)
-            code_parts.append(distinct)
-            weight_parts.append(np.bincount(back, np.repeat(length[at:stop], n)))
+        while at < len(messages):
+            stop = max(at + 1, int(np.searchsorted(ends, ends[at] + OCCURRENCES, "right")) - 1)
+            parts.append(self._covered(at, stop, sizes, same, which[cut[at] : cut[stop]], low[cut[at] : cut[stop]], many[cut[at] : cut[stop]], more[cut[at] : cut[stop]]))
             at = stop
-        code, back = np.unique(np.concatenate(code_parts), return_inverse=True)
-        covered = np.bincount(back, np.concatenate(weight_parts)) if len(code) else np.zeros(0)
-        own, other = code // max(1, len(self.sizes)), code % max(1, len(self.sizes))
+        return tuple(np.concatenate(c) for c in zip(*parts))
+
+    def _covered(self, begin, end, sizes, same, which, low, many, more) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """``corresponding`` of the messages ``begin`` to ``end`` from their matches."""
+        width = len(self.sizes)
+        alike = begin + np.flatnonzero((same[begin:end] >= 0) & (sizes[begin:end] > 0))
+        place = np.repeat(low - np.cumsum(many) + many, many) + np.arange(int(many.sum()))
+        # message, other message and covered words in one number each, so that one plain sort brings them together
+        packed = np.repeat(((which - begin) * width << WEIGHT_BITS) + more, many) + (self.owners[place].astype(np.int64) << WEIGHT_BITS)
+        packed = np.sort(np.concatenate((packed, ((alike - begin) * width + same[alike] << WEIGHT_BITS) + sizes[alike])))
+        code = packed >> WEIGHT_BITS
+        heads = np.flatnonzero(np.r_[True, code[1:] != code[:-1]]) if len(code) else np.zeros(0, np.int64)
+        covered = np.add.reduceat(packed & ((1 << WEIGHT_BITS) - 1), heads) if len(code) else heads
+        code = code[heads]
+        own, other = code // width + begin, code % width
         share = np.minimum(covered / np.maximum(sizes[own], self.sizes[other]), 1.0)
         keep = share >= COVER_WEAK
-        return own[keep], self.keys[other[keep]], share[keep]
-
-
-def _first(keys: np.ndarray) -> np.ndarray:
-    x = keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-    return (x ^ (x >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
-
-
-def _second(keys: np.ndarray) -> np.ndarray:
-    y = keys.astype(np.uint64) * np.uint64(0x94D049BB133111EB)
-    return y ^ (y >> np.uint64(31))
-
-
-def _code(x: np.ndarray) -> np.ndarray:
-    return ((x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)).view(np.int64)
-
-
-#: A message that makes up this share of a passage is a code of its own.
-MAIN = 0.6
-# what tells the places of messages, counted from the end, apart in codes: of one message, of the first and second of two
-_ALONE = [np.uint64(i + 1) for i in range(3)]
-_PLACES = {(i, j): np.uint64(1000 + 10 * i + j) for i in range(3) for j in range(i + 1, 3)}
-
-
-def codes_of(tail: list[tuple], total: int) -> list[np.ndarray]:
-    """64-bit join codes of a sample from the messages its last three, counted from the end, correspond to.
-
-    ``tail`` has of each message the number of words and the mixed keys (``_first``, ``_second``) of the messages it
-    corresponds to well and weakly. A code stands for two messages, one of them covered well, or for one well-covered
-    message that makes up most of the passage.
-    """
-    out = []
-    for i, (n, good, _, weak, _) in enumerate(tail):
-        if len(good) and n >= MAIN * total:
-            out.append(_code(good + _ALONE[i]))
-        for j in range(i + 1, len(tail)):
-            _, _, well, _, less = tail[j]
-            if len(good) and len(well):
-                out.append(_code(good[:, None] + (well + _PLACES[i, j])[None]).ravel())
-            if len(good) and len(less):
-                out.append(_code(good[:, None] + (less + _PLACES[i, j])[None]).ravel())
-            if len(weak) and len(well):
-                out.append(_code(weak[:, None] + (well + _PLACES[i, j])[None]).ravel())
-    return out
-
-
-def own_codes(tails: list[list[tuple[int, int]]], totals: list[int]) -> list[list[int]]:
-    """The same codes of many samples from their own messages: ``(words, key)`` of the last three, from the end."""
-    out: list[list[int]] = [[] for _ in tails]
-    for i in range(3):
-        at = [r for r, t in enumerate(tails) if len(t) > i]
-        first = _first(np.array([tails[r][i][1] for r in at], np.int64))
-        for r, code in zip(at, _code(first + _ALONE[i]).tolist()):
-            if tails[r][i][0] >= MAIN * totals[r]:
-                out[r].append(code)
-        for j in range(i + 1, 3):
-            both = [k for k, r in enumerate(at) if len(tails[r]) > j]
-            second = _second(np.array([tails[at[k]][j][1] for k in both], np.int64)) + _PLACES[i, j]
-            for k, code in zip(both, _code(first[both] + second).tolist()):
-                out[at[k]].append(code)
-    return out
+        return own[keep], other[keep], share[keep]
+
+
+class Tails:
+    """The last three messages of a shard's evaluation rows, each distinct tail once: ``codes`` name them, ``places``
+    holds the message at each place counted from the end (-1: none), ``totals`` the words of the passages, ``bags``
+    their numbers by class."""
+
+    def __init__(self, codes: np.ndarray, places: np.ndarray, totals: np.ndarray, bags: np.ndarray, sizes: np.ndarray):
+        self.bags = bags.reshape(-1, BAG)
+        self.codes, self.places, self.totals = codes, places.reshape(-1, 3), totals.astype(np.int64)
+        self.sizes = sizes.astype(np.int64)
+        self.order = [np.argsort(p, kind="stable") for p in self.places.T]
+        self.starts = [np.searchsorted(p[o], np.arange(len(sizes) + 1)) for p, o in zip(self.places.T, self.order)]
+
+    def candidates(self, rows: np.ndarray, totals: np.ndarray, bags: np.ndarray, words: np.ndarray, own: np.ndarray, other: np.ndarray, share: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """``(row, tail)``: rows (message at each place, -1: none) and tails with two messages that correspond place
+        by place, one of them well, or with one such message that makes up most of both passages. ``own``, ``other``
+        and ``share`` are those of ``Shard.corresponding``, ``words`` the sizes of the messages."""
+        width = len(self.sizes)
+        codes = own * width + other
+        well = share >= COVER
+        good = other[well]
+        cut = np.searchsorted(own[well], np.arange(len(words) + 1))
+        found = [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
+        for i in range(3):
+            order, starts = self.order[i], self.starts[i]
+            held = np.flatnonzero(rows[:, i] >= 0)
+            a, n = cut[rows[held, i]], np.diff(cut)[rows[held, i]]
+            g = np.repeat(a, n) + np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+            row, message = np.repeat(held, n), good[g]
+            many = starts[message + 1] - starts[message]
+            ends = np.r_[0, np.cumsum(many)]
+            at = 0
+            while at < len(row):
+                stop = max(at + 1, int(np.searchsorted(ends, ends[at] + FILTER_CODES, "right")) - 1)
+                k = many[at:stop]
+                place = np.repeat(starts[message[at:stop]], k) + np.arange(int(k.sum())) - np.repeat(np.cumsum(k) - k, k)
+                r, t = np.repeat(row[at:stop], k), order[place]
+                at = stop
+                # passages this unlike in length fail the exact check
+                keep = 2 * np.minimum(totals[r], self.totals[t]) >= SAME * (totals[r] + self.totals[t])
+                r, t = r[keep], t[keep]
+                ok = (words[rows[r, i]] >= MAIN * totals[r]) & (self.sizes[self.places[t, i]] >= MAIN * self.totals[t])
+                for j in range(3):
+                    if j != i and len(r):
+                        code = rows[r, j] * width + self.places[t, j]
+                        near = np.minimum(np.searchsorted(codes, code), len(codes) - 1)
+                        ok |= (rows[r, j] >= 0) & (self.places[t, j] >= 0) & (codes[near] == code)
+                r, t = r[ok], t[ok]
+                # common words by class are never fewer than those the exact check finds
+                mine, theirs = bags[r], self.bags[t]
+                common = np.minimum(mine, theirs, out=mine)
+                keep = (2 * common.sum(1, dtype=np.int64) >= SAME * (totals[r] + self.totals[t])) | (common == FULL).any(1)
+                found.append((r[keep], t[keep]))
+        row, tail = (np.concatenate(c) for c in zip(*found))
+        both = np.unique(row * max(1, len(self.codes)) + tail)
+        return both // max(1, len(self.codes)), both % max(1, len(self.codes))
 
 
 _WORDS = WordIds()
@@ -339,7 +354,7 @@ def _parts(path: str) -> list[tuple[str, int]]:
     return out
 
 
-def _shards(path: str) -> Iterator[Shard]:
+def _shards(path: str) -> Iterator[tuple[Shard, Tails]]:
     """The shards of an index one after another."""
     files, _ = pyarrow.fs.FileSystem.from_uri(path)
     for name, group in _held("parts", path, lambda: _parts(path)):
@@ -347,140 +362,125 @@ def _shards(path: str) -> Iterator[Shard]:
         def load(name=name, group=group):
             with files.open_input_file(name) as f:
                 table = pq.ParquetFile(f).read_row_group(group)
-            return [Shard.load({c: table.column(c)[r].as_py() for c in table.column_names if c != "shard"}) for r in range(table.num_rows)]
+            out = []
+            for r in range(table.num_rows):
+                parts = {c: table.column(c)[r].as_py() for c in table.column_names}
+                shard = Shard.load(parts)
+                tails = (np.frombuffer(parts[c], t) for c, t in (("tails", np.int64), ("places", np.int32), ("totals", np.int32), ("bags", np.uint8)))
+                out.append((shard, Tails(*tails, shard.sizes)))
+            return out
 
         yield from _held("shard", f"{path}#{name}#{group}", load)
 
 
+def _bag(words: list[np.ndarray]) -> np.ndarray:
+    """Number of words of each class, ``FULL`` at most."""
+    counts = np.bincount(np.concatenate(words) % BAG, minlength=BAG) if words else np.zeros(BAG, np.int64)
+    return np.minimum(counts, FULL).astype(np.uint8)
+
+
+def _tail(total: int, keys: list[int], bag: np.ndarray) -> int:
+    """Code of a passage's last three messages, its length and its bag. Rows with equal codes are candidates of the
+    same rows."""
+    return int.from_bytes(xxhash.xxh64_digest(np.array([total, *keys[-3:]], np.int64).tobytes() + bag.tobytes()), "big", signed=True)
+
+
 def evaluation_messages(rows: DataFrame, id_col: str, text_col: str, shards: int) -> DataFrame:
-    """``id``, ``codes`` and the distinct ``messages`` (shard, key, words) of each evaluation row; a message already
-    given out by the same task is left out."""
+    """``id``, ``code`` of the tail, its ``shard``, ``total``, the ``bag``, the ``keys`` of its messages from the end, and
+    their ``words``, null for a message the same task has already given out for the shard."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[int] = set()
-        item = pa.struct([("shard", pa.int32()), ("key", pa.int64()), ("words", pa.binary())])
+        seen: set[tuple[int, int]] = set()
         for batch in batches:
-            tails, totals, lists = [], [], []
-            for raw in batch.column(1).to_pylist():
-                own, fresh = [], []
-                for text in passage(raw):
-                    ws = _WORDS(text)
-                    if not len(ws):
-                        continue
-                    k = message_key(ws)
-                    own.append((len(ws), k))
-                    if k not in seen:
-                        seen.add(k)
-                        fresh.append({"shard": k % shards, "key": k, "words": ws.tobytes()})
-                tails.append(own[::-1][:3])
-                totals.append(sum(n for n, _ in own))
-                lists.append(fresh)
-            codes = own_codes(tails, totals)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(codes, pa.list_(pa.int64())), pa.array(lists, pa.list_(item))], names=["id", "codes", "messages"])
+            take, codes, places, totals, bags, lists, texts = [], [], [], [], [], [], []
+            for i, raw in enumerate(batch.column(1).to_pylist()):
+                words = [w for w in map(_WORDS, passage(raw)) if len(w)]
+                if not words:
+                    continue
+                keys = [message_key(w) for w in words]
+                total, bag = sum(map(len, words)), _bag(words)
+                code = _tail(total, keys, bag)
+                place = code % shards
+                fresh = []
+                for k, w in zip(keys[:-4:-1], words[:-4:-1]):
+                    fresh.append(None if (place, k) in seen else w.tobytes())
+                    seen.add((place, k))
+                take.append(i)
+                codes.append(code)
+                places.append(place)
+                totals.append(total)
+                bags.append(bag.tobytes())
+                lists.append(keys[:-4:-1])
+                texts.append(fresh)
+            columns = [batch.column(0).take(pa.array(take, pa.int32())), pa.array(codes, pa.int64()), pa.array(places, pa.int32()), pa.array(totals, pa.int32()), pa.array(bags, pa.binary()), pa.array(lists, pa.list_(pa.int64())), pa.array(texts, pa.list_(pa.binary()))]
+            yield pa.RecordBatch.from_arrays(columns, names=["id", "code", "shard", "total", "bag", "keys", "words"])
 
     kind = dict(rows.dtypes)[id_col]
-    return rows.select(F.col(id_col), F.col(text_col).cast("string").alias("_t")).mapInArrow(run, f"id {kind}, codes array<bigint>, messages array<struct<shard: int, key: bigint, words: binary>>")
+    return rows.select(F.col(id_col), F.col(text_col).cast("string").alias("_t")).mapInArrow(run, f"id {kind}, code bigint, shard int, total int, bag binary, keys array<bigint>, words array<binary>")
 
 
 def build_index(messages: DataFrame, path: str) -> None:
     """Write the shards' indexes below ``path``: one task per shard."""
 
     def build(table: pa.Table) -> pa.Table:
-        keys = table.column("key").to_numpy()
-        first = np.unique(keys, return_index=True)[1]
-        words = table.column("words").take(pa.array(first)).to_pylist()
-        parts = Shard.build([np.frombuffer(w, np.int32) for w in words], keys[first])
+        lists = table.column("keys").combine_chunks()
+        keys, words = lists.flatten().to_numpy(), table.column("words").combine_chunks().flatten()
+        held = np.flatnonzero(~words.is_null().to_numpy(zero_copy_only=False))
+        distinct, first = np.unique(keys[held], return_index=True)
+        parts = Shard.build([np.frombuffer(w, np.int32) for w in words.take(pa.array(held[first])).to_pylist()], distinct)
+        codes, rows = np.unique(table.column("code").to_numpy(), return_index=True)
+        sizes = lists.value_lengths().to_numpy().astype(np.int64)
+        starts = np.cumsum(sizes) - sizes
+        places = np.full((len(rows), 3), -1, np.int32)
+        for i in range(3):
+            some = np.flatnonzero(sizes[rows] > i)
+            places[some, i] = np.searchsorted(distinct, keys[starts[rows[some]] + i])
+        parts |= {"tails": codes.tobytes(), "places": places.tobytes(), "totals": table.column("total").to_numpy()[rows].astype(np.int32).tobytes(), "bags": b"".join(table.column("bag").take(pa.array(rows)).to_pylist())}
         return pa.table({"shard": pa.array([table.column("shard")[0].as_py()], pa.int32()), **{k: pa.array([v], pa.binary()) for k, v in parts.items()}})
 
-    schema = "shard int, grams binary, gram_low binary, gram_high binary, alphabet binary, counts binary, positions binary, owners binary, keys binary, sizes binary"
-    flat = messages.select(F.explode("messages").alias("m")).select("m.shard", "m.key", "m.words")
-    flat.groupBy("shard").applyInArrow(build, schema).write.parquet(path)
+    schema = "shard int, grams binary, gram_low binary, gram_high binary, alphabet binary, counts binary, positions binary, owners binary, keys binary, sizes binary, tails binary, places binary, totals binary, bags binary"
+    messages.drop("id").groupBy("shard").applyInArrow(build, schema).write.parquet(path)
 
 
-def training_codes(rows: DataFrame, id_col: str, text_col: str, path: str, wanted: list[str], wide: bool = False) -> DataFrame:
-    """``(id, code)`` of training rows streamed through the index: codes as evaluation rows would have them, with
-    each message replaced by the evaluation messages it corresponds to. Only codes of the tables ``wanted`` come out."""
-    size = WIDE_BATCH_ROWS if wide else BATCH_ROWS
+def training_codes(rows: DataFrame, id_col: str, text_col: str, path: str) -> DataFrame:
+    """``(id, code)`` of training rows streamed through the index: the codes of the evaluation tails whose messages
+    correspond to theirs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        nothing = np.zeros(0, np.uint64)
-        memo: dict[str, tuple] = {}
         for whole in batches:
-            for begin in range(0, whole.num_rows, size):
-                batch = whole.slice(begin, size)
-                lists = [passage(raw) for raw in batch.column(1).to_pylist()]
-                fresh = [t for t in dict.fromkeys(t for ts in lists for t in ts) if t not in memo]
-                if len(memo) > 20_000:
-                    memo.clear()
-                    fresh = list(dict.fromkeys(t for ts in lists for t in ts))
-                words = [_WORDS(t) for t in fresh]
-                own_keys = np.fromiter(map(message_key, words), np.int64, len(words))
-                parts = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)), *(shard.corresponding(words, own_keys) for shard in _shards(path))]
-                own, keys, share = (np.concatenate(c) for c in zip(*parts))
-                order = np.argsort(own, kind="stable")
-                own, keys, share = own[order], keys[order], share[order]
-                cut = np.searchsorted(own, np.arange(len(fresh) + 1))
-                # well covered before weakly covered ones within each message, mixed for the codes in one go
-                weak = share < COVER
-                order = np.lexsort((weak, own))
-                first, second = _first(keys[order]), _second(keys[order])
-                middle = cut[:-1] + np.diff(np.r_[0, np.cumsum(~weak[order])][cut])
-                for t, w, a, m, b in zip(fresh, words, cut.tolist(), middle.tolist(), cut[1:].tolist()):
-                    memo[t] = (len(w), first[a:m], second[a:m], first[m:b], second[m:b]) if b > a else (len(w), nothing, nothing, nothing, nothing)
-                ids, codes = [], []
-                for i, ts in enumerate(lists):
-                    got = [g for g in (memo[t] for t in ts) if g[0]]
-                    tail = got[::-1][:3]
-                    if any(len(g[1]) for g in tail):
-                        new = codes_of(tail, sum(g[0] for g in got))
-                        ids.extend([i] * len(new))
-                        codes.extend(new)
-                if not ids:
-                    continue
-                ids = np.repeat(np.array(ids, np.int32), np.fromiter(map(len, codes), np.int64, len(codes)))
-                codes = np.concatenate(codes)
-                keep = np.zeros(len(codes), bool)
-                for table in wanted:
-                    keep |= _code_set(table).has(codes)
-                ids, codes = ids[keep], codes[keep]
-                if len(ids):
-                    yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(ids)), pa.array(codes)], names=["id", "code"])
+            for begin in range(0, whole.num_rows, BATCH_ROWS):
+                batch = whole.slice(begin, BATCH_ROWS)
+                groups = []
+                for lead in range(0, batch.num_rows, SEARCH_ROWS):
+                    number: dict[int, int] = {}
+                    words: list[np.ndarray] = []
+                    places, totals, bags = [], [], []
+                    for raw in batch.column(1).slice(lead, SEARCH_ROWS).to_pylist():
+                        own = [w for w in map(_WORDS, passage(raw)) if len(w)]
+                        totals.append(sum(map(len, own)))
+                        bags.append(_bag(own))
+                        tail = [-1, -1, -1]
+                        for i, w in enumerate(own[:-4:-1]):
+                            k = message_key(w)
+                            if k not in number:
+                                number[k] = len(words)
+                                words.append(w)
+                            tail[i] = number[k]
+                        places.append(tail)
+                    groups.append((lead, words, np.array(list(number), np.int64), np.array(places, np.int64), np.array(totals, np.int64), np.array(bags)))
+                for shard, tails in _shards(path):
+                    for lead, words, keys, places, totals, bags in groups:
+                        own, other, share = shard.corresponding(words, keys)
+                        if not len(own):
+                            continue
+                        row, tail = tails.candidates(places, totals, bags, np.fromiter(map(len, words), np.int64, len(words)), own, other, share)
+                        if len(row):
+                            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row + lead)), pa.array(tails.codes[tail])], names=["id", "code"])
 
     kind = dict(rows.dtypes)[id_col]
     return rows.select(F.col(id_col), F.col(text_col).cast("string").alias("_t")).mapInArrow(run, f"id {kind}, code bigint")
 
 
-class CodeSet:
-    """Codes of evaluation rows: a table of marks by the codes' lower bits in front of the sorted codes."""
-
-    def __init__(self, codes: np.ndarray):
-        self.codes = np.unique(codes)
-        bits = min(26, max(16, int(len(self.codes)).bit_length() + 4))
-        self.mask = np.int64((1 << bits) - 1)
-        self.marks = np.zeros(1 << bits, bool)
-        self.marks[self.codes & self.mask] = True
-
-    def has(self, codes: np.ndarray) -> np.ndarray:
-        found = self.marks[codes & self.mask]
-        some = np.flatnonzero(found)
-        if len(some):
-            at = np.minimum(np.searchsorted(self.codes, codes[some]), len(self.codes) - 1)
-            found[some] = self.codes[at] == codes[some]
-        return found
-
-
-def _code_set(path: str) -> CodeSet:
-    def load():
-        files, _ = pyarrow.fs.FileSystem.from_uri(path)
-        parts = [np.zeros(0, np.int64)]
-        for name in _tables(path):
-            with files.open_input_file(name) as f:
-                parts.append(pq.ParquetFile(f).read(columns=["code"]).column("code").to_numpy())
-        return CodeSet(np.concatenate(parts))
-
-    return _held("codes", path, load)
-
-
 def common_words(a: np.ndarray, b: np.ndarray) -> int:
     """Length of the longest common subsequence, bit-parallel over the shorter side."""
     if len(a) > len(b):
@@ -560,13 +560,8 @@ def cross_split_overlaps(samples: DataFrame, id_col: str = "sample_id", text_col
     evaluation_messages(held, id_col, text_col, shards).write.parquet(f"{base}/messages")
     messages = spark.read.parquet(f"{base}/messages")
     build_index(messages, f"{base}/index")
-    codes = messages.select(F.col("id").alias("eval_id"), F.explode("codes").alias("code"))
-    slices = max(1, -(-codes.count() // FILTER_CODES))
-    wanted = [f"{base}/codes-{k}" for k in range(slices)]
-    for k, target in enumerate(wanted):
-        codes.where(F.pmod("code", F.lit(slices)) == k).write.parquet(target)
-    codes = spark.read.parquet(*wanted)
-    streamed = training_codes(samples.where(F.col(split_col) == train), id_col, text_col, f"{base}/index", wanted, shards > 1)
+    codes = messages.select(F.col("id").alias("eval_id"), "code")
+    streamed = training_codes(samples.where(F.col(split_col) == train), id_col, text_col, f"{base}/index")
     pairs = streamed.select(F.col("id").alias("train_id"), "code").join(codes, "code").select("train_id", "eval_id").distinct()
     pairs.write.parquet(f"{base}/pairs")
     pairs = spark.read.parquet(f"{base}/pairs")
@@ -579,7 +574,7 @@ def cross_split_overlaps(samples: DataFrame, id_col: str = "sample_id", text_col
     once = [F.max("shared_words").alias("shared_words"), F.max("share").alias("share")]
     _verified(pairs.join(left, "train_id").join(right, "eval_id"), kind).groupBy("train_id", "eval_id").agg(*once).write.parquet(f"{base}/found")
     found = spark.read.parquet(f"{base}/found")
-    # a rare match names few texts of a large family of near copies; the family closes the gaps
+    # short messages with edits hold no match of LEAST words; the family of near copies closes such gaps
     groups = families(found, f"{base}/family")
     members = groups.select("family", "train_id").distinct().join(groups.select("family", "eval_id").distinct(), "family").select("train_id", "eval_id")
     more = members.join(found.select("train_id", "eval_id"), ["train_id", "eval_id"], "left_anti")

@@ -83,6 +83,24 @@ def test_many_near_copies(spark):
     assert got <= want and len(got) >= 0.98 * len(want) and len(want) > 2000
 
 
+def test_large_family_with_shared_edits(spark):
+    rng = random.Random(3)
+    words = [f"w{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(300)]
+    base = [rng.choices(words, k=40), rng.choices(words, k=45)]
+
+    def copy():
+        # one edit a message, of a thousand: each also stands in some three other rows, others for either message
+        texts = [list(m) for m in base]
+        for m in texts:
+            m[rng.randrange(40)] = f"edit{chr(97 + rng.randrange(25))}"
+        return sample(*map(" ".join, texts))
+
+    rows = [(i, "dev", copy()) for i in range(3000)] + [(5000 + i, "train", copy()) for i in range(12)]
+    df = spark.createDataFrame(rows, "sample_id long, split string, messages string")
+    got = {(r["train_id"], r["eval_id"]) for r in overlap.cross_split_overlaps(df).collect()}
+    assert got == {(5000 + t, e) for t in range(12) for e in range(3000)}
+
+
 def test_overlaps_of_the_table_against_brute_force(spark, sf_dir):
     from colloquy.sources import table
 
