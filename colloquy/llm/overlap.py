@@ -2,12 +2,18 @@
 
 The messages of the evaluation splits (each distinct one once) form the shards of an FM-index over words: a suffix
 array, the Burrows-Wheeler transform as word positions, and backward search. Training samples are streamed through
-it: every message is taken apart into maximal matches from its end, and the words they cover are counted for every
-evaluation message in which they occur, however many those are. Samples whose last messages are covered by those of
-one evaluation sample become candidates. An exact check of the whole passage follows.
+it. Every place of a message begins a search, whose first ``LEAST`` words are looked up in a directory; a match is
+extended backwards as long as all its texts go along. Such matches are merged and the words they cover are counted for
+every evaluation passage. Passages that share enough words of a training passage are compared with it as a whole,
+where they meet.
+
+Matches differ in how many passages hold them. As a passage must share ``COVER`` of the training passage's places, it
+cannot do so by the most frequent matches alone as long as these make up less than that; so up to ``SKIP`` of the
+places, the most frequent matches are not followed up, and still no passage is lost. What they could add is granted to
+every passage.
 
 The index lies in the folder all executors share, so a lost executor costs its tasks only. Training data is read
-once, without a shuffle; what is shuffled are evaluation messages (to their shards) and candidates.
+once, without a shuffle; what is shuffled are evaluation messages (to their shards) and the pairs found.
 """
 
 from __future__ import annotations
@@ -26,26 +32,20 @@ from pyspark.sql import functions as F
 from colloquy.llm import _text
 from colloquy.session import shared_dir
 
-#: Evaluation rows per index shard: some ten million words, built and searched within a worker's memory.
-SHARD_ROWS = 100_000
-#: Shortest match that counts, in words; from ``LONG`` words on a match is closed once it is rare, so that a longer
-#: match with one text (an exact copy) does not hide the other texts that share its parts. Adjoining spans merge.
-LEAST, LONG = 5, 7
-#: Share of the longer message that merged matches must cover for two messages to correspond: of one message of a
-#: pair of samples at least ``COVER``, of the other ``COVER_WEAK`` (a short message with edits has short matches).
-COVER, COVER_WEAK = 0.25, 0.12
-#: A match is closed from so few occurrences on, and the search begins anew before it.
-RARE = 12
-#: Occurrences of matches, and pairs of training rows and evaluation tails, are worked off in slices of so many.
-OCCURRENCES, FILTER_CODES = 300_000, 100_000
+#: Characters of evaluation messages per index shard: some ten million words, of which windows of one dialogue share
+#: most; built and searched within a worker's memory.
+SHARD_CHARS = 60_000_000
+#: Shortest match that counts, in words.
+LEAST = 5
+#: Share of a training passage's places (words that begin a match) that an evaluation passage must share, and the share
+#: of them, in the most frequent matches, that is granted instead of counted. With SKIP below COVER nothing is lost by it.
+COVER, SKIP = 0.35, 0.3
+#: Occurrences of matches in passages are worked off in slices of so many.
+OCCURRENCES = 1_000_000
 #: Classes of words by which passages are compared before the exact check; a full count in a byte says nothing.
 BAG, FULL = 256, 255
-#: Bits for the number of covered words where it is packed beside two message numbers.
-WEIGHT_BITS = 30
 #: Training rows that visit a shard together, and those of them that are searched at a time.
 BATCH_ROWS, SEARCH_ROWS = 10_000, 400
-#: A message that makes up this share of a passage tells the passage alone.
-MAIN = 0.6
 #: Share of common words (longest common subsequence, both sides) of the whole passage, and of its last message.
 SAME, SAME_LAST = 0.85, 0.6
 
@@ -116,19 +116,40 @@ def _grams(text: np.ndarray) -> np.ndarray:
 
 
 class Shard:
-    """FM-index of one shard: alphabet, word positions in the transform, and the message of each suffix in order."""
+    """FM-index of one shard: alphabet, word positions in the transform, the message of each suffix in order; and the
+    shard's passages: which messages they consist of, their words by class, and the size of their last message."""
 
-    def __init__(self, alphabet, counts, positions, owners, keys, sizes, grams, gram_low, gram_high):
-        self.alphabet, self.owners, self.keys, self.sizes = alphabet, owners, keys, sizes
+    def __init__(self, alphabet, counts, positions, owners, keys, words, starts, grams, gram_low, gram_high, codes, bags, lists, ends):
+        self.alphabet, self.owners, self.keys = alphabet, owners, keys
+        self.words, self.starts = words, starts
         self.grams, self.gram_low, self.gram_high = grams, gram_low, gram_high
         self.n = len(positions)
         self.occ = (np.repeat(np.arange(len(counts), dtype=np.int64), counts) << 32) | positions
         self._by_key = np.argsort(keys, kind="stable")
         self._sorted_keys = keys[self._by_key]
+        # passages: ``lists`` are the numbers of their messages in order, ``ends`` where each passage's list ends
+        self.codes, self.bags, self.lists = codes, bags.reshape(-1, BAG), lists
+        self.firsts = np.r_[0, ends[:-1]] if len(ends) else ends
+        self.sizes = np.diff(np.r_[starts, len(words)])
+        many = np.diff(np.r_[0, ends])
+        self.totals = np.bincount(np.repeat(np.arange(len(ends)), many), self.sizes[lists], len(ends)).astype(np.int64)
+        self.tails = self.sizes[lists[ends - 1]] if len(ends) else ends
+        # and the passages of each message
+        by_message = np.argsort(lists, kind="stable")
+        self.holders = np.repeat(np.arange(len(ends), dtype=np.int32), many)[by_message]
+        self.held = np.searchsorted(lists[by_message], np.arange(len(starts) + 1))
+        # the passages that hold each suffix, in order of the index, where those of a suffix begin, and behind them those
+        # of each message
+        self.spread = np.r_[0, np.cumsum(np.diff(self.held)[owners])]
+        self.passages = np.concatenate((self.holders[_ranges(self.held[owners], np.diff(self.spread))], self.holders))
+        self.whole = int(self.spread[-1]) + self.held
 
     @staticmethod
-    def build(messages: list[np.ndarray], keys: np.ndarray) -> dict[str, bytes]:
-        """The parts of the index, as they are stored. ``messages`` are distinct and not empty."""
+    def build(messages: list[np.ndarray], keys: np.ndarray, codes: np.ndarray, bags: np.ndarray, lists: list[np.ndarray]) -> dict[str, bytes]:
+        """The parts of the index, as they are stored. ``messages`` are distinct and not empty; ``lists`` are the numbers
+        of the messages of each passage. Passages are kept in order of their words' number."""
+        order = np.argsort([sum(len(messages[m]) for m in x) for x in lists], kind="stable")
+        codes, bags, lists = codes[order], bags.reshape(-1, BAG)[order], [lists[i] for i in order]
         sizes = np.fromiter(map(len, messages), np.int32, len(messages))
         starts = (np.cumsum(sizes + 1) - sizes - 1).astype(np.int32)
         text = np.zeros(int(sizes.sum()) + len(messages), np.int64)
@@ -150,12 +171,14 @@ class Shard:
         last = np.r_[first[1:], len(order)] - 1 if len(order) else first
         by_code = np.argsort(ordered[first], kind="stable")
         grams = {"grams": ordered[first][by_code], "gram_low": rank[first][by_code].astype(np.int32), "gram_high": (rank[last] + 1)[by_code].astype(np.int32)}
-        parts = grams | {"alphabet": alphabet.astype(np.int64), "counts": counts, "positions": positions, "owners": np.repeat(np.arange(len(sizes), dtype=np.int32), sizes + 1)[suffixes], "keys": keys.astype(np.int64), "sizes": sizes}
+        parts = grams | {"alphabet": alphabet.astype(np.int64), "counts": counts, "positions": positions, "owners": np.repeat(np.arange(len(sizes), dtype=np.int32), sizes + 1)[suffixes], "keys": keys.astype(np.int64)}
+        parts |= {"words": np.concatenate(messages).astype(np.int32), "starts": np.cumsum(sizes, dtype=np.int64) - sizes}
+        parts |= {"codes": codes.astype(np.int64), "bags": bags.astype(np.uint8), "lists": np.concatenate(lists).astype(np.int32), "ends": np.cumsum([len(x) for x in lists], dtype=np.int64)}
         return {k: np.ascontiguousarray(v).tobytes() for k, v in parts.items()}
 
     @classmethod
     def load(cls, parts: dict[str, bytes]) -> Shard:
-        kinds = {"grams": np.int64, "gram_low": np.int32, "gram_high": np.int32, "alphabet": np.int64, "counts": np.int32, "positions": np.int32, "owners": np.int32, "keys": np.int64, "sizes": np.int32}
+        kinds = {"grams": np.int64, "gram_low": np.int32, "gram_high": np.int32, "alphabet": np.int64, "counts": np.int32, "positions": np.int32, "owners": np.int32, "keys": np.int64, "words": np.int32, "starts": np.int64, "codes": np.int64, "bags": np.uint8, "lists": np.int32, "ends": np.int64}
         return cls(**{k: np.frombuffer(parts[k], t) for k, t in kinds.items()})
 
     def symbols(self, words: np.ndarray) -> np.ndarray:
@@ -171,159 +194,99 @@ class Shard:
         at = np.minimum(np.searchsorted(self._sorted_keys, keys), len(self.keys) - 1)
         return np.where(self._sorted_keys[at] == keys, self._by_key[at], -1)
 
-    def maximal_matches(self, words: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, ...]:
-        """Backward search of many patterns at once: ``(pattern, length, low, high)`` of each match of at least
-        ``LEAST`` words. Each pattern is taken apart from its end; a match that cannot be extended, or is long and
-        rare, is closed and the search begins anew before it. Where an extension leaves texts behind, the match up to
-        there is given out as well: it is maximal for them."""
-        return self._search(words, starts, sizes)[:4]
-
-    def _search(self, words: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, ...]:
-        """The matches and, fifth, the words each has more than the one before it in the same search: a text that
-        holds a match holds those before it too, so these add up to its longest."""
-        codes = self.symbols(words)
-        # runs of LEAST words by their last word, and the next such run at or before each place
-        gram = np.full(len(words), -1, np.int64)
-        room = np.arange(len(words)) - np.repeat(starts, sizes) + 1
-        ends = np.flatnonzero(room >= LEAST)
-        if len(ends) and len(self.grams):
-            code = _grams(words.astype(np.int64) + 1)[ends - LEAST + 1]
-            order = np.argsort(code)
-            at = np.minimum(np.searchsorted(self.grams, code[order]), len(self.grams) - 1)
-            hit = self.grams[at] == code[order]
-            gram[ends[order[hit]]] = at[hit]
-        near = np.maximum.accumulate(np.where(gram >= 0, np.arange(len(words)), -1))
-        found: list[list[np.ndarray]] = [[], [], [], [], []]
-        which = np.flatnonzero(sizes > 0)
-        first, at = starts[which].astype(np.int64), (starts + sizes)[which].astype(np.int64)
-        which, first, at, end, low, high = self._begin(which, first, at, gram, near)
-        given = np.zeros(len(which), np.int64)
-        while len(which):
-            more = at > first
-            symbol = codes[np.maximum(at - 1, 0)] << 32
-            # in order of the index, so that neighbouring searches share its cached parts
-            sort = np.argsort(symbol | low)
-            below, above = np.empty_like(low), np.empty_like(low)
-            below[sort] = np.searchsorted(self.occ, (symbol | low)[sort])
-            above[sort] = np.searchsorted(self.occ, (symbol | high)[sort])
-            extended = more & (below < above)
-            closed = ~extended | ((end - at >= LONG) & (high - low <= RARE))
-            size = end - at
-            out_now = closed | (above - below < high - low)
-            for out, column in zip(found, (which, size, low, high, size - given)):
-                out.append(column[out_now])
-            given = np.where(out_now, size, given)
-            go = ~closed
-            fresh = self._begin(which[closed], first[closed], at[closed], gram, near)
-            given = np.concatenate((given[go], np.zeros(len(fresh[0]), np.int64)))
-            low, high, at = below, above, at - 1
-            which, first, at, end, low, high = (np.concatenate(p) for p in zip((which[go], first[go], at[go], end[go], low[go], high[go]), fresh))
-        return tuple(np.concatenate(f) if f else np.zeros(0, np.int64) for f in found)
-
-    def _begin(self, which, first, at, gram, near):
-        """State of new searches that end before ``at``: the last run of LEAST words there with its interval."""
-        last = np.where(at > first, near[np.maximum(at - 1, 0)], -1)
-        keep = last - LEAST + 1 >= first
-        which, first, last = which[keep], first[keep], last[keep]
-        g = gram[last]
-        return which, first, last - LEAST + 1, last + 1, self.gram_low[g].astype(np.int64), self.gram_high[g].astype(np.int64)
-
-    def corresponding(self, messages: list[np.ndarray], keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """``(message, other, share)``: the numbers of the shard's messages each message corresponds to, at least
-        weakly, with the covered share; in order of message and number. A message with the same words has share 1."""
-        none = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
-        if not messages or not self.n:
+    def matches(self, words: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, ...]:
+        """``(message, places, low, high)``: the matches of many messages at once, laid end to end in ``words``. Each stands
+        for so many neighbouring places and for the interval of the suffixes that hold it."""
+        room = np.arange(len(words)) - np.repeat(starts, sizes)
+        begin = np.flatnonzero(room + LEAST <= np.repeat(sizes, sizes))
+        if not len(begin) or not len(self.grams):
+            return tuple(np.zeros(0, np.int64) for _ in range(4))
+        code = _grams(words.astype(np.int64) + 1)[begin]
+        # in order of the directory, so that neighbouring searches share its cached parts
+        order = np.argsort(code)
+        at = np.minimum(np.searchsorted(self.grams, code[order]), len(self.grams) - 1)
+        hit = self.grams[at] == code[order]
+        gram = np.full(len(words), -1)
+        gram[begin[order[hit]]] = at[hit]
+        place = np.flatnonzero(gram >= 0)
+        low, high = self.gram_low[gram[place]].astype(np.int64), self.gram_high[gram[place]].astype(np.int64)
+        # one step of backward search tells whether all texts of a match go along to the place before it
+        apart = np.ones(len(place), bool)
+        near = 1 + np.flatnonzero((np.diff(place) == 1) & (room[place[1:]] > 0) & (np.diff(high - low) == 0))
+        symbol = self.symbols(words[place[near] - 1]) << 32
+        order = np.argsort(symbol | low[near])
+        below, above = np.empty(len(near), np.int64), np.empty(len(near), np.int64)
+        below[order] = np.searchsorted(self.occ, (symbol | low[near])[order])
+        above[order] = np.searchsorted(self.occ, (symbol | high[near])[order])
+        apart[near] = above - below < high[near] - low[near]
+        first = np.flatnonzero(apart)
+        owner = np.repeat(np.arange(len(sizes)), sizes)[place[first]]
+        return owner, np.diff(np.r_[first, len(place)]), low[first], high[first]
+
+    def passage(self, number: int) -> np.ndarray:
+        first, many = self.firsts[number], self.firsts[number + 1] if number + 1 < len(self.firsts) else len(self.lists)
+        return np.concatenate([self.words[self.starts[m] : self.starts[m] + self.sizes[m]] for m in self.lists[first:many].tolist()])
+
+    def candidates(self, messages: list[np.ndarray], keys: np.ndarray, of: np.ndarray, totals: np.ndarray, bags: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """``(row, passage)``: training rows and the passages that cover at least ``COVER`` of their places and are not too
+        unlike in length and words for the exact check. Message ``i`` belongs to row ``of[i]``; rows are in order."""
+        none = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        if not messages or not len(self.codes):
             return none
         sizes = np.fromiter(map(len, messages), np.int64, len(messages))
-        starts = np.cumsum(sizes) - sizes
+        which, weight, low, high = self.matches(np.concatenate(messages), np.cumsum(sizes) - sizes, sizes)
+        row, low, high = of[which], self.spread[low], self.spread[high]
+        # a message shorter than a match corresponds if the shard has it; a word of its own tells its passages
         same = self.equal(keys)
-        which, _, low, high, more = self._search(np.concatenate(messages), starts, sizes)
-        order = np.argsort(which, kind="stable")
-        which, low, many, more = which[order], low[order], (high - low)[order], more[order]
-        # every occurrence counts; slices of whole messages bound what is held at a time
-        cut = np.searchsorted(which, np.arange(len(messages) + 1))
-        ends = np.r_[0, np.cumsum(many)][cut]
-        parts = [none]
+        short = np.flatnonzero((sizes < LEAST) & (same >= 0))
+        row, weight = np.r_[row, of[short]], np.r_[weight, sizes[short]]
+        low, high = np.r_[low, self.whole[same[short]]], np.r_[high, self.whole[same[short] + 1]]
+        # the most frequent matches of each row first
+        order = np.lexsort((low - high, row))
+        row, weight, low, high = row[order], weight[order], low[order], high[order]
+        reached = np.cumsum(weight)
+        begins = np.flatnonzero(np.r_[True, row[1:] != row[:-1]]) if len(row) else np.zeros(0, np.int64)
+        before = np.repeat((reached - weight)[begins], np.diff(np.r_[begins, len(row)]))
+        skip = reached - before <= SKIP * totals[row]
+        granted = np.bincount(row[skip], weight[skip], len(totals))
+        row, weight, low, high = (c[~skip] for c in (row, weight, low, high))
+        # places where no match can begin, at the ends of messages, do not count
+        places = np.bincount(of, np.where(sizes < LEAST, sizes, sizes - LEAST + 1), len(totals))
+        cut = np.searchsorted(row, np.arange(len(totals) + 1))
+        found = [none]
+        for r in range(len(totals)):
+            part = slice(cut[r], cut[r + 1])
+            # passages too unlike in length fail the exact check; they are in order of length
+            first, last = np.searchsorted(self.totals, [SAME / (2 - SAME) * totals[r] - 1e-6, (2 - SAME) / SAME * totals[r] + 1e-6])
+            covered = self._covered(low[part], high[part], weight[part])[first:last]
+            near = first + np.flatnonzero(covered >= max(1, COVER * places[r] - granted[r]))
+            if len(near):
+                # common words by class are never fewer than those the exact check finds
+                common = np.minimum(bags[r], self.bags[near])
+                keep = 2 * common.sum(1, dtype=np.uint32) >= SAME * (totals[r] + self.totals[near])
+                if bags[r].max() == FULL:
+                    keep |= (common == FULL).any(1)
+                near = near[keep]
+                found.append((np.full(len(near), r), near))
+        return tuple(np.concatenate(c) for c in zip(*found))
+
+    def _covered(self, low: np.ndarray, high: np.ndarray, weight: np.ndarray) -> np.ndarray:
+        """Places of one row's matches that each passage covers; slices bound what is held at a time."""
+        out = np.zeros(len(self.codes))
+        many = high - low
+        ends = np.r_[0, np.cumsum(many)]
         at = 0
-        while at < len(messages):
+        while at < len(low):
             stop = max(at + 1, int(np.searchsorted(ends, ends[at] + OCCURRENCES, "right")) - 1)
-            parts.append(self._covered(at, stop, sizes, same, which[cut[at] : cut[stop]], low[cut[at] : cut[stop]], many[cut[at] : cut[stop]], more[cut[at] : cut[stop]]))
+            part = slice(at, stop)
+            out += np.bincount(self.passages[_ranges(low[part], many[part])], np.repeat(weight[part], many[part]), len(out))
             at = stop
-        return tuple(np.concatenate(c) for c in zip(*parts))
-
-    def _covered(self, begin, end, sizes, same, which, low, many, more) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """``corresponding`` of the messages ``begin`` to ``end`` from their matches."""
-        width = len(self.sizes)
-        alike = begin + np.flatnonzero((same[begin:end] >= 0) & (sizes[begin:end] > 0))
-        place = np.repeat(low - np.cumsum(many) + many, many) + np.arange(int(many.sum()))
-        # message, other message and covered words in one number each, so that one plain sort brings them together
-        packed = np.repeat(((which - begin) * width << WEIGHT_BITS) + more, many) + (self.owners[place].astype(np.int64) << WEIGHT_BITS)
-        packed = np.sort(np.concatenate((packed, ((alike - begin) * width + same[alike] << WEIGHT_BITS) + sizes[alike])))
-        code = packed >> WEIGHT_BITS
-        heads = np.flatnonzero(np.r_[True, code[1:] != code[:-1]]) if len(code) else np.zeros(0, np.int64)
-        covered = np.add.reduceat(packed & ((1 << WEIGHT_BITS) - 1), heads) if len(code) else heads
-        code = code[heads]
-        own, other = code // width + begin, code % width
-        share = np.minimum(covered / np.maximum(sizes[own], self.sizes[other]), 1.0)
-        keep = share >= COVER_WEAK
-        return own[keep], other[keep], share[keep]
-
-
-class Tails:
-    """The last three messages of a shard's evaluation rows, each distinct tail once: ``codes`` name them, ``places``
-    holds the message at each place counted from the end (-1: none), ``totals`` the words of the passages, ``bags``
-    their numbers by class."""
-
-    def __init__(self, codes: np.ndarray, places: np.ndarray, totals: np.ndarray, bags: np.ndarray, sizes: np.ndarray):
-        self.bags = bags.reshape(-1, BAG)
-        self.codes, self.places, self.totals = codes, places.reshape(-1, 3), totals.astype(np.int64)
-        self.sizes = sizes.astype(np.int64)
-        self.order = [np.argsort(p, kind="stable") for p in self.places.T]
-        self.starts = [np.searchsorted(p[o], np.arange(len(sizes) + 1)) for p, o in zip(self.places.T, self.order)]
-
-    def candidates(self, rows: np.ndarray, totals: np.ndarray, bags: np.ndarray, words: np.ndarray, own: np.ndarray, other: np.ndarray, share: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """``(row, tail)``: rows (message at each place, -1: none) and tails with two messages that correspond place
-        by place, one of them well, or with one such message that makes up most of both passages. ``own``, ``other``
-        and ``share`` are those of ``Shard.corresponding``, ``words`` the sizes of the messages."""
-        width = len(self.sizes)
-        codes = own * width + other
-        well = share >= COVER
-        good = other[well]
-        cut = np.searchsorted(own[well], np.arange(len(words) + 1))
-        found = [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
-        for i in range(3):
-            order, starts = self.order[i], self.starts[i]
-            held = np.flatnonzero(rows[:, i] >= 0)
-            a, n = cut[rows[held, i]], np.diff(cut)[rows[held, i]]
-            g = np.repeat(a, n) + np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
-            row, message = np.repeat(held, n), good[g]
-            many = starts[message + 1] - starts[message]
-            ends = np.r_[0, np.cumsum(many)]
-            at = 0
-            while at < len(row):
-                stop = max(at + 1, int(np.searchsorted(ends, ends[at] + FILTER_CODES, "right")) - 1)
-                k = many[at:stop]
-                place = np.repeat(starts[message[at:stop]], k) + np.arange(int(k.sum())) - np.repeat(np.cumsum(k) - k, k)
-                r, t = np.repeat(row[at:stop], k), order[place]
-                at = stop
-                # passages this unlike in length fail the exact check
-                keep = 2 * np.minimum(totals[r], self.totals[t]) >= SAME * (totals[r] + self.totals[t])
-                r, t = r[keep], t[keep]
-                ok = (words[rows[r, i]] >= MAIN * totals[r]) & (self.sizes[self.places[t, i]] >= MAIN * self.totals[t])
-                for j in range(3):
-                    if j != i and len(r):
-                        code = rows[r, j] * width + self.places[t, j]
-                        near = np.minimum(np.searchsorted(codes, code), len(codes) - 1)
-                        ok |= (rows[r, j] >= 0) & (self.places[t, j] >= 0) & (codes[near] == code)
-                r, t = r[ok], t[ok]
-                # common words by class are never fewer than those the exact check finds
-                mine, theirs = bags[r], self.bags[t]
-                common = np.minimum(mine, theirs, out=mine)
-                keep = (2 * common.sum(1, dtype=np.int64) >= SAME * (totals[r] + self.totals[t])) | (common == FULL).any(1)
-                found.append((r[keep], t[keep]))
-        row, tail = (np.concatenate(c) for c in zip(*found))
-        both = np.unique(row * max(1, len(self.codes)) + tail)
-        return both // max(1, len(self.codes)), both % max(1, len(self.codes))
+        return out
+
+
+def _ranges(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The numbers of the ranges that begin at ``starts``, one behind the other."""
+    return np.repeat(starts - np.cumsum(sizes) + sizes, sizes) + np.arange(int(sizes.sum()))
 
 
 _WORDS = WordIds()
@@ -354,7 +317,7 @@ def _parts(path: str) -> list[tuple[str, int]]:
     return out
 
 
-def _shards(path: str) -> Iterator[tuple[Shard, Tails]]:
+def _shards(path: str) -> Iterator[Shard]:
     """The shards of an index one after another."""
     files, _ = pyarrow.fs.FileSystem.from_uri(path)
     for name, group in _held("parts", path, lambda: _parts(path)):
@@ -362,13 +325,7 @@ def _shards(path: str) -> Iterator[tuple[Shard, Tails]]:
         def load(name=name, group=group):
             with files.open_input_file(name) as f:
                 table = pq.ParquetFile(f).read_row_group(group)
-            out = []
-            for r in range(table.num_rows):
-                parts = {c: table.column(c)[r].as_py() for c in table.column_names}
-                shard = Shard.load(parts)
-                tails = (np.frombuffer(parts[c], t) for c, t in (("tails", np.int64), ("places", np.int32), ("totals", np.int32), ("bags", np.uint8)))
-                out.append((shard, Tails(*tails, shard.sizes)))
-            return out
+            return [Shard.load({c: table.column(c)[r].as_py() for c in table.column_names}) for r in range(table.num_rows)]
 
         yield from _held("shard", f"{path}#{name}#{group}", load)
 
@@ -379,47 +336,41 @@ def _bag(words: list[np.ndarray]) -> np.ndarray:
     return np.minimum(counts, FULL).astype(np.uint8)
 
 
-def _tail(total: int, keys: list[int], bag: np.ndarray) -> int:
-    """Code of a passage's last three messages, its length and its bag. Rows with equal codes are candidates of the
-    same rows."""
-    return int.from_bytes(xxhash.xxh64_digest(np.array([total, *keys[-3:]], np.int64).tobytes() + bag.tobytes()), "big", signed=True)
-
-
 def evaluation_messages(rows: DataFrame, id_col: str, text_col: str, shards: int) -> DataFrame:
-    """``id``, ``code`` of the tail, its ``shard``, ``total``, the ``bag``, the ``keys`` of its messages from the end, and
-    their ``words``, null for a message the same task has already given out for the shard."""
+    """``id``, ``code`` of the passage, its ``shard``, and, where the same task has not given them out for the shard
+    before: its ``bag``, the ``keys`` of its messages and their ``words``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[tuple[int, int]] = set()
+        seen: set[int] = set()
+        messages: set[tuple[int, int]] = set()
         for batch in batches:
-            take, codes, places, totals, bags, lists, texts = [], [], [], [], [], [], []
+            take, codes, places, bags, lists, texts = [], [], [], [], [], []
             for i, raw in enumerate(batch.column(1).to_pylist()):
                 words = [w for w in map(_WORDS, passage(raw)) if len(w)]
                 if not words:
                     continue
                 keys = [message_key(w) for w in words]
-                total, bag = sum(map(len, words)), _bag(words)
-                code = _tail(total, keys, bag)
+                code = int.from_bytes(xxhash.xxh64_digest(np.array(keys, np.int64).tobytes()), "big", signed=True)
                 place = code % shards
-                fresh = []
-                for k, w in zip(keys[:-4:-1], words[:-4:-1]):
-                    fresh.append(None if (place, k) in seen else w.tobytes())
-                    seen.add((place, k))
                 take.append(i)
                 codes.append(code)
                 places.append(place)
-                totals.append(total)
-                bags.append(bag.tobytes())
-                lists.append(keys[:-4:-1])
-                texts.append(fresh)
-            columns = [batch.column(0).take(pa.array(take, pa.int32())), pa.array(codes, pa.int64()), pa.array(places, pa.int32()), pa.array(totals, pa.int32()), pa.array(bags, pa.binary()), pa.array(lists, pa.list_(pa.int64())), pa.array(texts, pa.list_(pa.binary()))]
-            yield pa.RecordBatch.from_arrays(columns, names=["id", "code", "shard", "total", "bag", "keys", "words"])
+                if code in seen:
+                    bags.append(None), lists.append(None), texts.append(None)
+                    continue
+                seen.add(code)
+                bags.append(_bag(words).tobytes())
+                lists.append(keys)
+                texts.append([None if (place, k) in messages else w.tobytes() for k, w in zip(keys, words)])
+                messages.update((place, k) for k in keys)
+            columns = [batch.column(0).take(pa.array(take, pa.int32())), pa.array(codes, pa.int64()), pa.array(places, pa.int32()), pa.array(bags, pa.binary()), pa.array(lists, pa.list_(pa.int64())), pa.array(texts, pa.list_(pa.binary()))]
+            yield pa.RecordBatch.from_arrays(columns, names=["id", "code", "shard", "bag", "keys", "words"])
 
     kind = dict(rows.dtypes)[id_col]
-    return rows.select(F.col(id_col), F.col(text_col).cast("string").alias("_t")).mapInArrow(run, f"id {kind}, code bigint, shard int, total int, bag binary, keys array<bigint>, words array<binary>")
+    return rows.select(F.col(id_col), F.col(text_col).cast("string").alias("_t")).mapInArrow(run, f"id {kind}, code bigint, shard int, bag binary, keys array<bigint>, words array<binary>")
 
 
-def build_index(messages: DataFrame, path: str) -> None:
+def build_index(messages: DataFrame, path: str, shards: int) -> None:
     """Write the shards' indexes below ``path``: one task per shard."""
 
     def build(table: pa.Table) -> pa.Table:
@@ -427,24 +378,23 @@ def build_index(messages: DataFrame, path: str) -> None:
         keys, words = lists.flatten().to_numpy(), table.column("words").combine_chunks().flatten()
         held = np.flatnonzero(~words.is_null().to_numpy(zero_copy_only=False))
         distinct, first = np.unique(keys[held], return_index=True)
-        parts = Shard.build([np.frombuffer(w, np.int32) for w in words.take(pa.array(held[first])).to_pylist()], distinct)
+        texts = [np.frombuffer(w, np.int32) for w in words.take(pa.array(held[first])).to_pylist()]
         codes, rows = np.unique(table.column("code").to_numpy(), return_index=True)
         sizes = lists.value_lengths().to_numpy().astype(np.int64)
         starts = np.cumsum(sizes) - sizes
-        places = np.full((len(rows), 3), -1, np.int32)
-        for i in range(3):
-            some = np.flatnonzero(sizes[rows] > i)
-            places[some, i] = np.searchsorted(distinct, keys[starts[rows[some]] + i])
-        parts |= {"tails": codes.tobytes(), "places": places.tobytes(), "totals": table.column("total").to_numpy()[rows].astype(np.int32).tobytes(), "bags": b"".join(table.column("bag").take(pa.array(rows)).to_pylist())}
+        numbers = np.searchsorted(distinct, keys)
+        bags = np.frombuffer(b"".join(table.column("bag").take(pa.array(rows)).to_pylist()), np.uint8)
+        parts = Shard.build(texts, distinct, codes, bags, [numbers[a : a + n] for a, n in zip(starts[rows].tolist(), sizes[rows].tolist())])
         return pa.table({"shard": pa.array([table.column("shard")[0].as_py()], pa.int32()), **{k: pa.array([v], pa.binary()) for k, v in parts.items()}})
 
-    schema = "shard int, grams binary, gram_low binary, gram_high binary, alphabet binary, counts binary, positions binary, owners binary, keys binary, sizes binary, tails binary, places binary, totals binary, bags binary"
-    messages.drop("id").groupBy("shard").applyInArrow(build, schema).write.parquet(path)
+    names = "grams gram_low gram_high alphabet counts positions owners keys words starts codes bags lists ends".split()
+    schema = "shard int, " + ", ".join(f"{n} binary" for n in names)
+    messages.where("keys is not null").drop("id").repartition(shards, "shard").groupBy("shard").applyInArrow(build, schema).write.parquet(path)
 
 
-def training_codes(rows: DataFrame, id_col: str, text_col: str, path: str) -> DataFrame:
-    """``(id, code)`` of training rows streamed through the index: the codes of the evaluation tails whose messages
-    correspond to theirs."""
+def streamed_pairs(rows: DataFrame, id_col: str, text_col: str, path: str) -> DataFrame:
+    """``train_id``, ``code``, ``shared_words``, ``share``: training rows streamed through the index, and the codes of the
+    evaluation passages that are the same as theirs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -452,33 +402,38 @@ def training_codes(rows: DataFrame, id_col: str, text_col: str, path: str) -> Da
                 batch = whole.slice(begin, BATCH_ROWS)
                 groups = []
                 for lead in range(0, batch.num_rows, SEARCH_ROWS):
-                    number: dict[int, int] = {}
-                    words: list[np.ndarray] = []
-                    places, totals, bags = [], [], []
-                    for raw in batch.column(1).slice(lead, SEARCH_ROWS).to_pylist():
-                        own = [w for w in map(_WORDS, passage(raw)) if len(w)]
-                        totals.append(sum(map(len, own)))
-                        bags.append(_bag(own))
-                        tail = [-1, -1, -1]
-                        for i, w in enumerate(own[:-4:-1]):
-                            k = message_key(w)
-                            if k not in number:
-                                number[k] = len(words)
-                                words.append(w)
-                            tail[i] = number[k]
-                        places.append(tail)
-                    groups.append((lead, words, np.array(list(number), np.int64), np.array(places, np.int64), np.array(totals, np.int64), np.array(bags)))
-                for shard, tails in _shards(path):
-                    for lead, words, keys, places, totals, bags in groups:
-                        own, other, share = shard.corresponding(words, keys)
-                        if not len(own):
-                            continue
-                        row, tail = tails.candidates(places, totals, bags, np.fromiter(map(len, words), np.int64, len(words)), own, other, share)
-                        if len(row):
-                            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row + lead)), pa.array(tails.codes[tail])], names=["id", "code"])
+                    own = [[w for w in map(_WORDS, passage(raw)) if len(w)] for raw in batch.column(1).slice(lead, SEARCH_ROWS).to_pylist()]
+                    groups.append((lead, own))
+                for shard in _shards(path):
+                    for lead, own in groups:
+                        found = _met(shard, own)
+                        if found:
+                            row, code, shared, share = zip(*found)
+                            yield pa.RecordBatch.from_arrays([batch.column(0).slice(lead).take(pa.array(row, pa.int64())), pa.array(code, pa.int64()), pa.array(shared, pa.int32()), pa.array(share, pa.float64())], names=["train_id", "code", "shared_words", "share"])
 
     kind = dict(rows.dtypes)[id_col]
-    return rows.select(F.col(id_col), F.col(text_col).cast("string").alias("_t")).mapInArrow(run, f"id {kind}, code bigint")
+    return rows.select(F.col(id_col), F.col(text_col).cast("string").alias("_t")).mapInArrow(run, f"train_id {kind}, code bigint, shared_words int, share double")
+
+
+def _met(shard: Shard, rows: list[list[np.ndarray]]) -> list[tuple[int, int, int, float]]:
+    """``(row, code, shared words, share)`` of the passages of a shard that are the same as those of the rows."""
+    messages = [w for ws in rows for w in ws]
+    of = np.repeat(np.arange(len(rows)), [len(ws) for ws in rows])
+    totals = np.array([sum(map(len, ws)) for ws in rows], np.int64)
+    bags = np.array([_bag(ws) for ws in rows])
+    row, other = shard.candidates(messages, np.array([message_key(w) for w in messages], np.int64), of, totals, bags)
+    out, memo = [], {}
+    flat: dict[int, np.ndarray] = {}
+    for r, p in zip(row.tolist(), other.tolist()):
+        if r not in flat:
+            flat[r] = np.concatenate(rows[r])
+        # equal passages (deliveries of one sample, hot copies) are compared once
+        key = (flat[r].tobytes(), len(rows[r][-1]), p)
+        if key not in memo:
+            memo[key] = _compare(flat[r], len(rows[r][-1]), shard.passage(p), int(shard.tails[p]))
+        if memo[key]:
+            out.append((r, int(shard.codes[p]), *memo[key]))
+    return out
 
 
 def common_words(a: np.ndarray, b: np.ndarray) -> int:
@@ -496,42 +451,6 @@ def common_words(a: np.ndarray, b: np.ndarray) -> int:
     return len(a) - v.bit_count()
 
 
-def _bodies(rows: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """``id``, ``body`` (words of the passage) and ``tail`` (number of words of its last message)."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            bodies, tails = [], []
-            for raw in batch.column(1).to_pylist():
-                parts = [w for w in map(_WORDS, passage(raw)) if len(w)]
-                bodies.append(np.concatenate(parts).tobytes() if parts else b"")
-                tails.append(len(parts[-1]) if parts else 0)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(bodies, pa.binary()), pa.array(tails, pa.int32())], names=["id", "body", "tail"])
-
-    kind = dict(rows.dtypes)[id_col]
-    return rows.select(F.col(id_col), F.col(text_col).cast("string").alias("_t")).mapInArrow(run, f"id {kind}, body binary, tail int")
-
-
-def _verified(pairs: DataFrame, kind: str) -> DataFrame:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo: dict[tuple[bytes, bytes], tuple[int, float] | None] = {}
-        for batch in batches:
-            keep, shared, share = [], [], []
-            columns = [batch.column(c).to_pylist() for c in ("body_t", "tail_t", "body_e", "tail_e")]
-            for i, (bt, tt, be, te) in enumerate(zip(*columns)):
-                key = (xxhash.xxh3_128_digest(bt), xxhash.xxh3_128_digest(be))
-                if key not in memo:
-                    memo[key] = _compare(np.frombuffer(bt, np.int32), tt, np.frombuffer(be, np.int32), te)
-                if memo[key]:
-                    keep.append(i)
-                    shared.append(memo[key][0])
-                    share.append(memo[key][1])
-            index = pa.array(keep, pa.int32())
-            yield pa.RecordBatch.from_arrays([batch.column("train_id").take(index), batch.column("eval_id").take(index), pa.array(shared, pa.int32()), pa.array(share, pa.float64())], names=["train_id", "eval_id", "shared_words", "share"])
-
-    return pairs.mapInArrow(run, f"train_id {kind}, eval_id {kind}, shared_words int, share double")
-
-
 def _compare(a: np.ndarray, tail_a: int, b: np.ndarray, tail_b: int) -> tuple[int, float] | None:
     if not len(a) or not len(b) or 2 * min(len(a), len(b)) < SAME * (len(a) + len(b)):
         return None
@@ -544,60 +463,23 @@ def _compare(a: np.ndarray, tail_a: int, b: np.ndarray, tail_b: int) -> tuple[in
     return shared, share
 
 
-def cross_split_overlaps(samples: DataFrame, id_col: str = "sample_id", text_col: str = "messages", split_col: str = "split", train: str = "train", shard_rows: int = SHARD_ROWS) -> DataFrame:
+def cross_split_overlaps(samples: DataFrame, id_col: str = "sample_id", text_col: str = "messages", split_col: str = "split", train: str = "train", shard_chars: int = SHARD_CHARS) -> DataFrame:
     """``train_id``, ``eval_id``, ``shared_words`` and ``share`` for each training and evaluation row with the same
     passage up to layout and small edits.
 
-    Every delivery under an id of its own counts; rows repeated under one id count once. Rows with null or unreadable texts, or without words, pair with
-    nothing; a null split belongs to neither side. Equal texts are compared once per task however often they come.
-    Large families of near copies are completed through their connected components.
+    Every delivery under an id of its own counts; rows repeated under one id count once. Rows with null or unreadable
+    texts, or without words, pair with nothing; a null split belongs to neither side. Evaluation rows of equal passages
+    are one passage of the index and are told apart by the last join only.
     """
     spark = samples.sparkSession
-    kind = dict(samples.dtypes)[id_col]
     base = f"{shared_dir(spark).rstrip('/')}/overlap-{uuid.uuid4().hex}"
     held = samples.where(F.col(split_col) != train)
-    shards = max(1, -(-held.count() // shard_rows))
+    chars = held.agg(F.sum(F.length(F.col(text_col).cast("string"))).alias("n")).first()["n"] or 0
+    shards = max(1, -(-chars // shard_chars))
     evaluation_messages(held, id_col, text_col, shards).write.parquet(f"{base}/messages")
     messages = spark.read.parquet(f"{base}/messages")
-    build_index(messages, f"{base}/index")
-    codes = messages.select(F.col("id").alias("eval_id"), "code")
-    streamed = training_codes(samples.where(F.col(split_col) == train), id_col, text_col, f"{base}/index")
-    pairs = streamed.select(F.col("id").alias("train_id"), "code").join(codes, "code").select("train_id", "eval_id").distinct()
-    pairs.write.parquet(f"{base}/pairs")
-    pairs = spark.read.parquet(f"{base}/pairs")
-    ids = pairs.select(F.explode(F.array("train_id", "eval_id")).alias("id")).distinct()
-    bodies = _bodies(samples.join(ids, samples[id_col] == ids["id"], "left_semi"), id_col, text_col)
-    bodies.distinct().write.parquet(f"{base}/bodies")
-    bodies = spark.read.parquet(f"{base}/bodies")
-    left = bodies.select(F.col("id").alias("train_id"), F.col("body").alias("body_t"), F.col("tail").alias("tail_t"))
-    right = bodies.select(F.col("id").alias("eval_id"), F.col("body").alias("body_e"), F.col("tail").alias("tail_e"))
-    once = [F.max("shared_words").alias("shared_words"), F.max("share").alias("share")]
-    _verified(pairs.join(left, "train_id").join(right, "eval_id"), kind).groupBy("train_id", "eval_id").agg(*once).write.parquet(f"{base}/found")
-    found = spark.read.parquet(f"{base}/found")
-    # short messages with edits hold no match of LEAST words; the family of near copies closes such gaps
-    groups = families(found, f"{base}/family")
-    members = groups.select("family", "train_id").distinct().join(groups.select("family", "eval_id").distinct(), "family").select("train_id", "eval_id")
-    more = members.join(found.select("train_id", "eval_id"), ["train_id", "eval_id"], "left_anti")
-    completed = _verified(more.join(left, "train_id").join(right, "eval_id"), kind)
-    return found.unionByName(completed.groupBy("train_id", "eval_id").agg(*once))
-
-
-def families(found: DataFrame, path: str) -> DataFrame:
-    """``train_id``, ``eval_id``, ``family``: connected components of the found pairs, by spreading the least label.
-
-    Members of a family of near copies are few steps apart; rounds end when no label changes. Tables of the rounds lie
-    below ``path``.
-    """
-    spark = found.sparkSession
-    labels = found.select("train_id", "eval_id", F.col("train_id").alias("family"))
-    number = 0
-    while True:
-        by_eval = labels.groupBy("eval_id").agg(F.min("family").alias("least"))
-        low = labels.join(by_eval, "eval_id").select("train_id", "eval_id", F.col("family").alias("before"), "least")
-        by_train = low.groupBy("train_id").agg(F.min("least").alias("family"))
-        low.join(by_train, "train_id").select("train_id", "eval_id", "before", "family").write.parquet(f"{path}-{number}")
-        labels = spark.read.parquet(f"{path}-{number}")
-        if not labels.where("before <> family").limit(1).count():
-            return labels.select("train_id", "eval_id", "family")
-        labels = labels.select("train_id", "eval_id", "family")
-        number += 1
+    build_index(messages, f"{base}/index", shards)
+    streamed = streamed_pairs(samples.where(F.col(split_col) == train), id_col, text_col, f"{base}/index")
+    once = streamed.groupBy("train_id", "code").agg(F.max("shared_words").alias("shared_words"), F.max("share").alias("share"))
+    members = messages.select(F.col("id").alias("eval_id"), "code").distinct()
+    return once.join(members, "code").select("train_id", "eval_id", "shared_words", "share")
