@@ -19,6 +19,24 @@ def test_different(a, b):
     assert K.skeleton(a) != K.skeleton(b)
 
 
+def test_public_table(spark):
+    letters = K.confusables(spark)
+    table = K.Table(letters)
+    assert 200 < len(letters) < 5000
+    for a, b in (("ⅼ", "l"), ("Ꭺ", "A"), ("ᴏ", "o"), ("Ⅵ", "VI"), ("І", "I"), ("ӏ", "l"), ("𝐀", "A"), ("ı", "i"), *SAME):
+        assert K.skeleton(a, table) == K.skeleton(b, table), (a, b)
+    for a, b in (("l", "I"), ("1", "l"), ("0", "O"), ("m", "rn"), ("œ", "oe"), ("æ", "ae"), ("ø", "o"), ("’", "'"), *DIFFERENT):
+        assert K.skeleton(a, table) != K.skeleton(b, table), (a, b)
+
+
+def test_many_copies_and_one_variant(spark):
+    from pyspark.sql import functions as F
+
+    df = spark.range(60_000).select(F.col("id").alias("doc_id"), F.when(F.col("id") == 7, "ａbc").otherwise("abc").alias("text"))
+    found = K.lookalike_pairs(df)
+    assert found.agg(F.count("*"), F.sum(F.when(F.col("doc_id_lo") == 7, 1).when(F.col("doc_id_hi") == 7, 1))).first() == (59_999, 59_999)
+
+
 def test_pairs(spark):
     rows = [(1, "abc"), (2, "ａbc"), (3, "abc"), (4, None), (5, ""), (6, " ​"), (7, " "), (8, "xyz"), (9, "xyz"), (2, "ａbc"), (10, "a" * 5000 + "е"), (11, "a" * 5000 + "e")]
     df = spark.createDataFrame([(*r, "z") for r in rows], "doc_id long, text string, skeleton_key string")
