@@ -66,6 +66,44 @@ def test_completion_is_optimal():
         assert sum(P.complete([items.count(s) for s in sizes], sizes, room, nodes=10**6)) == best
 
 
+def fewest(sizes, capacity):
+    best = [len(sizes)]
+
+    def place(i, loads):
+        if len(loads) >= best[0]:
+            return
+        if i == len(sizes):
+            best[0] = len(loads)
+            return
+        for k in {loads[k]: k for k in range(len(loads)) if loads[k] + sizes[i] <= capacity}.values():
+            place(i + 1, [x + sizes[i] * (j == k) for j, x in enumerate(loads)])
+        place(i + 1, [*loads, sizes[i]])
+
+    place(0, [])
+    return best[0]
+
+
+def test_branch_and_bound_is_optimal():
+    rng = np.random.default_rng(5)
+    for _ in range(60):
+        capacity = int(rng.choice([20, 50, 100]))
+        sizes = sorted(rng.integers(capacity // 6, capacity // 2 + 8, int(rng.integers(1, 11))).tolist(), reverse=True)
+        least = fewest(sizes, capacity)
+        assert P.least_containers(sizes, capacity) <= least
+        bins = P.pack_block(np.array(sizes), capacity, search=None)
+        assert len(set(bins.tolist())) == least and np.bincount(bins, sizes).max() <= capacity
+        assert P.fewer(sizes, capacity, least - 1, None) is None
+    # best fit first fills 6 + 2 + 2 and is left with four containers
+    assert len(set(P.pack_block(np.array([6, 5, 5, 5, 4, 3, 2, 2, 2, 2, 2, 2]), 10, search=None).tolist())) == 4
+
+
+def test_fillings_are_undominated():
+    def found(least):
+        return {tuple(f) for f in P.fillings([1, 2, 1, 1], [7, 4, 3, 1], 10, least)}
+
+    assert found(9) == {(7, 3), (4, 4, 1)} and found(10) == {(7, 3)} and found(11) == set()
+
+
 def test_pack(spark):
     rows = [(i, n) for i, n in enumerate([5000, 2048, 0, 1000, 1000, 48, 3, None, 2047, 1, 1])] + [(3, 1000), (1, 2048), (None, 2048), (None, 4096)]
     df = spark.createDataFrame([(*r, "c") for r in rows], "doc_id long, n_tokens long, container string")
