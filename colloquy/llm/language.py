@@ -30,7 +30,8 @@ FIT_ROWS = 1600
 SENTENCE_WORDS = 5
 SENTENCE_SHARE = 0.6
 BUCKETS = 1 << 16
-_K = 20
+#: Places of a padded block of sequences; a longer sequence forms a block of its own.
+BLOCK = 60_000
 
 _ARABIC = re.compile("[\u0600-\u06ff]")
 
@@ -61,9 +62,8 @@ def features(word: str, lexicon: dict[str, int]) -> list[int]:
     found += [f"p{n}=" + low[:n] for n in (1, 2, 3) if len(low) >= n]
     found += [f"e{n}=" + low[-n:] for n in (1, 2, 3, 4) if len(low) >= n]
     padded = f"^{low}$"
-    grams = [padded[i : i + 3] for i in range(min(len(padded) - 2, 10))]
-    found += ["g=" + g for g in grams]
-    return [_hash(f) for f in found[:_K]]
+    found += ["g=" + padded[i : i + 3] for i in range(len(padded) - 2)]
+    return [_hash(f) for f in found]
 
 
 class Field:
@@ -134,6 +134,18 @@ def _padded(sequences: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
     return out, lengths
 
 
+def _blocks(order: list[int], lengths: list[int]) -> Iterator[list[int]]:
+    """``order``, which is by length, in blocks that stay small when padded to their longest sequence."""
+    block: list[int] = []
+    for i in order:
+        if block and (len(block) + 1) * lengths[i] > BLOCK:
+            yield block
+            block = []
+        block.append(i)
+    if block:
+        yield block
+
+
 def sentence_words(text: str) -> list[list[str]]:
     """Words of each sentence of a message."""
     return [_text.words(text[a:b]) for a, b in _text.sentences(text)]
@@ -152,9 +164,9 @@ def fit(rows: list[tuple[list[str], str | None]], glossary: dict[str, str] | Non
                 for n, w in enumerate(ws):
                     ids.append(vocab.setdefault(w.lower(), len(vocab)))
                     edge.append(n == 0)
-            for at in range(0, len(ids), 80):
-                seqs.append(ids[at : at + 80])
-                borders.append(edge[at : at + 80])
+            if ids:
+                seqs.append(ids)
+                borders.append(edge)
                 labels.append(LANGS.index(label) if label in LANGS else -1)
     width = len(LANGS)
     flat_weights = np.zeros((BUCKETS, width), np.float32)
@@ -184,10 +196,8 @@ def fit(rows: list[tuple[list[str], str | None]], glossary: dict[str, str] | Non
     feat = np.fromiter((f for r in rows_of for f in r), np.int64)
     owner = np.repeat(np.arange(len(words)), np.fromiter(map(len, rows_of), np.int64))
 
-    order = np.argsort([len(s) for s in seqs], kind="stable")
-    groups = [order[i : i + 1500] for i in range(0, len(order), 1500)]
     packed = []
-    for g in groups:
+    for g in _blocks(np.argsort(size, kind="stable").tolist(), size.tolist()):
         ids, lengths = _padded([seqs[i] for i in g])
         edges, _ = _padded([borders[i] for i in g])
         truth, _ = _padded([golds[i] for i in g])
@@ -308,8 +318,7 @@ class Tagger:
         sequences = [[get(w) for piece in ws for w in piece] for ws in word_lists]
         order = sorted(range(len(texts)), key=lambda i: len(sequences[i]))
         width = len(LANGS)
-        for at in range(0, len(order), 512):
-            group = order[at : at + 512]
+        for group in _blocks(order, list(map(len, sequences))):
             ids, lengths = _padded([sequences[i] for i in group])
             border = np.zeros(ids.shape, bool)
             counts = np.fromiter((n for i in group for _, _, n in spans[i]), np.int64)
