@@ -32,14 +32,14 @@ from pyspark.sql import functions as F
 from colloquy.llm import _text
 from colloquy.session import shared_dir
 
-#: Characters of evaluation messages per index shard: some ten million words, of which windows of one dialogue share
+#: Characters of evaluation messages per index shard: some twenty million words, of which windows of one dialogue share
 #: most; built and searched within a worker's memory.
-SHARD_CHARS = 60_000_000
+SHARD_CHARS = 120_000_000
 #: Shortest match that counts, in words.
 LEAST = 5
 #: Share of a training passage's places (words that begin a match) that an evaluation passage must share, and the share
 #: of them, in the most frequent matches, that is granted instead of counted. With SKIP below COVER nothing is lost by it.
-COVER, SKIP = 0.35, 0.3
+COVER, SKIP = 0.4, 0.3
 #: Occurrences of matches in passages are worked off in slices of so many.
 OCCURRENCES = 1_000_000
 #: Classes of words by which passages are compared before the exact check; a full count in a byte says nothing.
@@ -84,11 +84,12 @@ def suffix_array(text: np.ndarray, separators: np.ndarray) -> np.ndarray:
     n = len(text)
     symbol = text + int(separators.sum())
     symbol[separators] = np.arange(int(separators.sum()))
-    order = np.argsort(symbol, kind="stable")
-    rank = np.empty(n + 1, np.int64)
+    order = np.argsort(symbol, kind="stable").astype(np.int32)
+    rank = np.empty(n + 1, np.int32)
     rank[n] = -1
-    places = np.arange(n)
+    places = np.arange(n, dtype=np.int32)
     key = symbol[order]
+    del symbol
     step = 0
     while len(places):
         head = np.r_[True, key[1:] != key[:-1]]
@@ -99,10 +100,10 @@ def suffix_array(text: np.ndarray, separators: np.ndarray) -> np.ndarray:
         tied = ~(head & np.r_[head[1:], True])
         places, suffix = places[tied], suffix[tied]
         step = step * 2 if step else 1
-        key = rank[suffix] * (n + 1) + rank[np.minimum(suffix + step, n)] + 1
+        key = rank[suffix].astype(np.int64) * (n + 1) + rank[np.minimum(suffix.astype(np.int64) + step, n)] + 1
         new = np.argsort(key, kind="stable")
         order[places], key = suffix[new], key[new]
-    return order.astype(np.int32)
+    return order
 
 
 def _grams(text: np.ndarray) -> np.ndarray:
@@ -119,8 +120,8 @@ class Shard:
     """FM-index of one shard: alphabet, word positions in the transform, the message of each suffix in order; and the
     shard's passages: which messages they consist of, their words by class, and the size of their last message."""
 
-    def __init__(self, alphabet, counts, positions, owners, keys, words, starts, grams, gram_low, gram_high, codes, bags, lists, ends):
-        self.alphabet, self.owners, self.keys = alphabet, owners, keys
+    def __init__(self, alphabet, counts, positions, spread, passages, keys, words, starts, grams, gram_low, gram_high, codes, bags, lists, ends, held):
+        self.alphabet, self.keys = alphabet, keys
         self.words, self.starts = words, starts
         self.grams, self.gram_low, self.gram_high = grams, gram_low, gram_high
         self.n = len(positions)
@@ -134,15 +135,9 @@ class Shard:
         many = np.diff(np.r_[0, ends])
         self.totals = np.bincount(np.repeat(np.arange(len(ends)), many), self.sizes[lists], len(ends)).astype(np.int64)
         self.tails = self.sizes[lists[ends - 1]] if len(ends) else ends
-        # and the passages of each message
-        by_message = np.argsort(lists, kind="stable")
-        self.holders = np.repeat(np.arange(len(ends), dtype=np.int32), many)[by_message]
-        self.held = np.searchsorted(lists[by_message], np.arange(len(starts) + 1))
-        # the passages that hold each suffix, in order of the index, where those of a suffix begin, and behind them those
-        # of each message
-        self.spread = np.r_[0, np.cumsum(np.diff(self.held)[owners])]
-        self.passages = np.concatenate((self.holders[_ranges(self.held[owners], np.diff(self.spread))], self.holders))
-        self.whole = int(self.spread[-1]) + self.held
+        # ``passages`` are those that hold each suffix, in order of the index, and ``spread`` tells where those of a suffix
+        # begin; behind them come the passages of each message, from ``held`` on
+        self.spread, self.passages, self.held = spread, passages, held
 
     @staticmethod
     def build(messages: list[np.ndarray], keys: np.ndarray, codes: np.ndarray, bags: np.ndarray, lists: list[np.ndarray]) -> dict[str, bytes]:
@@ -171,15 +166,28 @@ class Shard:
         last = np.r_[first[1:], len(order)] - 1 if len(order) else first
         by_code = np.argsort(ordered[first], kind="stable")
         grams = {"grams": ordered[first][by_code], "gram_low": rank[first][by_code].astype(np.int32), "gram_high": (rank[last] + 1)[by_code].astype(np.int32)}
-        parts = grams | {"alphabet": alphabet.astype(np.int64), "counts": counts, "positions": positions, "owners": np.repeat(np.arange(len(sizes), dtype=np.int32), sizes + 1)[suffixes], "keys": keys.astype(np.int64)}
+        parts = grams | {"alphabet": alphabet.astype(np.int64), "counts": counts, "positions": positions, "keys": keys.astype(np.int64)}
         parts |= {"words": np.concatenate(messages).astype(np.int32), "starts": np.cumsum(sizes, dtype=np.int64) - sizes}
         parts |= {"codes": codes.astype(np.int64), "bags": bags.astype(np.uint8), "lists": np.concatenate(lists).astype(np.int32), "ends": np.cumsum([len(x) for x in lists], dtype=np.int64)}
+        # the passages of each message, and of the message of each suffix
+        by_message = np.argsort(parts["lists"], kind="stable")
+        holders = np.repeat(np.arange(len(lists), dtype=np.int32), [len(x) for x in lists])[by_message]
+        held = np.searchsorted(parts["lists"][by_message], np.arange(len(sizes) + 1))
+        owners = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes + 1)[suffixes]
+        many = np.diff(held)[owners]
+        parts["passages"] = np.concatenate((holders[_ranges(held[owners], many)], holders))
+        spread = np.r_[0, np.cumsum(many)]
+        parts["held"] = spread[-1] + held
+        parts["spread"] = spread.astype(np.uint32 if spread[-1] < 1 << 32 else np.int64)
         return {k: np.ascontiguousarray(v).tobytes() for k, v in parts.items()}
 
     @classmethod
     def load(cls, parts: dict[str, bytes]) -> Shard:
-        kinds = {"grams": np.int64, "gram_low": np.int32, "gram_high": np.int32, "alphabet": np.int64, "counts": np.int32, "positions": np.int32, "owners": np.int32, "keys": np.int64, "words": np.int32, "starts": np.int64, "codes": np.int64, "bags": np.uint8, "lists": np.int32, "ends": np.int64}
-        return cls(**{k: np.frombuffer(parts[k], t) for k, t in kinds.items()})
+        kinds = {"grams": np.int64, "gram_low": np.int32, "gram_high": np.int32, "alphabet": np.int64, "counts": np.int32, "positions": np.int32, "spread": np.int64, "passages": np.int32, "held": np.int64, "keys": np.int64, "words": np.int32, "starts": np.int64, "codes": np.int64, "bags": np.uint8, "lists": np.int32, "ends": np.int64}
+        arrays = {k: np.frombuffer(parts[k], t) for k, t in kinds.items() if k != "spread"}
+        # in four bytes unless places in passages are too many for them
+        places = len(arrays["positions"]) + 1
+        return cls(**arrays, spread=np.frombuffer(parts["spread"], np.int64 if len(memoryview(parts["spread"])) == 8 * places else np.uint32))
 
     def symbols(self, words: np.ndarray) -> np.ndarray:
         """Dense codes of words; words the shard lacks get a code beyond the alphabet."""
@@ -235,12 +243,12 @@ class Shard:
             return none
         sizes = np.fromiter(map(len, messages), np.int64, len(messages))
         which, weight, low, high = self.matches(np.concatenate(messages), np.cumsum(sizes) - sizes, sizes)
-        row, low, high = of[which], self.spread[low], self.spread[high]
+        row, low, high = of[which], self.spread[low].astype(np.int64), self.spread[high].astype(np.int64)
         # a message shorter than a match corresponds if the shard has it; a word of its own tells its passages
         same = self.equal(keys)
         short = np.flatnonzero((sizes < LEAST) & (same >= 0))
         row, weight = np.r_[row, of[short]], np.r_[weight, sizes[short]]
-        low, high = np.r_[low, self.whole[same[short]]], np.r_[high, self.whole[same[short] + 1]]
+        low, high = np.r_[low, self.held[same[short]]], np.r_[high, self.held[same[short] + 1]]
         # the most frequent matches of each row first
         order = np.lexsort((low - high, row))
         row, weight, low, high = row[order], weight[order], low[order], high[order]
@@ -272,14 +280,14 @@ class Shard:
 
     def _covered(self, low: np.ndarray, high: np.ndarray, weight: np.ndarray) -> np.ndarray:
         """Places of one row's matches that each passage covers; slices bound what is held at a time."""
-        out = np.zeros(len(self.codes))
         many = high - low
         ends = np.r_[0, np.cumsum(many)]
-        at = 0
-        while at < len(low):
+        out, at = None, 0
+        while at < len(low) or out is None:
             stop = max(at + 1, int(np.searchsorted(ends, ends[at] + OCCURRENCES, "right")) - 1)
             part = slice(at, stop)
-            out += np.bincount(self.passages[_ranges(low[part], many[part])], np.repeat(weight[part], many[part]), len(out))
+            found = np.bincount(self.passages[_ranges(low[part], many[part])], np.repeat(weight[part], many[part]), len(self.codes))
+            out = found if out is None else out + found
             at = stop
         return out
 
@@ -325,7 +333,8 @@ def _shards(path: str) -> Iterator[Shard]:
         def load(name=name, group=group):
             with files.open_input_file(name) as f:
                 table = pq.ParquetFile(f).read_row_group(group)
-            return [Shard.load({c: table.column(c)[r].as_py() for c in table.column_names}) for r in range(table.num_rows)]
+            # the arrays are views of the columns read, so that they are held once
+            return [Shard.load({c: table.column(c)[r].as_buffer() for c in table.column_names if c != "shard"}) for r in range(table.num_rows)]
 
         yield from _held("shard", f"{path}#{name}#{group}", load)
 
@@ -387,7 +396,7 @@ def build_index(messages: DataFrame, path: str, shards: int) -> None:
         parts = Shard.build(texts, distinct, codes, bags, [numbers[a : a + n] for a, n in zip(starts[rows].tolist(), sizes[rows].tolist())])
         return pa.table({"shard": pa.array([table.column("shard")[0].as_py()], pa.int32()), **{k: pa.array([v], pa.binary()) for k, v in parts.items()}})
 
-    names = "grams gram_low gram_high alphabet counts positions owners keys words starts codes bags lists ends".split()
+    names = "grams gram_low gram_high alphabet counts positions spread passages held keys words starts codes bags lists ends".split()
     schema = "shard int, " + ", ".join(f"{n} binary" for n in names)
     messages.where("keys is not null").drop("id").repartition(shards, "shard").groupBy("shard").applyInArrow(build, schema).write.parquet(path)
 
@@ -397,6 +406,15 @@ def streamed_pairs(rows: DataFrame, id_col: str, text_col: str, path: str) -> Da
     evaluation passages that are the same as theirs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from search(batches)
+        finally:
+            # workers outlive their tasks
+            _LOADED.clear()
+            _WORDS.memo.clear()
+            pa.default_memory_pool().release_unused()
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for begin in range(0, whole.num_rows, BATCH_ROWS):
                 batch = whole.slice(begin, BATCH_ROWS)

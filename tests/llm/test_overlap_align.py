@@ -27,12 +27,14 @@ def test_index_and_search():
         # places of runs of five words, once for each place in a message that holds them
         got, want = np.zeros(12, int), np.zeros(12, int)
         for n, a, b in zip(places[owner == k], low[owner == k], high[owner == k]):
-            np.add.at(got, shard.owners[a:b], n)
+            np.add.at(got, shard.passages[shard.spread[a] : shard.spread[b]], n)
         for i in range(len(whole) - 4):
-            for m, text in enumerate(messages):
-                want[m] += sum(text[j : j + 5].tolist() == whole[i : i + 5].tolist() for j in range(len(text) - 4))
+            for p, code in enumerate(shard.codes.tolist()):
+                for text in (messages[m] for m in lists[code // 3]):
+                    want[p] += sum(text[j : j + 5].tolist() == whole[i : i + 5].tolist() for j in range(len(text) - 4))
         assert got.tolist() == want.tolist() and len(places) < places.sum()
-    assert [(shard.passages[shard.spread[a] : shard.spread[b]]).tolist() for a, b in ((0, 4),)] == [[p for m in shard.owners[:4] for p in shard.holders[shard.held[m] : shard.held[m + 1]]]]
+    for m in range(12):
+        assert {int(shard.codes[p]) // 3 for p in shard.passages[shard.held[m] : shard.held[m + 1]]} == {m, (m - 1) % 12}
 
 
 def test_common_words():
