@@ -26,6 +26,18 @@ CLIENT_REPLIES = {
 }
 
 
+# Replies that stand in for a therapist turn that repeats itself or has no tag after all attempts.
+THERAPIST_REPLIES = {
+    "fr": ("Thérapeute: Je vous entends.", "Thérapeute: Pouvez-vous m'en dire plus ?", "Thérapeute: Comment vous sentez-vous en ce moment ?", "Thérapeute: Prenons le temps d'y réfléchir ensemble.", "Thérapeute: Je suis là pour vous écouter."),
+    "ar": ("المعالج: أنا أسمعك.", "المعالج: هل يمكنك إخباري بالمزيد؟", "المعالج: كيف تشعر في هذه اللحظة؟", "المعالج: دعنا نفكر في هذا معًا.", "المعالج: أنا هنا للاستماع إليك."),
+    "de": ("Therapeut: Ich höre Ihnen zu.", "Therapeut: Können Sie mir mehr darüber erzählen?", "Therapeut: Wie fühlen Sie sich gerade?", "Therapeut: Lassen Sie uns gemeinsam darüber nachdenken.", "Therapeut: Ich bin hier, um Ihnen zuzuhören."),
+}
+# Turn from which a session is wound down, the turn it is told to end in, and the last turn of all.
+WIND_DOWN, LAST_TURN, HARD_STOP = 22, 30, 33
+#: Therapist turns before this one keep no end marker.
+LEAST_END = 15
+
+
 def _quoted(values) -> str:
     return "|".join("\\Q" + v + "\\E" for v in values)
 
@@ -111,15 +123,55 @@ def pick(options: Column, *key: Column) -> Column:
 
 def client_reply(text: Column, lang: str, *key: Column) -> Column:
     """A stand-in reply where a client turn is empty, only a tag, or lacks a tag."""
-    tagged = reduce(lambda a, b: a | b, [F.startswith(text, F.lit(f"{t}:")) for t in CLIENT_TAGS])
+    tagged = _tagged(text, CLIENT_TAGS)
     bare = F.coalesce(squeeze(text), F.lit("")).isin("", *[f"{t}:" for t in CLIENT_TAGS])
     return F.when(~bare & tagged, text).otherwise(pick(F.array(*[F.lit(r) for r in CLIENT_REPLIES[lang]]), *key))
 
 
+def therapist_reply(text: Column, lang: str, seen_before: Column, *key: Column) -> Column:
+    """A stand-in reply where a therapist turn still repeats an earlier one or has no tag (F15); languages without
+    stand-ins keep the turn."""
+    if lang not in THERAPIST_REPLIES:
+        return text
+    return F.when(seen_before | ~_tagged(text, THERAPIST_TAGS), pick(F.array(*[F.lit(r) for r in THERAPIST_REPLIES[lang]]), *key)).otherwise(text)
+
+
+def by_language(lang: Column, make) -> Column:
+    """``make(code)`` of the language a row states, English where it states none."""
+    return reduce(lambda c, code: c.when(lang == code, make(code)), [c for c in LABELS if c != "en"], F.when(F.lit(False), make("en"))).otherwise(make("en"))
+
+
+def needs_another(text: Column, seen_before: Column, attempts: Column, most: int = 4) -> Column:
+    """Whether a therapist turn is generated again: it repeats an earlier one or has no tag, and fewer than ``most``
+    attempts were made (W6)."""
+    return (seen_before | ~_tagged(text, THERAPIST_TAGS)) & (attempts < most)
+
+
+def wind_down(turn: Column) -> Column:
+    """What long sessions are told from turn 22 on; empty before."""
+    left = F.lit(LAST_TURN) - turn
+    said = F.when(left == 1, "You should end the conversation in 1 turn.").when(left == 0, "You should end the conversation in this turn with '[/END]' token.")
+    return F.when(turn < WIND_DOWN, "").otherwise(said.otherwise(F.concat(F.lit("You should end the conversation in "), left.cast("string"), F.lit(" turns."))))
+
+
+def late_end(text: Column, turn: Column) -> Column:
+    """A therapist turn before turn 15 without `` [/END]`` (F16)."""
+    return F.when(turn < LEAST_END, F.replace(text, F.lit(" [/END]"), F.lit(""))).otherwise(text)
+
+
+def without_tool_calls(text: Column) -> Column:
+    """Without the generator's call markers."""
+    return F.replace(text, F.lit("<tool_call>"), F.lit(""))
+
+
+def _tagged(text: Column, tags: tuple[str, ...]) -> Column:
+    return reduce(lambda a, b: a | b, [F.startswith(text, F.lit(f"{t}:")) for t in tags])
+
+
 def cleaned(text: Column, role: str, turn: Column, style: Column, thinking: bool = False) -> Column:
     """The response of a generator as a turn: all cleaning steps in order."""
     own, other = (CLIENT_TAGS, THERAPIST_TAGS) if role == "client" else (THERAPIST_TAGS, CLIENT_TAGS)
-    out = without_response_end(plain_tags(text, own))
+    out = without_tool_calls(without_response_end(plain_tags(text, own)))
     out = after_thinking(out) if thinking else out
     out = cut_at_tags(own_turn(out, own, whole=role == "client"), other)
     out = early_end(canonical_end(out), turn, style)

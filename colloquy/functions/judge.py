@@ -41,5 +41,5 @@ def parsed_scores(text: Column) -> Column:
 
 
 def row_average(*scores: Column) -> Column:
-    """Mean of all criteria, missing ones counting 0."""
-    return sum((F.coalesce(s, F.lit(0)) for s in scores), F.lit(0)) / len(scores)
+    """Mean of all criteria to two decimals, missing ones counting 0."""
+    return F.round(sum((F.coalesce(s, F.lit(0)) for s in scores), F.lit(0)) / len(scores), 2)

@@ -7,6 +7,7 @@ kept by a hash of the prompt where calls cost.
 from __future__ import annotations
 
 import hashlib
+import time
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -61,6 +62,45 @@ def counter(run: Callable[[list[str]], list[int]]):
     return batched
 
 
+def with_retries(call: Callable[[str], str], tries: int = 3, pause: float = 0.0, sleep: Callable[[float], None] = time.sleep) -> Callable[[list[str]], list[dict]]:
+    """A plug-in of lists from a call per prompt (S10, F32): up to ``tries`` attempts, with 2, 4, 8 ... seconds between
+    them and ``pause`` after each prompt. Results are ``{text, error}``; the error of the last attempt is cut at 200
+    characters. Null prompts are not sent."""
+
+    def one(prompt: str | None) -> dict:
+        if prompt is None:
+            return {"text": None, "error": None}
+        for attempt in range(tries):
+            try:
+                return {"text": call(prompt), "error": None}
+            except Exception as e:  # noqa: BLE001 - whatever the endpoint raises is reported
+                if attempt == tries - 1:
+                    return {"text": None, "error": str(e)[:200]}
+                sleep(2.0 ** (attempt + 1))
+        return {"text": None, "error": "no attempt"}
+
+    def run(prompts: list[str]) -> list[dict]:
+        out = []
+        for p in prompts:
+            out.append(one(p))
+            if pause:
+                sleep(pause)
+        return out
+
+    return run
+
+
+def endpoint(run: Callable[[list[str]], list[dict]]):
+    """Column function from prompts to ``{text, error}``."""
+
+    @F.pandas_udf("text string, error string")
+    def batched(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        for s in batches:
+            yield pd.DataFrame(run(s.tolist()), columns=["text", "error"])
+
+    return batched
+
+
 def generated_once(df: DataFrame, prompt: str, generate, keep: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """Adds ``generated``: every distinct prompt is sent once, however many rows have it.
 
@@ -85,9 +125,13 @@ def stub_scores(src: list[str], mt: list[str]) -> list[float]:
 def next_turns(sessions: DataFrame, template: Column, generate, role: str, turn: str = "turn", style: str = "style") -> DataFrame:
     """One more turn of every open session at once: prompt from the history, one batched call, cleaning.
 
-    ``sessions`` has ``history`` (array of texts), ``turn`` and ``style``; the new turn is appended. Sessions run side
-    by side in lock step; callers cut lineage every few rounds with ``session.materialise``.
+    ``sessions`` has ``history`` (array of texts), ``turn`` and ``style``; the new turn is appended. From turn 22 on the
+    prompt's ``{ending}`` says how many turns are left; therapist turns before turn 15 keep no end marker. Sessions run
+    side by side in lock step; callers cut lineage every few rounds with ``session.materialise``, generate again where
+    ``dialogue.needs_another`` says so, and end sessions with ``sessions.first_end``.
     """
-    prompt = D.filled(template, history=D.history_text(F.col("history")), turns=F.col(turn).cast("string"))
+    prompt = D.filled(template, history=D.history_text(F.col("history")), turns=F.col(turn).cast("string"), ending=D.wind_down(F.col(turn)))
     said = D.cleaned(generate(prompt), role, F.col(turn), F.col(style))
+    if role == "therapist":
+        said = D.late_end(said, F.col(turn))
     return sessions.withColumn("_said", said).withColumn("history", F.concat("history", F.array("_said"))).drop("_said")

@@ -32,8 +32,13 @@ def utterances_of(tree) -> list[str]:
 
 
 def utterances(docs: DataFrame, key: str, text: str, lines: bool = False) -> DataFrame:
-    """``key``, ``no`` from 0, ``utterance`` of JSON texts, or of JSON Lines texts (X7, U3). Null texts give none; an
-    unreadable document gives none, an unreadable line fails the job."""
+    """``key``, ``no`` from 0, ``utterance`` of JSON texts (see ``utterance_lists``)."""
+    return utterance_lists(docs, key, text, lines).select(key, F.posexplode("utterances").alias("no", "utterance"))
+
+
+def utterance_lists(docs: DataFrame, key: str, text: str, lines: bool = False) -> DataFrame:
+    """``key`` and ``utterances`` of JSON texts, or of JSON Lines texts (X7, U3). Null texts give none; an unreadable
+    document gives none, an unreadable line fails the job. A narrow map."""
     kind = dict(docs.dtypes)[key]
 
     def trees(value: str):
@@ -46,10 +51,7 @@ def utterances(docs: DataFrame, key: str, text: str, lines: bool = False) -> Dat
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            rows = []
-            for k, value in zip(pdf[key], pdf["_t"]):
-                if value is not None:
-                    rows.extend((k, n, u) for n, u in enumerate(u for tree in trees(value) for u in utterances_of(tree)))
-            yield pd.DataFrame(rows, columns=[key, "no", "utterance"])
+            found = [[] if value is None else [u for tree in trees(value) for u in utterances_of(tree)] for value in pdf["_t"]]
+            yield pd.DataFrame({key: pdf[key], "utterances": found})
 
-    return docs.select(key, F.col(text).alias("_t")).mapInPandas(run, f"`{key}` {kind}, no int, utterance string")
+    return docs.select(key, F.col(text).alias("_t")).mapInPandas(run, f"`{key}` {kind}, utterances array<string>")

@@ -26,32 +26,53 @@ def context_windows(turns: DataFrame, conv: str = "conv_id", order: str = "turn"
     return wanted.select(conv, order, F.concat(lead, kept, F.array("_own")).alias("messages"))
 
 
-def transcript_turns(texts: DataFrame, labels: tuple[str, str], key: str = "path") -> DataFrame:
+def array_windows(df: DataFrame, key: str, messages: Column, target: str = "assistant", size: int = CONTEXT_TURNS, lead: Column | None = None) -> DataFrame:
+    """``context_windows`` of rows that hold a whole dialogue as array of ``{role, content}``: windows are cut inside the
+    row, without a shuffle. ``lead`` is an array put before every window."""
+    said = F.transform(messages, lambda m: F.struct(m["role"].alias("role"), F.coalesce(m["content"], F.lit("")).alias("content")))
+    placed = df.select(key, said.alias("t")).select(key, "t", F.posexplode("t").alias("turn", "own")).where((F.col("own.role") == target) & (F.col("own.content") != ""))
+    before = F.slice("t", F.greatest(F.lit(1), F.col("turn") + 1 - size), F.least(F.lit(size), F.col("turn")))
+    window = F.concat(F.filter(before, lambda m: m["content"] != ""), F.array("own"))
+    return placed.select(key, "turn", (window if lead is None else F.concat(lead, window)).alias("messages"))
+
+
+def labels_of(lang: Column) -> tuple[Column, Column]:
+    """Speaker labels of a language, English where it is unknown."""
+    return tuple(D.by_language(lang, lambda code, i=i: F.lit(D.LABELS[code][i])) for i in (0, 1))
+
+
+def _turn_array(text: Column, labels: tuple) -> Column:
+    """The turns of a transcript as array of ``{role, content}``; labels are texts or columns."""
+    therapist, client = (x if isinstance(x, Column) else F.lit(x) for x in labels)
+    mark = lambda x: F.concat(F.lit("\\Q"), x, F.lit("\\E"))
+    pieces = F.filter(F.transform(F.split(X.squeeze(text), F.concat(F.lit("(?=(?:"), mark(therapist), F.lit("|"), mark(client), F.lit("))"))), X.squeeze), lambda x: x != "")
+
+    def turn(p: Column) -> Column:
+        is_t, is_c = F.startswith(p, therapist), F.startswith(p, client)
+        content = F.when(is_t, D.without_end(X.squeeze(F.replace(p, therapist, F.lit(""))))).when(is_c, X.squeeze(F.replace(p, client, F.lit("")))).otherwise(F.lit(""))
+        return F.struct(F.when(is_t, "assistant").when(is_c, "user").alias("role"), content.alias("content"))
+
+    return F.transform(pieces, turn)
+
+
+def transcript_turns(texts: DataFrame, labels: tuple, key: str = "path") -> DataFrame:
     """Turns of whole transcripts: ``key``, ``turn`` from 0, ``role`` (assistant, user or null before the first label)
-    and ``text`` without label; end markers leave therapist turns only (F4-F6, W2)."""
-    therapist, client = labels
-    pieces = texts.select(key, F.posexplode(D.turns(F.col("text"), labels)).alias("turn", "piece"))
-    is_t, is_c = F.startswith("piece", F.lit(therapist)), F.startswith("piece", F.lit(client))
-    text = F.when(is_t, D.without_end(D.without_label(F.col("piece"), therapist))).when(is_c, D.without_label(F.col("piece"), client)).otherwise(F.lit(""))
-    return pieces.select(key, "turn", F.when(is_t, "assistant").when(is_c, "user").alias("role"), text.alias("text"))
+    and ``text`` without label; end markers leave therapist turns only (F4-F6, W2). ``labels`` are two texts, or two
+    columns where transcripts of several languages are read at once (``labels_of``)."""
+    pieces = texts.select(key, F.posexplode(_turn_array(F.col("text"), labels)).alias("turn", "p"))
+    return pieces.select(key, "turn", F.col("p.role").alias("role"), F.col("p.content").alias("text"))
 
 
-def transcript_samples(texts: DataFrame, labels: tuple[str, str], system: str, key: str = "path", size: int = CONTEXT_TURNS) -> DataFrame:
+def transcript_samples(texts: DataFrame, labels: tuple, system: str, key: str = "path", size: int = CONTEXT_TURNS) -> DataFrame:
     """Samples of whole transcripts without a shuffle: windows are cut inside each row's turn array."""
-    therapist, client = labels
-    turns = F.transform(
-        D.turns(F.col("text"), labels),
-        lambda p: F.struct(
-            F.when(F.startswith(p, F.lit(therapist)), "assistant").when(F.startswith(p, F.lit(client)), "user").alias("role"),
-            F.when(F.startswith(p, F.lit(therapist)), D.without_end(D.without_label(p, therapist))).when(F.startswith(p, F.lit(client)), D.without_label(p, client)).otherwise(F.lit("")).alias("content"),
-        ),
-    )
-    cut = texts.select(key, turns.alias("t"))
-    placed = cut.select(key, "t", F.posexplode("t").alias("turn", "own")).where("own.role = 'assistant' and own.content <> ''")
-    before = F.slice("t", F.greatest(F.lit(1), F.col("turn") + 1 - size), F.least(F.lit(size), F.col("turn")))
-    kept = F.filter(before, lambda m: m["role"].isNotNull() & (m["content"] != ""))
+    spoken = F.transform(_turn_array(F.col("text"), labels), lambda m: F.struct(m["role"].alias("role"), F.when(m["role"].isNotNull(), m["content"]).alias("content")))
     lead = F.array(F.struct(F.lit("system").alias("role"), F.lit(system).alias("content")))
-    return placed.select(key, "turn", F.concat(lead, kept, F.array("own")).alias("messages"))
+    return array_windows(texts, key, spoken, size=size, lead=lead)
+
+
+def allowed_languages(df: DataFrame, langs: tuple[str, ...], lang: str = "lang") -> DataFrame:
+    """Rows of the languages of a list."""
+    return df.where(F.col(lang).isin(*langs))
 
 
 def routed(texts: DataFrame, path: str = "path") -> DataFrame:

@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from colloquy.functions import text as X
+from colloquy.session import fixed
 
 
 def tagged_lines(lines: DataFrame, key: str = "path", line: str = "line", tags: tuple[str, ...] = ("Therapist:", "Client:")) -> DataFrame:
@@ -70,32 +72,56 @@ def mtld_of(tokens, threshold: float = 0.72, least: int = 10) -> float | None:
 
 
 def mtld(tokens: Column, threshold: float = 0.72, least: int = 10) -> Column:
-    """MTLD of a token array (X6); an Arrow-batched function."""
+    """MTLD of a token array (X6). Tokens are numbered within a batch in Arrow; Python sees numbers only."""
 
-    @F.pandas_udf("double")
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for s in batches:
-            yield pd.Series([mtld_of(t, threshold, least) for t in s], dtype="float64")
+    @F.arrow_udf("double")
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for arrays in batches:
+            numbers = arrays.flatten().dictionary_encode().indices.to_pylist()
+            ends = np.cumsum(arrays.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)).tolist()
+            yield pa.array([mtld_of(numbers[a:b], threshold, least) for a, b in zip([0, *ends], ends)], pa.float64())
 
     return run(tokens)
 
 
+def text_totals(corpus: DataFrame, kind: str = "kind", text: str = "text", counters: dict | None = None) -> DataFrame:
+    """Adds ``utterances`` and ``tokens`` of every file by its kind, 0 for kinds without a counter.
+
+    ``counters`` maps a kind to a function from the text to an array of utterances; by default ``txt`` files are taken
+    line by line.
+    """
+    counters = counters or {"txt": lambda t: F.filter(F.transform(F.split(t, r"\r?\n"), X.squeeze), lambda x: x != "")}
+    listed = F.array().cast("array<string>")
+    for name, run in counters.items():
+        listed = F.when(F.lower(kind) == name, F.coalesce(run(F.col(text)), F.array().cast("array<string>"))).otherwise(listed)
+    tokens = F.aggregate(F.transform("_u", X.whitespace_count), F.lit(0), lambda a, n: a + n)
+    return corpus.withColumn("_u", listed).select("*", F.size("_u").cast("long").alias("utterances"), tokens.cast("long").alias("tokens")).drop("_u")
+
+
+#: Grams of more documents than this are joined by broadcast (if they are few), the others by a shuffle.
+HOT_DOCUMENTS = 2_000
+
+
 def self_bleu(docs: DataFrame, key: str, words: str = "words", n: int = 4) -> DataFrame:
     """Self-BLEU of each document with words against all others (A8, A9, W7, W8): ``key``, ``self_bleu``.
 
     The largest count of an n-gram among all other documents comes from its two largest counts, so no pair of
-    documents is ever formed: grams are counted per document, the top two counts per gram are a partial aggregate
-    (which a hot gram passes with one row per partition), and joined back. The closest other length is found on the
-    table of distinct lengths.
+    documents is ever formed: grams, as 64-bit codes, are counted per document, the top two counts per gram are a
+    partial aggregate (which a hot gram passes with one row per partition), and joined back. Grams of very many
+    documents are few and joined by broadcast, so no gram sends all its documents to one task. The closest other
+    length is found on the table of distinct lengths.
     """
     base = docs.where(F.size(words) > 0).select(F.col(key), F.col(words).alias("_w"), F.size(words).alias("_len"))
     orders = F.sequence(F.lit(1), F.lit(n))
-    grams = F.flatten(F.transform(orders, lambda k: F.when(F.col("_len") >= k, F.transform(F.sequence(F.lit(1), F.col("_len") - k + 1), lambda i: F.struct(k.alias("n"), F.array_join(F.slice("_w", i, k), " ").alias("g")))).otherwise(F.array().cast("array<struct<n: int, g: string>>"))))
+    grams = F.flatten(F.transform(orders, lambda k: F.when(F.col("_len") >= k, F.transform(F.sequence(F.lit(1), F.col("_len") - k + 1), lambda i: F.struct(k.alias("n"), F.xxhash64(F.slice("_w", i, k)).alias("g")))).otherwise(F.array().cast("array<struct<n: int, g: bigint>>"))))
     counts = base.select(key, F.explode(grams).alias("x")).groupBy(key, "x.n", "x.g").agg(F.count(F.lit(1)).alias("c"))
     # largest count, how many documents have it, and the largest count below it
     by_count = counts.groupBy("n", "g", "c").agg(F.count(F.lit(1)).alias("docs"))
-    top = by_count.groupBy("n", "g").agg(F.max_by("docs", "c").alias("holders"), F.max("c").alias("first"), F.slice(F.sort_array(F.collect_set("c"), asc=False), 1, 2).alias("two"))
-    joined = counts.join(top, ["n", "g"])
+    top = by_count.groupBy("n", "g").agg(F.sum("docs").alias("all"), F.max_by("docs", "c").alias("holders"), F.max("c").alias("first"), F.slice(F.sort_array(F.collect_set("c"), asc=False), 1, 2).alias("two"))
+    hot = fixed(top.where(F.col("all") > HOT_DOCUMENTS).drop("all"), 100_000)
+    often = counts.join(hot, ["n", "g"])
+    seldom = counts.join(hot.select("n", "g"), ["n", "g"], "left_anti").join(top.where(F.col("all") <= HOT_DOCUMENTS).drop("all"), ["n", "g"])
+    joined = often.unionByName(seldom)
     others = F.when((F.col("c") == F.col("first")) & (F.col("holders") == 1), F.coalesce(F.get("two", F.lit(1)), F.lit(0))).otherwise(F.col("first"))
     clipped = joined.select(key, "n", F.least("c", others).alias("clip")).groupBy(key, "n").agg(F.sum("clip").alias("clip"))
     wide = clipped.groupBy(key).agg(*[F.coalesce(F.sum(F.when(F.col("n") == k, F.col("clip"))), F.lit(0)).alias(f"m{k}") for k in range(1, n + 1)])

@@ -13,8 +13,7 @@ MAX_POSITIONS = 512
 
 def paired(src: DataFrame, mt: DataFrame, key: str = "basename", text: str = "text") -> DataFrame:
     """Texts of both corpora with the same name and neither side empty."""
-    both = src.select(key, F.col(text).alias("src")).join(mt.select(key, F.col(text).alias("mt")), key)
-    return both.where("src <> '' and mt <> ''")
+    return src.withColumnRenamed(text, "src").where("src <> ''").join(mt.withColumnRenamed(text, "mt").where("mt <> ''"), key)
 
 
 def untranslated(src: DataFrame, mt: DataFrame, key: str = "basename") -> DataFrame:
@@ -25,9 +24,11 @@ def untranslated(src: DataFrame, mt: DataFrame, key: str = "basename") -> DataFr
 def zipped_lines(pairs: DataFrame, key: str, src: str = "src", mt: str = "mt") -> DataFrame:
     """``key``, ``line_no`` from 0, ``src``, ``mt``: lines side by side, the shorter side filled with empty lines.
 
-    Both sides are columns of a row, so the outer join by position is an array zip without a shuffle.
+    Both sides are columns of a row, so the outer join by position is an array zip without a shuffle. A null side has
+    no lines.
     """
-    lines = F.arrays_zip(F.split(src, r"\r?\n").alias("src"), F.split(mt, r"\r?\n").alias("mt"))
+    left, right = (F.coalesce(F.split(c, r"\r?\n"), F.array().cast("array<string>")) for c in (src, mt))
+    lines = F.arrays_zip(left.alias("src"), right.alias("mt"))
     out = pairs.select(key, F.posexplode(lines).alias("line_no", "z"))
     return out.select(key, "line_no", F.coalesce("z.src", F.lit("")).alias("src"), F.coalesce("z.mt", F.lit("")).alias("mt"))
 

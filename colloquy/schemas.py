@@ -3,14 +3,8 @@
 from pyspark.sql import types as T
 
 MESSAGE = T.StructType([T.StructField("role", T.StringType()), T.StructField("content", T.StringType())])
-HISTORY_ITEM = T.StructType([T.StructField("role", T.StringType()), T.StructField("response", T.StringType())])
 MESSAGES = T.ArrayType(MESSAGE)
 #: Both key layouts of a message list at once; absent keys read as null.
 ANY_MESSAGES = T.ArrayType(T.StructType([T.StructField("role", T.StringType()), T.StructField("content", T.StringType()), T.StructField("response", T.StringType())]))
-TURNS = T.StructType([T.StructField("conv_id", T.LongType()), T.StructField("turn", T.IntegerType()), T.StructField("role", T.StringType()), T.StructField("text", T.StringType())])
-TRANSCRIPT = T.StructType([T.StructField("path", T.StringType()), T.StructField("text", T.StringType())])
-SAMPLE = T.StructType([T.StructField("messages", MESSAGES), T.StructField("lang", T.StringType())])
-PAIR = T.StructType([T.StructField("basename", T.StringType()), T.StructField("src", T.StringType()), T.StructField("mt", T.StringType())])
-ITEM = T.StructType([T.StructField("situation", T.StringType()), T.StructField("thoughts", T.StringType()), T.StructField("gold", T.ArrayType(T.StringType()))])
 GENERATED = T.StructType([T.StructField("text", T.StringType()), T.StructField("prompt_tokens", T.IntegerType()), T.StructField("generated_tokens", T.IntegerType()), T.StructField("elapsed_sec", T.DoubleType())])
 CRITERIA = ("fluency", "coherence", "naturalness", "empathy", "appropriateness", "engagement")

@@ -7,6 +7,7 @@ import tempfile
 import uuid
 import zipfile
 
+import pyarrow.fs
 from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
@@ -26,24 +27,46 @@ def local_session(cores: int | str = 8, shuffle_partitions: int = 8, memory: str
     )
 
 
-_OWN: dict[str, str] = {}
+_PLACES: dict[tuple[str, str], str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share, as named in ``spark.checkpoint.dir``.
+    """This application's folder below the one all executors share, as named in ``spark.checkpoint.dir``, with its scheme.
 
-    Only where that setting is absent (tests, local runs) a temporary folder is chosen, one per application.
+    Where the setting is absent, local sessions (tests) get a temporary folder; on a cluster that is an error.
     """
     found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        app = spark.sparkContext.applicationId
-        found = _OWN.setdefault(app, "file://" + os.path.join(tempfile.gettempdir(), f"colloquy-{app}"))
-    if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
-        spark.sparkContext.setCheckpointDir(found)
-    # with its scheme, as Spark and the workers' own readers must mean the same place
-    path = spark._jvm.org.apache.hadoop.fs.Path(found)
-    whole = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(path).toString()
-    return "file://" + whole.removeprefix("file:") if whole.startswith("file:/") and not whole.startswith("file://") else whole
+    app = spark.conf.get("spark.app.id", "session")
+    if (app, found) in _PLACES:
+        return _PLACES[app, found]
+    base = found
+    if not base:
+        if not spark.conf.get("spark.master", "").startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        base = "file://" + tempfile.gettempdir()
+    place = f"{base.rstrip('/')}/colloquy-{app}"
+    if place.startswith("file:/") and not place.startswith("file://"):
+        place = "file://" + place.removeprefix("file:")
+    elif "://" not in place:
+        # a written file tells the scheme of the file system Spark means, for the workers' own readers
+        place = f"{place}-{uuid.uuid4().hex[:8]}"
+        spark.range(1).write.parquet(f"{place}/scheme")
+        whole = spark.read.parquet(f"{place}/scheme").inputFiles()[0]
+        place = whole[: whole.rindex("/scheme/")]
+        if place.startswith("file:/") and not place.startswith("file://"):
+            place = "file://" + place.removeprefix("file:")
+    _PLACES[app, found] = place
+    return place
+
+
+def cleanup(spark: SparkSession) -> None:
+    """Remove this application's intermediate tables; results that read them must be written before."""
+    key = spark.conf.get("spark.app.id", "session"), spark.conf.get("spark.checkpoint.dir", None)
+    place = _PLACES.pop(key, None)
+    if place:
+        files, inner = pyarrow.fs.FileSystem.from_uri(place)
+        if files.get_file_info(inner).type == pyarrow.fs.FileType.Directory:
+            files.delete_dir(inner)
 
 
 def materialise(df: DataFrame, name: str) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -9,6 +10,17 @@ from pyspark.sql import types as T
 from colloquy.functions.text import squeeze
 
 
+def required(spark: SparkSession, *paths: str) -> None:
+    """Raise where a file or folder is missing or holds nothing (P20)."""
+    for path in paths:
+        try:
+            found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path").limit(1).count()
+        except AnalysisException as e:
+            raise FileNotFoundError(path) from e
+        if not found:
+            raise FileNotFoundError(path)
+
+
 def whole_texts(spark: SparkSession, path: str | list[str], glob: str = "*.txt", strip: bool = False) -> DataFrame:
     """``path`` and ``text`` of every file below ``path`` that matches ``glob``."""
     read = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", glob).text(path, wholetext=True)
@@ -17,10 +29,10 @@ def whole_texts(spark: SparkSession, path: str | list[str], glob: str = "*.txt",
 
 
 def text_lines(spark: SparkSession, path: str | list[str], glob: str = "*.txt") -> DataFrame:
-    """``path``, ``line_no`` from 0 and ``line`` of text files; malformed bytes are replaced (S5). Lines are numbered
+    """``path``, ``line_no`` from 0 and ``line`` of text files; malformed bytes are dropped (S5). Lines are numbered
     within their file's text, so a file is read as one value."""
     whole = whole_texts(spark, path, glob)
-    return whole.select("path", F.posexplode(F.split("text", r"\r?\n")).alias("line_no", "line"))
+    return whole.select("path", F.posexplode(F.split(F.replace(F.make_valid_utf8("text"), F.lit("\ufffd"), F.lit("")), r"\r?\n")).alias("line_no", "line"))
 
 
 def json_documents(spark: SparkSession, path: str | list[str], schema: T.StructType, glob: str = "*.json") -> DataFrame:
@@ -39,9 +51,9 @@ def mixed_corpus(spark: SparkSession, path: str, suffixes: tuple[str, ...] = ("j
     return whole_texts(spark, path, glob).withColumn("kind", F.regexp_extract(F.lower("path"), r"\.([^./]+)$", 1))
 
 
-def dataset(spark: SparkSession, path: str, split: str | None = None) -> DataFrame:
+def dataset(spark: SparkSession, path: str, split: str | None = None, schema: str | None = None) -> DataFrame:
     """A written sample set, pruned to one split."""
-    found = spark.read.parquet(path)
+    found = (spark.read.schema(schema) if schema else spark.read).parquet(path)
     return found.where(F.col("split") == split) if split else found
 
 

@@ -159,13 +159,87 @@ def test_prompts_are_sent_once(spark):
 
 @pytest.mark.parametrize("named", ["plain", "uri", "none"])
 def test_shared_dir_has_a_scheme(spark, tmp_path, monkeypatch, named):
-    from colloquy.session import materialise, shared_dir
+    from colloquy.session import cleanup, materialise, shared_dir
 
     value = {"plain": str(tmp_path), "uri": f"file://{tmp_path}", "none": None}[named]
-    monkeypatch.setattr(type(spark.conf), "get", lambda self, key, default=None: value)
+    get = type(spark.conf).get
+    monkeypatch.setattr(type(spark.conf), "get", lambda self, key, *default: value if key == "spark.checkpoint.dir" else get(self, key, *default))
     found = shared_dir(spark)
-    assert found == (f"file://{tmp_path}" if value else shared_dir(spark)) and found.startswith("file:///")
+    assert found.startswith(f"file://{tmp_path}/" if value else "file:///") and found == shared_dir(spark)
     assert materialise(spark.range(3), "x").count() == 3
+    if value:
+        assert any(tmp_path.iterdir())
+        cleanup(spark)
+        assert not any(tmp_path.iterdir()) and materialise(spark.range(3), "x").count() == 3
+
+
+def test_a_cluster_needs_a_shared_folder(spark, monkeypatch):
+    from colloquy.session import shared_dir
+
+    monkeypatch.setattr(type(spark.conf), "get", lambda self, key, *default: {"spark.master": "spark://host:7077", "spark.app.id": "no-folder"}.get(key))
+    with pytest.raises(ValueError):
+        shared_dir(spark)
+
+
+def test_retries(spark):
+    waits, calls = [], []
+
+    def call(prompt):
+        calls.append(prompt)
+        if prompt == "never" or len(calls) < 3:
+            raise RuntimeError("busy " * 100)
+        return prompt.upper()
+
+    run = generation.with_retries(call, tries=3, pause=1.0, sleep=waits.append)
+    assert run(["a", None]) == [{"text": "A", "error": None}, {"text": None, "error": None}] and waits == [2.0, 4.0, 1.0, 1.0]
+    assert run(["never"])[0]["error"] == ("busy " * 100)[:200] and calls.count("never") == 3
+
+
+def test_required_files(spark, tmp_path):
+    (tmp_path / "a").mkdir()
+    (tmp_path / "a" / "x.txt").write_text("x")
+    (tmp_path / "b").mkdir()
+    readers.required(spark, str(tmp_path / "a"), str(tmp_path / "a" / "x.txt"))
+    for missing in ("b", "c"):
+        with pytest.raises(FileNotFoundError):
+            readers.required(spark, str(tmp_path / missing))
+
+
+def test_bad_bytes_are_dropped(spark, tmp_path):
+    (tmp_path / "x.txt").write_bytes(b"ab\xffc\nd")
+    assert [r["line"] for r in readers.text_lines(spark, str(tmp_path)).orderBy("line_no").collect()] == ["abc", "d"]
+
+
+def test_dispatch_by_kind(spark):
+    df = spark.createDataFrame([("txt", "a b\n\n c"), ("TXT", None), ("pdf", "a b")], "kind string, text string")
+    assert [(r["utterances"], r["tokens"]) for r in statistics.text_totals(df).collect()] == [(2, 3), (0, 0), (0, 0)]
+
+
+def test_loops_of_whole_turns(spark):
+    said = ["a x", "b x", "a x", "b x", "a y", "b x"]
+    df = spark.createDataFrame([(1, i, "client" if i % 2 else "therapist", t) for i, t in enumerate(said)], "conv_id long, turn int, role string, text string")
+    assert [r["loop"] for r in sessions.loops(df).orderBy("turn").collect()] == [False, False, False, True, False, False]
+
+
+def test_long_sessions(spark):
+    df = spark.createDataFrame([(n, "Therapist: bye [/END]") for n in (14, 15, 21, 22, 29, 30, 33)], "turn int, text string")
+    rows = df.select(D.wind_down(F.col("turn")).alias("w"), D.late_end(F.col("text"), F.col("turn")).alias("t")).collect()
+    assert [r["w"] for r in rows] == ["", "", "", "You should end the conversation in 8 turns.", "You should end the conversation in 1 turn.", "You should end the conversation in this turn with '[/END]' token.", "You should end the conversation in -3 turns."]
+    assert [r["t"] for r in rows][:2] == ["Therapist: bye", "Therapist: bye [/END]"]
+
+
+def test_labels_by_language(spark):
+    df = spark.createDataFrame([(1, "de", "Therapeut: Ja. Klient: Nein."), (2, None, "Therapist: Yes. Klient: no"), (3, "fr", None)], "path long, code string, text string")
+    got = {(r["path"], r["turn"]): (r["role"], r["text"]) for r in samples.transcript_turns(df, samples.labels_of(F.col("code"))).collect()}
+    assert got == {(1, 0): ("assistant", "Ja."), (1, 1): ("user", "Nein."), (2, 0): ("assistant", "Yes. Klient: no")}
+
+
+def test_hot_grams(spark, monkeypatch):
+    rows = [(i, f"the cat {i} sat the".split()) for i in range(40)] + [(99, [])]
+    df = spark.createDataFrame(rows, "k long, words array<string>")
+    whole = sorted((r["k"], round(r["self_bleu"], 9)) for r in statistics.self_bleu(df, "k").collect())
+    monkeypatch.setattr(statistics, "HOT_DOCUMENTS", 5)
+    assert sorted((r["k"], round(r["self_bleu"], 9)) for r in statistics.self_bleu(df, "k").collect()) == whole and len(whole) == 40
 
 
 def test_small_tables_are_checked(spark):

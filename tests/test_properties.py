@@ -53,3 +53,9 @@ def test_scans_read_what_they_need(spark, sf_dir):
     assert columns("sample_counts") == {"lang", "path"}
     assert columns("vocabulary_by_language") == {"lang", "text"}
     assert columns("context_windows") == {"sample_id", "messages"}
+
+
+def test_dialogues_in_a_row_are_not_shuffled(spark, sf_dir):
+    for name in ("context_windows", "message_roles", "flattened_messages", "rendered_transcripts", "chat_texts", "cleaned_client_turns", "cleaned_therapist_turns", "early_ends", "end_markers", "wind_down_messages", "zipped_lines", "greedy_chunks", "mtld_per_document", "thought_and_quoted_turns"):
+        plan = catalogue.QUERIES[name](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+        assert "Exchange" not in plan and "Join" not in plan, name
