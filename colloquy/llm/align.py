@@ -1,9 +1,10 @@
 """Sentence alignment of rough translations (problem 4).
 
 A lexicon is induced from all pairs: words that occur in sentences at about the same place of both sides are counted,
-and word pairs with a significant log-likelihood ratio keep a strength. Sentence pairs, and spans of two neighbouring
+and word pairs with a significant log-likelihood ratio keep a strength. Sentence pairs, and spans of neighbouring
 sentences merged, are scored by the words they cover of each other; equal numbers and names (also in another script)
-count as translations. The pairs of a document come from a maximum-weight assignment with a cost for staying alone.
+count as translations. The pairs of a document come from a maximum-weight assignment with a cost for staying alone, in
+which spans are candidates beside their sentences.
 """
 
 from __future__ import annotations
@@ -12,7 +13,7 @@ import math
 import re
 import uuid
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -23,10 +24,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from colloquy.llm import _text
-from colloquy.session import fixed, shared_dir
+from colloquy.session import fixed, shared_dir, small
 
 #: Documents a word must occur in to take part in the lexicon; fewer give no significant ratio.
 LEAST_DOCUMENTS = 4
+#: Words of all languages together that workers are meant to hold.
+MOST_WORDS = 4_000_000
 #: Half width of the band of sentences that count as "about the same place": at least so many, and a share of the side.
 BAND, BAND_SHARE = 2, 0.06
 #: Significance of a word pair (0.001 with one degree of freedom) and least strength that is kept.
@@ -74,19 +77,31 @@ def consonants(word: str) -> str:
 
 
 class Lexicon:
-    """Vocabulary (language and word to id, document and sentence counts) and strengths of word pairs, held by a worker."""
+    """Vocabulary (language and word to id, document and sentence counts), and strengths of word pairs by language pair,
+    as a worker holds them: one language pair at a time, both ways, read when a document asks for it."""
 
-    def __init__(self, vocabulary: dict[str, dict[str, tuple[int, int, int]]], table: tuple[np.ndarray, ...] | None = None):
+    def __init__(self, vocabulary: dict[str, dict[str, tuple[int, int, int]]], load: Callable[[int], tuple[np.ndarray, ...]] | None = None):
         self.vocabulary = vocabulary
         self.size = 1 + max((i for words in vocabulary.values() for i, _, _ in words.values()), default=0)
         totals = {lang: words.get("", (0, 1, 1)) for lang, words in vocabulary.items()}
         self.documents = {lang: n for lang, (_, n, _) in totals.items()}
         self.sentences = {lang: k for lang, (_, _, k) in totals.items()}
-        if table is not None:
-            source, target, strength = table
-            order = np.argsort(source, kind="stable")
-            self.target, self.strength = target[order], strength[order]
-            self.cut = np.searchsorted(source[order], np.arange(self.size + 1))
+        self.number = {lang: i for i, lang in enumerate(sorted(vocabulary))}
+        self.load = load
+        self.open: dict[tuple[str, str], tuple[np.ndarray, ...]] = {}
+
+    def pair(self, source: str, target: str) -> int:
+        return self.number[source] * len(self.number) + self.number[target]
+
+    def entries(self, source: str, target: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Target words and strengths of all source words, and where those of each source word begin."""
+        if (source, target) not in self.open:
+            if (target, source) not in self.open:
+                self.open.clear()
+            s, t, strength = self.load(self.pair(source, target))
+            order = np.argsort(s, kind="stable")
+            self.open[source, target] = t[order], strength[order], np.searchsorted(s[order], np.arange(self.size + 1))
+        return self.open[source, target]
 
     def language(self, stated: str | None, words: set[str]) -> str:
         """The stated language, or the one whose documents use the words most."""
@@ -114,10 +129,10 @@ def _window(i: int, n: int, m: int) -> tuple[int, int]:
 def _files(path: str) -> list[pa.Table]:
     files, inner = pyarrow.fs.FileSystem.from_uri(path)
     out = []
-    for found in files.get_file_info(pyarrow.fs.FileSelector(inner, recursive=True)):
+    for found in files.get_file_info(pyarrow.fs.FileSelector(inner, recursive=True, allow_not_found=True)):
         if found.path.endswith(".parquet"):
             with files.open_input_file(found.path) as f:
-                out.append(pq.read_table(f))
+                out.append(pq.ParquetFile(f).read())
     return out
 
 
@@ -131,11 +146,12 @@ def _lexicon(words: str, pairs: str | None = None) -> Lexicon:
         for t in _files(words):
             for i, lang, word, n, k in zip(*(t.column(c).to_pylist() for c in ("id", "lang", "word", "n", "k"))):
                 vocabulary.setdefault(lang, {})[word] = (i, n, k)
-        table = None
-        if pairs:
-            parts = [[t.column(c).to_numpy() for c in ("s", "t", "strength")] for t in _files(pairs) if t.num_rows]
-            table = tuple(np.concatenate(c) for c in zip(*parts)) if parts else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.float32))
-        _LOADED[words, pairs] = Lexicon(vocabulary, table)
+
+        def load(pair: int) -> tuple[np.ndarray, ...]:
+            parts = [[t.column(c).to_numpy() for c in ("s", "t", "strength")] for t in _files(f"{pairs}/pair={pair}") if t.num_rows]
+            return tuple(np.concatenate(c) for c in zip(*parts)) if parts else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.float32))
+
+        _LOADED[words, pairs] = Lexicon(vocabulary, load)
     return _LOADED[words, pairs]
 
 
@@ -204,7 +220,6 @@ def cooccurrences(pairs: DataFrame, words: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lexicon = _lexicon(words)
         size = lexicon.size + 1
-        number = {lang: i for i, lang in enumerate(sorted(lexicon.vocabulary))}
         counts: dict[int, _Counts] = {}
 
         def given() -> Iterator[pa.RecordBatch]:
@@ -225,15 +240,14 @@ def cooccurrences(pairs: DataFrame, words: str) -> DataFrame:
                         continue
                     sl = lexicon.language(sl, {w for ws in a for w in ws})
                     ml = lexicon.language(ml, {w for ws in b for w in ws})
-                    if sl not in number or ml not in number:
+                    if sl not in lexicon.number or ml not in lexicon.number:
                         continue
                     left, right = lexicon.vocabulary[sl], lexicon.vocabulary[ml]
                     known = _alike({w for ws in a for w in ws}, {w for ws in b for w in ws})
                     x = [np.array([left[w][0] for w in ws if w in left and w not in known], np.int64) for ws in a]
                     y = [np.array([right[w][0] for w in ws if w in right and w not in known], np.int64) for ws in b]
-                    sl, ml = number[sl], number[ml]
                     # both directions: a lexicon from en to de also learns from pairs that go from de to en
-                    for here, there, key in ((x, y, sl * len(number) + ml), (y, x, ml * len(number) + sl)):
+                    for here, there, key in ((x, y, lexicon.pair(sl, ml)), (y, x, lexicon.pair(ml, sl))):
                         out = by_pair.setdefault(key, [])
                         for i, s in enumerate(here):
                             low, high = _window(i, len(here), len(there))
@@ -255,7 +269,7 @@ def cooccurrences(pairs: DataFrame, words: str) -> DataFrame:
 
 
 def strengths(counts: DataFrame) -> DataFrame:
-    """``s``, ``t``, ``strength`` of word pairs with a significant log-likelihood ratio: how far the probability of
+    """``pair``, ``s``, ``t``, ``strength`` of word pairs with a significant log-likelihood ratio: how far the probability of
     ``t`` near ``s`` rises from its base rate towards one, less for words that stand almost everywhere. The three
     marginals are joined by key."""
     pair = counts.where("s >= 0 and t >= 0 and n >= 3")
@@ -272,8 +286,8 @@ def strengths(counts: DataFrame) -> DataFrame:
     base = nt / total_n
     ratio = 2 * (term(a, ns, base) + term(ns - a, ns, 1 - base) + term(nt - a, total_n - ns, base) + term(total_n - ns - nt + a, total_n - ns, 1 - base))
     strength = (a / ns - base) / (1 - base) * F.least(F.lit(1.0), -F.log(base) / math.log(COMMON))
-    kept = joined.where(base < 1).select(F.col("s").cast("long").alias("s"), F.col("t").cast("long").alias("t"), strength.cast("float").alias("strength"), ratio.alias("ratio"))
-    return kept.where((F.col("ratio") >= SIGNIFICANT) & (F.col("strength") >= LEAST_STRENGTH)).select("s", "t", "strength")
+    kept = joined.where(base < 1).select("pair", F.col("s").cast("long").alias("s"), F.col("t").cast("long").alias("t"), strength.cast("float").alias("strength"), ratio.alias("ratio"))
+    return kept.where((F.col("ratio") >= SIGNIFICANT) & (F.col("strength") >= LEAST_STRENGTH)).select("pair", "s", "t", "strength")
 
 
 def assignment(weight: np.ndarray) -> list[tuple[int, int]]:
@@ -362,8 +376,9 @@ class Scorer:
         at_left, at_right = {w: i for i, w in enumerate(left)}, {w: i for i, w in enumerate(right)}
         known_l, known_r = self.lexicon.vocabulary.get(sl, {}), self.lexicon.vocabulary.get(ml, {})
         strength = np.zeros((len(left), len(right)), np.float32)
-        self._fill(strength, at_left, known_l, {known_r[w][0]: j for w, j in at_right.items() if w in known_r})
-        self._fill(strength.T, at_right, known_r, {known_l[w][0]: i for w, i in at_left.items() if w in known_l})
+        if known_l and known_r:
+            self._fill(strength, at_left, known_l, {known_r[w][0]: j for w, j in at_right.items() if w in known_r}, self.lexicon.entries(sl, ml))
+            self._fill(strength.T, at_right, known_r, {known_l[w][0]: i for w, i in at_left.items() if w in known_l}, self.lexicon.entries(ml, sl))
         skeletons: dict[str, list[int]] = {}
         for w, j in at_right.items():
             if not w.isdigit() and len(c := consonants(w)) >= 3:
@@ -382,23 +397,23 @@ class Scorer:
         best_r = _best(strength.T, a, at_left)  # word of b by sentence of a
         return member_l, best_l, member_r, best_r, self._rare(left, known_l, sl), self._rare(right, known_r, ml)
 
-    def _fill(self, strength: np.ndarray, at: dict[str, int], known: dict, other: dict[int, int]) -> None:
+    def _fill(self, strength: np.ndarray, at: dict[str, int], known: dict, other: dict[int, int], entries: tuple) -> None:
         """Raise the strengths of the words ``at`` to those of their lexicon entries among ``other``."""
         found = [(known[w][0], i) for w, i in at.items() if w in known]
         if not found or not other:
             return
-        lexicon = self.lexicon
+        target, strengths, cut = entries
         ids, rows = np.array(found, np.int64).T
-        low = lexicon.cut[ids]
-        count = lexicon.cut[ids + 1] - low
+        low = cut[ids]
+        count = cut[ids + 1] - low
         entry = np.repeat(low - (np.cumsum(count) - count), count) + np.arange(int(count.sum()))
         mine = np.fromiter(other, np.int64, len(other))
         self.column[mine] = np.fromiter(other.values(), np.int64, len(other))
-        column = self.column[lexicon.target[entry]]
+        column = self.column[target[entry]]
         self.column[mine] = -1
         hit = column >= 0
         i, j = np.repeat(rows, count)[hit], column[hit]
-        strength[i, j] = np.maximum(strength[i, j], lexicon.strength[entry[hit]])
+        strength[i, j] = np.maximum(strength[i, j], strengths[entry[hit]])
 
     def _rare(self, words: list[str], known: dict, lang: str) -> np.ndarray:
         least = max(LEAST_DOCUMENTS, RARE_SHARE * self.lexicon.documents.get(lang, 1))
@@ -432,16 +447,14 @@ def align(a: list[list[str]], b: list[list[str]], scorer: Scorer, sl: str, ml: s
     member_a, best_a, member_b, best_b, rare_a, rare_b = scorer.coverage(a, b, sl, ml)
     cover_a, cover_b = member_a @ best_a, (member_b @ best_b).T
     score = (cover_a + cover_b) / 2
-    # spans of two neighbours on one side that one sentence of the other side renders as a whole
-    units_b = _merge(score, cover_a, cover_b, null)
-    units_a = _merge(score.T, cover_b.T, cover_a.T, null)
-    # units tile their side, so sums and maxima over them are taken from their first sentences on
-    first_a, first_b = np.array([u[0] for u in units_a]), np.array([u[0] for u in units_b])
-    size_a, size_b = np.diff(np.r_[first_a, len(a)]), np.diff(np.r_[first_b, len(b)])
-    unit_a, unit_b = np.add.reduceat(member_a, first_a, axis=0) / size_a[:, None], np.add.reduceat(member_b, first_b, axis=0) / size_b[:, None]
-    near_a, near_b = np.maximum.reduceat(best_a, first_b, axis=1), np.maximum.reduceat(best_b, first_a, axis=1)
+    # candidates are sentences and spans of neighbours that one sentence of the other side may render as a whole
+    units_a = [(i,) for i in range(len(a))] + _spans(score.T, cover_b.T, cover_a.T, null)
+    units_b = [(j,) for j in range(len(b))] + _spans(score, cover_a, cover_b, null)
+    unit_a, near_b = _joined(member_a, best_b.T, units_a[len(a) :])
+    unit_b, near_a = _joined(member_b, best_a.T, units_b[len(b) :])
+    near_a, near_b = near_a.T, near_b.T
     taken = score if len(units_a) == len(a) and len(units_b) == len(b) else (unit_a @ near_a + (unit_b @ near_b).T) / 2
-    chosen = assignment(taken - null)
+    chosen = exclusive_assignment(taken - null, units_a, units_b)
     # numbers and names of the paired sentences, and how many of them the other side has
     xs, ys = np.array([x for x, _ in chosen], np.int64), np.array([y for _, y in chosen], np.int64)
     own = unit_a[:, rare_a][xs] > 0
@@ -486,31 +499,61 @@ def _attach(pairs: list[tuple[int, int, float]], cover: np.ndarray, score: np.nd
             partners[j].append(i)
 
 
-def _merge(score: np.ndarray, cover_a: np.ndarray, cover_b: np.ndarray, null: float) -> list[tuple[int, ...]]:
-    """Units of side b: a run of neighbours becomes a span if one sentence i is the best for each and covers each well,
-    while each further one covers words of i that the span so far leaves open."""
-    units: list[tuple[int, ...]] = []
+def _spans(score: np.ndarray, cover_a: np.ndarray, cover_b: np.ndarray, null: float) -> list[tuple[int, ...]]:
+    """Spans of side b that are candidates beside their sentences: runs of neighbours for which one sentence i is the best
+    and covers each well, while each further one covers words of i that the span so far leaves open."""
+    runs: list[tuple[int, ...]] = []
     best = score.argmax(axis=0)
-    for j in range(score.shape[1]):
+    for j in range(1, score.shape[1]):
         i = int(best[j])
-        if units and best[j - 1] == i and cover_b[i, j] >= null and cover_b[i, j - 1] >= null:
-            run = units[-1]
+        if best[j - 1] == i and cover_b[i, j] >= null and cover_b[i, j - 1] >= null:
+            run = runs[-1] if runs and runs[-1][-1] == j - 1 else (j - 1,)
             covered = [float(cover_a[i, k]) for k in run]
             new = float(cover_a[i, j])
             # a sentence that renders the same part again adds little to the largest share
             if min(new, *covered) >= 0.08 and sum(covered) + new <= 1.0:
-                units[-1] = (*run, j)
-                continue
-        units.append((j,))
-    return units
+                if len(run) > 1:
+                    runs.pop()
+                runs.append((*run, j))
+    return runs
+
 
+def _joined(member: np.ndarray, best: np.ndarray, spans: list[tuple[int, ...]]) -> tuple[np.ndarray, np.ndarray]:
+    """Word shares and best strengths of sentences with those of ``spans`` below: their mean, and their best."""
+    if not spans:
+        return member, best
+    return np.vstack([member, *(member[list(u)].mean(axis=0) for u in spans)]), np.vstack([best, *(best[list(u)].max(axis=0) for u in spans)])
 
-def sentence_pairs(pairs: DataFrame, id_col: str = "pair_id", src: str = "src", mt: str = "mt", src_lang: str = "src_lang", mt_lang: str = "mt_lang", null: float = NULL_SCORE, foreign: float = FOREIGN) -> DataFrame:
+
+def exclusive_assignment(weight: np.ndarray, units_a: list[tuple[int, ...]], units_b: list[tuple[int, ...]]) -> list[tuple[int, int]]:
+    """``assignment`` of units of which none shares a sentence with another one chosen on its side.
+
+    Where the assignment takes a span and one of its sentences, what weighs less is ruled out and the rest assigned
+    anew; each round rules out a span or its sentences for good, so there are at most as many rounds as spans.
+    """
+    weight = weight.copy()
+    while True:
+        chosen = assignment(weight)
+        clash = False
+        for units, side in ((units_a, 0), (units_b, 1)):
+            gain = {pair[side]: float(weight[pair]) for pair in chosen}
+            for u in [k for k in gain if len(units[k]) > 1]:
+                single = [k for k in units[u] if k in gain]
+                if single:
+                    clash = True
+                    for k in [u] if gain[u] <= sum(gain[x] for x in single) else units[u]:
+                        weight[(k, slice(None)) if side == 0 else (slice(None), k)] = -1.0
+        if not clash:
+            return chosen
+
+
+def sentence_pairs(pairs: DataFrame, id_col: str = "pair_id", src: str = "src", mt: str = "mt", src_lang: str = "src_lang", mt_lang: str = "mt_lang", null: float = NULL_SCORE, foreign: float = FOREIGN, most_words: int = MOST_WORDS) -> DataFrame:
     """``id_col``, ``src_no``, ``mt_no``, ``score`` for each two sentences that translate each other.
 
     Null and empty sides align with nothing; a null or unknown language is taken from the words; repeated rows are
     aligned each. Three passes over the pairs: vocabulary, co-occurrences, alignment. Only counted words and word
-    pairs are shuffled, partially summed per batch.
+    pairs are shuffled, partially summed per task. Workers hold the vocabularies, ``most_words`` in all, which is checked,
+    and the lexicon of one pair of languages; rows of a task are taken by pair of languages.
     """
     spark = pairs.sparkSession
     kind = dict(pairs.dtypes)[id_col]
@@ -520,8 +563,11 @@ def sentence_pairs(pairs: DataFrame, id_col: str = "pair_id", src: str = "src",
     found = document_words(texts)
     found.select(F.monotonically_increasing_id().alias("wide"), "*").write.parquet(f"{base}/counted")
     _numbered(spark.read.parquet(f"{base}/counted")).write.parquet(f"{base}/words")
+    known = spark.read.parquet(f"{base}/words").count()
+    if known > most_words:
+        raise ValueError(f"{known} words are more than the {most_words} a worker is meant to hold; raise most_words or workers' memory")
     cooccurrences(texts, f"{base}/words").write.parquet(f"{base}/counts")
-    strengths(spark.read.parquet(f"{base}/counts")).write.parquet(f"{base}/lexicon")
+    strengths(spark.read.parquet(f"{base}/counts")).repartition("pair").write.partitionBy("pair").parquet(f"{base}/lexicon")
     words, lexicon_path = f"{base}/words", f"{base}/lexicon"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -543,13 +589,15 @@ def sentence_pairs(pairs: DataFrame, id_col: str = "pair_id", src: str = "src",
                     index, i, j, s = zip(*rows)
                     yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(index, pa.int32())), pa.array(i, pa.int32()), pa.array(j, pa.int32()), pa.array(s, pa.float64())], names=[id_col, "src_no", "mt_no", "score"])
 
-    return pairs.select(F.col(id_col), *sides).where("a is not null and b is not null").mapInArrow(run, f"`{id_col}` {kind}, src_no int, mt_no int, score double")
+    rows = pairs.select(F.col(id_col), *sides).where("a is not null and b is not null")
+    return rows.sortWithinPartitions(F.least("la", "lb"), F.greatest("la", "lb")).mapInArrow(run, f"`{id_col}` {kind}, src_no int, mt_no int, score double")
 
 
 def _numbered(counted: DataFrame) -> DataFrame:
     """Dense ids: the rank of a row within its partition after the rows of the partitions before it."""
     part = counted.withColumn("p", F.shiftright("wide", 33)).withColumn("row", F.col("wide").bitwiseAND((1 << 33) - 1))
-    sizes = part.groupBy("p").agg((F.max("row") + 1).alias("size")).orderBy("p").collect()  # one row per partition
+    # one row per partition, which is checked
+    sizes = sorted(small(part.groupBy("p").agg((F.max("row") + 1).alias("size")), 100_000))
     offsets, at = [], 0
     for r in sizes:
         offsets.append((r["p"], at))
@@ -557,4 +605,4 @@ def _numbered(counted: DataFrame) -> DataFrame:
     if not offsets:
         return part.select(F.lit(0).cast("bigint").alias("id"), "lang", "word", "n", "k")
     offset = counted.sparkSession.createDataFrame(offsets, "p bigint, offset bigint")
-    return part.join(F.broadcast(offset), "p").select((F.col("row") + F.col("offset")).alias("id"), "lang", "word", "n", "k")
+    return part.join(fixed(offset, 100_000), "p").select((F.col("row") + F.col("offset")).alias("id"), "lang", "word", "n", "k")
