@@ -1,4 +1,5 @@
-"""Byte-level BPE under an existing vocabulary: exact token counts (problem 3) and token ids (problem 7).
+"""Byte-level BPE under an existing vocabulary: exact token counts (problem 3) and token ids (problem 7). Vocabularies
+come as ``tokenizers`` JSON files, also with a normaliser and ends of words, or as ``tiktoken`` rank files.
 
 Two independent merge engines share the pre-splitter:
 
@@ -13,9 +14,11 @@ vocabulary, never of the data).
 
 from __future__ import annotations
 
+import base64
 import heapq
 import json
 import os
+import unicodedata
 from collections.abc import Iterator
 from itertools import chain
 
@@ -45,50 +48,116 @@ def _byte_letters() -> dict[str, int]:
 
 
 class Vocabulary:
-    """Merge rules as arrays: ids of both sides and of the result, in order of rank."""
+    """Merge rules as arrays, and how texts are normalised and cut before them.
 
-    def __init__(self, byte_ids: np.ndarray, left: np.ndarray, right: np.ndarray, made: np.ndarray):
-        self.byte_ids, self.left, self.right, self.made = byte_ids, left, right, made
+    ``left``, ``right`` and ``rank`` are the rules, ``made`` the token each rank makes. ``byte_ids`` are the tokens of
+    single bytes, ``end_ids`` those of a piece's last byte (the same where words have no end of their own). ``whole``
+    are pieces that are tokens as they stand.
+    """
+
+    def __init__(self, byte_ids, end_ids, left, right, rank, made, pattern: str = PRE_SPLIT, steps: tuple = (), whole: dict[bytes, int] | None = None):
+        self.byte_ids, self.end_ids, self.left, self.right, self.rank, self.made = byte_ids, end_ids, left, right, rank, made
+        self.pattern, self.steps, self.whole = pattern, steps, whole or {}
         key = left.astype(np.int64) << 32 | right
-        self._order = np.argsort(key, kind="stable")
-        self.keys = key[self._order]
-        self.ranks = self._order.astype(np.int64)
-        self.rules = dict(zip(key.tolist(), range(len(key))))
+        order = np.argsort(key, kind="stable")
+        self.keys, self.ranks = key[order], rank[order].astype(np.int64)
+        self.rules = dict(zip(key.tolist(), rank.tolist()))
 
     def __getstate__(self):
-        return self.byte_ids, self.left, self.right, self.made
+        return self.byte_ids, self.end_ids, self.left, self.right, self.rank, self.made, self.pattern, self.steps, self.whole
 
     def __setstate__(self, state):
         self.__init__(*state)
 
     @classmethod
     def load(cls, path: str) -> Vocabulary:
-        """From a ``tokenizers`` JSON file, or a ``tiktoken`` rank file of the same kind."""
-        if path.endswith(".json"):
-            with open(path, encoding="utf-8") as f:
-                model = json.load(f)["model"]
-            ids, merges = model["vocab"], model["merges"]
-            merges = [m.split(" ") if isinstance(m, str) else m for m in merges]
-            letters = _byte_letters()
-            byte_ids = np.zeros(256, np.int32)
-            for letter, byte in letters.items():
-                byte_ids[byte] = ids[letter]
-            left = np.array([ids[a] for a, _ in merges], np.int32)
-            right = np.array([ids[b] for _, b in merges], np.int32)
-            made = np.array([ids[a + b] for a, b in merges], np.int32)
-            return cls(byte_ids, left, right, made)
-        raise ValueError(f"not a merge vocabulary: {path}")
+        """From a ``tokenizers`` JSON file or a ``tiktoken`` rank file. What this engine does not follow exactly, such as
+        other models, normalisers or pre-splitters, is refused with ValueError, never counted wrongly."""
+        if path.endswith(".tiktoken"):
+            return cls._ranks(path)
+        if not path.endswith(".json"):
+            raise ValueError(f"not a vocabulary of byte pairs: {path}")
+        with open(path, encoding="utf-8") as f:
+            whole = json.load(f)
+        model = whole["model"]
+        plain = {"type": "BPE", "dropout": None, "unk_token": None, "continuing_subword_prefix": None, "fuse_unk": False, "byte_fallback": False, "ignore_merges": False}
+        odd = {k for k, v in plain.items() if model.get(k, v) != v and (model.get(k) or v)}
+        if odd:
+            raise ValueError(f"{path}: model settings that are not followed: {sorted(odd)}")
+        pattern, steps = _pre_split(whole.get("pre_tokenizer"), path), tuple(_steps(whole.get("normalizer"), path))
+        ids, merges = model["vocab"], [m.split(" ") if isinstance(m, str) else m for m in model["merges"]]
+        suffix = model.get("end_of_word_suffix") or ""
+        byte_ids, end_ids = np.zeros(256, np.int32), np.zeros(256, np.int32)
+        for letter, byte in _byte_letters().items():
+            byte_ids[byte], end_ids[byte] = ids[letter], ids[letter + suffix]
+        left, right, made = (np.array([ids[t] for t in column], np.int32) for column in ([a for a, _ in merges], [b for _, b in merges], [a + b for a, b in merges]))
+        return cls(byte_ids, end_ids, left, right, np.arange(len(merges), dtype=np.int32), made, pattern, steps)
+
+    @classmethod
+    def _ranks(cls, path: str) -> Vocabulary:
+        """Tokens with their ranks; every two tokens whose bytes make a third are a rule of its rank."""
+        with open(path, "rb") as f:
+            ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, filter(bytes.strip, f))}
+        byte_ids = np.array([ranks[bytes([b])] for b in range(256)], np.int32)
+        rules = [(ranks[t[:i]], ranks[t[i:]], r) for t, r in ranks.items() for i in range(1, len(t)) if t[:i] in ranks and t[i:] in ranks]
+        left, right, rank = (np.array(c, np.int32) for c in zip(*rules))
+        return cls(byte_ids, byte_ids, left, right, rank, np.arange(max(ranks.values()) + 1, dtype=np.int32), whole={t: r for t, r in ranks.items() if len(t) > 1})
+
+
+def _pre_split(found: dict | None, path: str) -> str:
+    """The pattern of pieces of a pre-splitter."""
+    match found:
+        case {"type": "ByteLevel", "add_prefix_space": False, "use_regex": True}:
+            return PRE_SPLIT
+        case {"type": "Sequence", "pretokenizers": [{"type": "Split", "pattern": {"Regex": pattern}, "behavior": "Removed", "invert": True}, {"type": "ByteLevel", "add_prefix_space": False, "use_regex": False}]}:
+            # the public library's white space leaves out the separators of the ASCII controls
+            return pattern.replace(r"\s", r"\p{White_Space}")
+    raise ValueError(f"{path}: a pre-splitter that is not followed")
+
+
+def _steps(found: dict | None, path: str) -> Iterator[tuple]:
+    """Steps of a normaliser in order."""
+    match found:
+        case None:
+            return
+        case {"type": "Sequence", "normalizers": parts}:
+            for part in parts:
+                yield from _steps(part, path)
+        case {"type": "NFC" | "NFD" | "NFKC" | "NFKD" as form}:
+            yield "form", form
+        case {"type": "Lowercase"}:
+            yield ("lower",)
+        case {"type": "Replace", "pattern": {"Regex": pattern}, "content": content}:
+            yield "replace", pattern.replace(r"\s", r"\p{White_Space}"), content
+        case _:
+            raise ValueError(f"{path}: a normaliser that is not followed: {found.get('type')}")
+
+
+def normalised(text: str, steps: tuple) -> str:
+    """A text after the normaliser's steps; letters are lowered one by one, whatever stands beside them."""
+    for step in steps:
+        if step[0] == "form":
+            text = unicodedata.normalize(step[1], text)
+        elif step[0] == "replace":
+            text = regex.sub(step[1], step[2], text)
+        else:
+            text = "".join(map(str.lower, text)) if "Σ" in text else text.lower()
+    return text
 
 
 def vocabulary_path(name: str = DEFAULT_TOKENIZER, directory: str | None = None) -> str:
-    return os.path.join(directory or os.environ.get("TOKENIZER_DIR", TOKENIZER_DIR), f"{name}.json")
+    """The file of a named vocabulary below ``directory``, else below ``$TOKENIZER_DIR``."""
+    base = os.path.join(directory or os.environ.get("TOKENIZER_DIR", TOKENIZER_DIR), name)
+    return next((base + suffix for suffix in ("", ".json", ".tiktoken", ".model") if os.path.isfile(base + suffix)), base + ".json")
 
 
 class PreSplitter:
     """Splits texts at single inner spaces first: no piece spans such a space, so each part is a memo key of its own."""
 
     _inner = regex.compile(r"(?<=\S) (?=\S)")
-    _split = regex.compile(PRE_SPLIT)
+
+    def __init__(self, pattern: str = PRE_SPLIT):
+        self._split = regex.compile(pattern)
 
     def parts(self, text: str) -> list[str]:
         """Parts whose concatenation, each but the first behind one space, is the text."""
@@ -108,13 +177,16 @@ def count_pieces(vocab: Vocabulary, pieces: list[bytes]) -> np.ndarray:
     if not pieces:
         return np.zeros(0, np.int64)
     lengths = np.fromiter(map(len, pieces), np.int64, len(pieces))
-    symbols = vocab.byte_ids[np.frombuffer(b"".join(pieces), np.uint8)].astype(np.int64)
+    data = np.frombuffer(b"".join(pieces), np.uint8)
+    symbols = vocab.byte_ids[data].astype(np.int64)
+    last = np.cumsum(lengths)[lengths > 0] - 1
+    symbols[last] = vocab.end_ids[data[last]]
     owner = np.repeat(np.arange(len(pieces)), lengths)
     counts = lengths.copy()
-    none = len(vocab.keys)
+    none = len(vocab.made)
     while len(symbols) > 1:
         key = symbols[:-1] << 32 | symbols[1:]
-        at = np.minimum(np.searchsorted(vocab.keys, key), none - 1)
+        at = np.minimum(np.searchsorted(vocab.keys, key), len(vocab.keys) - 1)
         rank = np.where((vocab.keys[at] == key) & (owner[:-1] == owner[1:]), vocab.ranks[at], none)
         # lowest rank of each piece that is still open
         starts = np.flatnonzero(np.r_[True, owner[1:] != owner[:-1]])
@@ -136,6 +208,8 @@ def count_pieces(vocab: Vocabulary, pieces: list[bytes]) -> np.ndarray:
         open_piece = np.repeat(lowest < none, size)
         keep &= open_piece
         symbols, owner = symbols[keep], owner[keep]
+    if vocab.whole:
+        counts[np.fromiter((p in vocab.whole for p in pieces), bool, len(pieces))] = 1
     return counts
 
 
@@ -143,16 +217,17 @@ class PairIndex:
     """Encodes distinct pieces of a partition through a pair occurrence index."""
 
     def __init__(self, vocab: Vocabulary):
-        self.rules = vocab.rules
-        self.byte_ids = vocab.byte_ids.tolist()
-        self.left, self.right, self.made = vocab.left.tolist(), vocab.right.tolist(), vocab.made.tolist()
+        self.rules, self.whole = vocab.rules, vocab.whole
+        self.byte_ids, self.end_ids, self.made = vocab.byte_ids.tolist(), vocab.end_ids.tolist(), vocab.made.tolist()
 
     def encode(self, pieces: list[bytes]) -> list[list[int]]:
         """Token ids of each piece. Pieces are laid end to end with a gap of -1 between them."""
-        rules, made, lefts, rights, ids = self.rules, self.made, self.left, self.right, self.byte_ids
+        rules, made, ids, ends = self.rules, self.made, self.byte_ids, self.end_ids
         sym: list[int] = []
         for p in pieces:
             sym.extend([ids[b] for b in p])
+            if p:
+                sym[-1] = ends[p[-1]]
             sym.append(-1)
         n = len(sym)
         nxt, prv = list(range(1, n + 1)), list(range(-1, n - 1))
@@ -169,13 +244,12 @@ class PairIndex:
         while active:
             rank = heapq.heappop(active)
             positions = where.pop(rank)
-            a, b, new = lefts[rank], rights[rank], made[rank]
+            new = made[rank]
             positions.sort()
             for i in positions:
-                if sym[i] != a:
-                    continue
-                j = nxt[i]
-                if j >= n or sym[j] != b:
+                a, j = sym[i], nxt[i]
+                # the pair may be gone; several pairs may make one token, from the left
+                if a < 0 or j >= n or sym[j] < 0 or rules.get(a << 32 | sym[j]) != rank:
                     continue
                 k = nxt[j]
                 sym[i], sym[j], nxt[i] = new, -2, k
@@ -201,6 +275,8 @@ class PairIndex:
             elif s == -1:
                 out.append(current)
                 current = []
+        if self.whole:
+            out = [[self.whole[p]] if p in self.whole else o for p, o in zip(pieces, out)]
         return out
 
 
@@ -208,7 +284,7 @@ class Encoder:
     """Worker-side memo from text parts to token ids (or counts), filled batch by batch for parts not seen before."""
 
     def __init__(self, vocab: Vocabulary, counting: bool):
-        self.vocab, self.counting, self.split = vocab, counting, PreSplitter()
+        self.vocab, self.counting, self.split = vocab, counting, PreSplitter(vocab.pattern)
         self.index = None if counting else PairIndex(vocab)
         self.memo: dict[str, object] = {}
 
@@ -228,6 +304,8 @@ class Encoder:
             self.memo.clear()
         keyed = []
         for text in texts:
+            if text and self.vocab.steps:
+                text = normalised(text, self.vocab.steps)
             if not text:
                 keyed.append(())
                 continue

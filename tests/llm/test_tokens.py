@@ -56,3 +56,42 @@ def test_ids_of_the_table(spark, sf_dir):
     texts = {r["doc_id"]: r["text"] for r in docs.select("doc_id", "text").collect()}
     for r in bpe.encode_texts(docs, "doc_id", "text").collect():
         assert list(r["ids"]) == wanted(texts[r["doc_id"]])
+
+
+def by_library(name):
+    if name == "byte_bpe_multi_50k":
+        import base64
+
+        tiktoken = pytest.importorskip("tiktoken")
+        with open(bpe.vocabulary_path(name), "rb") as f:
+            ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+        return tiktoken.Encoding("own", pat_str=bpe.PRE_SPLIT, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+    public = tokenizers.Tokenizer.from_file(bpe.vocabulary_path(name))
+    public.encode_special_tokens = True
+    return lambda text: public.encode(text, add_special_tokens=False).ids
+
+
+@pytest.mark.parametrize("name", ["byte_bpe_50k", "word_bpe_49k", "byte_bpe_multi_50k"])
+def test_every_public_vocabulary(name, sf_dir):
+    import duckdb
+
+    encode, vocabulary = by_library(name), bpe.Vocabulary.load(bpe.vocabulary_path(name))
+    rows = [r[0] for r in duckdb.sql(f"select text from '{sf_dir}/documents.parquet' where text is not null").fetchall()]
+    texts = [*TEXTS, *rows, "Hello world, how are you?", "ΟΔΥΣΣΕΥΣ İstanbul", "aaa aaaa aaaaa aaaaaaa\x1c b\u2028c"]
+    ids, counts = bpe.Encoder(vocabulary, counting=False), bpe.Encoder(vocabulary, counting=True)
+    for text, got, n in zip(texts, ids.batch(texts), counts.batch(texts)):
+        want = encode(text) if text else []
+        assert got == want and n == len(want), text[:80]
+
+
+def test_what_is_not_followed_is_refused(tmp_path):
+    import json
+
+    with pytest.raises(ValueError):
+        bpe.Vocabulary.load(bpe.vocabulary_path("piece_bpe_32k"))
+    with open(bpe.vocabulary_path()) as f:
+        whole = json.load(f)
+    for part, value in (("normalizer", {"type": "StripAccents"}), ("pre_tokenizer", {"type": "Whitespace"}), ("model", whole["model"] | {"byte_fallback": True})):
+        (tmp_path / "odd.json").write_text(json.dumps(whole | {part: value}))
+        with pytest.raises(ValueError):
+            bpe.Vocabulary.load(str(tmp_path / "odd.json"))
