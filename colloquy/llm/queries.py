@@ -14,24 +14,51 @@ def samples_of(spark: SparkSession, d: str) -> DataFrame:
     return spread(table(spark, d, "processed_dataset"))
 
 
+_MODELS: dict[tuple[str, str, str], object] = {}
+
+
+def _once(spark: SparkSession, d: str, name: str, fit):
+    """A model of a folder's samples, fitted once per application."""
+    key = spark.sparkContext.applicationId, d, name
+    if key not in _MODELS:
+        _MODELS[key] = fit()
+    return _MODELS[key]
+
+
+def rows_of(spark: SparkSession, d: str) -> tuple:
+    return _once(spark, d, "rows", lambda: language.fit_rows(samples_of(spark, d), table(spark, d, "lang_alias"), table(spark, d, "glossary")))
+
+
+def field_of(spark: SparkSession, d: str) -> language.Field:
+    return _once(spark, d, "field", lambda: language.fit(*rows_of(spark, d)))
+
+
+def models_of(spark: SparkSession, d: str) -> tuple:
+    """Language field and sentence endings."""
+    return field_of(spark, d), _once(spark, d, "endings", lambda: pairing.Endings([texts for texts, _ in rows_of(spark, d)[0]]))
+
+
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
-    return language.unstated_languages(samples_of(spark, d), table(spark, d, "lang_alias"), table(spark, d, "glossary"))
+    return language.unstated_languages(samples_of(spark, d), table(spark, d, "lang_alias"), field=field_of(spark, d))
 
 
 def p1_documents(spark: SparkSession, d: str) -> DataFrame:
-    samples = samples_of(spark, d)
-    field = language.fit_field(samples, table(spark, d, "lang_alias"), table(spark, d, "glossary"))
-    return language.document_languages(samples, field).select("sample_id", "language", "confidence")
+    return language.document_languages(samples_of(spark, d), field_of(spark, d)).select("sample_id", "language", "confidence")
 
 
 def p1_stretches(spark: SparkSession, d: str) -> DataFrame:
-    samples = samples_of(spark, d)
-    field = language.fit_field(samples, table(spark, d, "lang_alias"), table(spark, d, "glossary"))
-    return language.language_stretches(samples, field)
+    return language.language_stretches(samples_of(spark, d), field_of(spark, d))
 
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
-    return pairing.pair_defects(samples_of(spark, d), table(spark, d, "lang_alias"), table(spark, d, "glossary"), keep=lambda df: materialise(df, "pair-checks"))
+    return pairing.pair_defects(samples_of(spark, d), table(spark, d, "lang_alias"), models=models_of(spark, d), keep=lambda df: materialise(df, "pair-checks"))
+
+
+def p2_templates(spark: SparkSession, d: str) -> DataFrame:
+    """Candidates for refusals with the figures that decide: recurrence, dependence on prompts, histories."""
+    checked = materialise(pairing.row_checks(samples_of(spark, d), *models_of(spark, d)), "pair-checks")
+    found = pairing.opening_clusters(checked, lambda df: materialise(df, "pair-checks"))
+    return found.select("opening", "cluster", "rows", "prompts", "own", "other", "answered", "expected", "refuses")
 
 
 def p3_token_budget(spark: SparkSession, d: str) -> DataFrame:
@@ -92,6 +119,7 @@ QUERIES = {
     "p1_documents": p1_documents,
     "p1_stretches": p1_stretches,
     "p2_found": p2_found,
+    "p2_templates": p2_templates,
     "p3_token_budget": p3_token_budget,
     "p3_sample_tokens": p3_sample_tokens,
     "p4_found": p4_found,
