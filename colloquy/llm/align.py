@@ -120,10 +120,11 @@ def _tokens(sentence: str) -> list[str]:
     return list(dict.fromkeys(_text.words(_text.fold(_text.plain(sentence)))))
 
 
-def _window(i: int, n: int, m: int) -> tuple[int, int]:
-    centre = (i + 0.5) * m / n
+def _windows(n: int, m: int) -> tuple[np.ndarray, np.ndarray]:
+    """For each of ``n`` sentences the range of the other side's ``m`` sentences at about the same place."""
+    centre = (np.arange(n) + 0.5) * m / n
     half = max(BAND, BAND_SHARE * m)
-    return max(0, int(centre - half - 0.5)), min(m, int(centre + half + 0.5) + 1)
+    return np.maximum(0, (centre - half - 0.5).astype(np.int64)), np.minimum(m, (centre + half + 0.5).astype(np.int64) + 1)
 
 
 def _files(path: str) -> list[pa.Table]:
@@ -187,18 +188,37 @@ def _alike(a: set[str], b: set[str]) -> set[str]:
     return {w for w in a if (len(w) > 3 and w in b) or consonants(w) in both} | {w for w in b if (len(w) > 3 and w in a) or consonants(w) in both}
 
 
+#: Cells of a table of word pairs that is held as such; larger ones are held by the cells that occur.
+DENSE_CELLS = 12_000_000
+#: Cells held by what occurs before they are summed up, and given out.
+HELD_CODES = 1_500_000
+
+
 class _Counts:
-    """Counted codes, merged as they grow: most repeat within a partition and leave it once."""
+    """Counts of the word pairs of one pair of languages, summed up within a task: most repeat and leave it once."""
 
-    def __init__(self):
+    def __init__(self, rows: int, columns: int):
+        self.columns = columns
+        self.table = np.zeros((rows, columns), np.int32) if rows * columns <= DENSE_CELLS else None
         self.parts: list[tuple[np.ndarray, np.ndarray]] = []
         self.size = 0
 
-    def add(self, codes: np.ndarray) -> None:
-        self.parts.append(np.unique(codes, return_counts=True))
-        self.size += len(self.parts[-1][0])
+    def add(self, rows: np.ndarray, columns: np.ndarray, counts: np.ndarray) -> None:
+        """Add a block of counts; ``rows`` and ``columns`` do not repeat."""
+        if self.table is not None:
+            self.table[np.ix_(rows, columns)] += counts
+            return
+        i, j = np.nonzero(counts)
+        self.parts.append((rows[i] * self.columns + columns[j], counts[i, j].astype(np.int64)))
+        self.size += len(i)
+        if self.size > 2 * HELD_CODES:
+            self.merge()
 
     def merge(self) -> tuple[np.ndarray, np.ndarray]:
+        """Codes of cells (row times columns, plus column) and their counts."""
+        if self.table is not None:
+            codes = np.flatnonzero(self.table)
+            return codes, self.table.ravel()[codes].astype(np.int64)
         codes, n = (np.concatenate(c) for c in zip(*self.parts))
         order = np.argsort(codes, kind="stable")
         codes, n = codes[order], n[order]
@@ -208,63 +228,66 @@ class _Counts:
         return self.parts[0]
 
 
-#: Codes a task holds before it gives them out.
-HELD_CODES = 1_500_000
+def _presence(sentences: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Words of a document with 0 before them, and which sentence holds which; 0 is held by all."""
+    words, place = np.unique(np.concatenate(sentences), return_inverse=True)
+    held = np.zeros((len(sentences), len(words) + 1), np.float32)
+    held[:, 0] = 1
+    held[np.repeat(np.arange(len(sentences)), [len(x) for x in sentences]), place + 1] = 1
+    return np.r_[0, words], held
 
 
 def cooccurrences(pairs: DataFrame, words: str) -> DataFrame:
     """``pair``, ``s``, ``t``, ``n``: source sentences with word ``s`` whose window on the other side holds ``t``.
     ``pair`` is a number for both languages. ``t`` = -1 and ``s`` = -1 hold the marginals of the other word, both -1
-    the number of sentences."""
+    the number of sentences. The counts of a document are one product of two tables; rows of a task are taken by pair of
+    languages, so that few pairs' counts are held at a time."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lexicon = _lexicon(words)
-        size = lexicon.size + 1
-        counts: dict[int, _Counts] = {}
+        # words by number within their language, from 1 on
+        local = {lang: {w: k for k, w in enumerate(sorted(known), 1)} for lang, known in lexicon.vocabulary.items()}
+        ids = {lang: np.array([-1, *(lexicon.vocabulary[lang][w][0] for w in sorted(lexicon.vocabulary[lang]))], np.int64) for lang in local}
+        counts: dict[tuple[str, str], _Counts] = {}
 
         def given() -> Iterator[pa.RecordBatch]:
-            for pair, held in counts.items():
-                code, n = held.merge()
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(code), pair, np.int32)), pa.array((code // size - 1).astype(np.int32)), pa.array((code % size - 1).astype(np.int32)), pa.array(n.astype(np.int64))], names=["pair", "s", "t", "n"])
-            counts.clear()
+            for source, target in list(counts):
+                code, n = counts.pop((source, target)).merge()
+                width = len(ids[target])
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(code), lexicon.pair(source, target), np.int32)), pa.array(ids[source][code // width].astype(np.int32)), pa.array(ids[target][code % width].astype(np.int32)), pa.array(n)], names=["pair", "s", "t", "n"])
 
-        for whole in batches:
-            for begin in range(0, whole.num_rows, 100):
-                batch = whole.slice(begin, 100)
-                by_pair: dict[int, list[np.ndarray]] = {}
-                for src, mt, sl, ml in zip(*(batch.column(c).to_pylist() for c in range(4))):
-                    if not src or not mt:
-                        continue
-                    a, b = [_tokens(s) for s in numbered_sentences(src)], [_tokens(s) for s in numbered_sentences(mt)]
-                    if not a or not b:
-                        continue
-                    sl = lexicon.language(sl, {w for ws in a for w in ws})
-                    ml = lexicon.language(ml, {w for ws in b for w in ws})
-                    if sl not in lexicon.number or ml not in lexicon.number:
-                        continue
-                    left, right = lexicon.vocabulary[sl], lexicon.vocabulary[ml]
-                    known = _alike({w for ws in a for w in ws}, {w for ws in b for w in ws})
-                    x = [np.array([left[w][0] for w in ws if w in left and w not in known], np.int64) for ws in a]
-                    y = [np.array([right[w][0] for w in ws if w in right and w not in known], np.int64) for ws in b]
-                    # both directions: a lexicon from en to de also learns from pairs that go from de to en
-                    for here, there, key in ((x, y, lexicon.pair(sl, ml)), (y, x, lexicon.pair(ml, sl))):
-                        out = by_pair.setdefault(key, [])
-                        for i, s in enumerate(here):
-                            low, high = _window(i, len(here), len(there))
-                            t = np.unique(np.concatenate(there[low:high])) if high > low else there[0][:0]
-                            # shifted by one, so that 0 stands for the marginals
-                            s1, t1 = np.r_[0, s + 1], np.r_[0, t + 1]
-                            out.append((s1[:, None] * size + t1[None]).ravel())
-                for key, parts in by_pair.items():
-                    counts.setdefault(key, _Counts()).add(np.concatenate(parts))
-                if sum(c.size for c in counts.values()) > 2 * HELD_CODES:
-                    for held in counts.values():
-                        held.merge()
-                    if sum(c.size for c in counts.values()) > HELD_CODES:
-                        yield from given()
+        for batch in batches:
+            for src, mt, sl, ml in zip(*(batch.column(c).to_pylist() for c in range(4))):
+                if not src or not mt:
+                    continue
+                a, b = [_tokens(s) for s in numbered_sentences(src)], [_tokens(s) for s in numbered_sentences(mt)]
+                if not a or not b:
+                    continue
+                sl = lexicon.language(sl, {w for ws in a for w in ws})
+                ml = lexicon.language(ml, {w for ws in b for w in ws})
+                if sl not in local or ml not in local:
+                    continue
+                left, right = local[sl], local[ml]
+                known = _alike({w for ws in a for w in ws}, {w for ws in b for w in ws})
+                x, own = _presence([np.array([left[w] for w in ws if w in left and w not in known], np.int64) for ws in a])
+                y, other = _presence([np.array([right[w] for w in ws if w in right and w not in known], np.int64) for ws in b])
+                if (sl, ml) not in counts and (2 + len(counts)) * len(ids[sl]) * len(ids[ml]) > 2 * DENSE_CELLS:
+                    yield from given()
+                # both directions: a lexicon from en to de also learns from pairs that go from de to en
+                for source, target, here, rows, there, columns in ((sl, ml, own, x, other, y), (ml, sl, other, y, own, x)):
+                    low, high = _windows(len(here), len(there))
+                    before = np.vstack([np.zeros((1, there.shape[1]), np.float32), np.cumsum(there, axis=0)])
+                    near = (before[high] > before[low]).astype(np.float32)
+                    near[:, 0] = 1
+                    if (source, target) not in counts:
+                        counts[source, target] = _Counts(len(ids[source]), len(ids[target]))
+                    counts[source, target].add(rows, columns, (here.T @ near).astype(np.int32))
+                if sum(c.size for c in counts.values()) > HELD_CODES:
+                    yield from given()
         yield from given()
 
-    found = pairs.mapInArrow(run, "pair int, s int, t int, n bigint")
+    ordered = pairs.sortWithinPartitions(F.least("la", "lb"), F.greatest("la", "lb"))
+    found = ordered.mapInArrow(run, "pair int, s int, t int, n bigint")
     return found.groupBy("pair", "s", "t").agg(F.sum("n").alias("n"))
 
 
@@ -528,23 +551,28 @@ def _joined(member: np.ndarray, best: np.ndarray, spans: list[tuple[int, ...]])
 def exclusive_assignment(weight: np.ndarray, units_a: list[tuple[int, ...]], units_b: list[tuple[int, ...]]) -> list[tuple[int, int]]:
     """``assignment`` of units of which none shares a sentence with another one chosen on its side.
 
-    Where the assignment takes a span and one of its sentences, what weighs less is ruled out and the rest assigned
-    anew; each round rules out a span or its sentences for good, so there are at most as many rounds as spans.
+    Where the assignment takes a span and some of its sentences, it is solved without the span and without its sentences,
+    and the better goes on. Each round rules out a span or its sentences for good, so there are at most as many rounds as
+    spans.
     """
-    weight = weight.copy()
+    chosen = assignment(weight)
     while True:
-        chosen = assignment(weight)
-        clash = False
+        clash = None
         for units, side in ((units_a, 0), (units_b, 1)):
-            gain = {pair[side]: float(weight[pair]) for pair in chosen}
-            for u in [k for k in gain if len(units[k]) > 1]:
-                single = [k for k in units[u] if k in gain]
-                if single:
-                    clash = True
-                    for k in [u] if gain[u] <= sum(gain[x] for x in single) else units[u]:
-                        weight[(k, slice(None)) if side == 0 else (slice(None), k)] = -1.0
-        if not clash:
+            taken = {pair[side] for pair in chosen}
+            clash = clash or next(((side, u, units[u]) for u in sorted(taken) if len(units[u]) > 1 and taken.intersection(units[u])), None)
+        if clash is None:
             return chosen
+        side, span, sentences = clash
+        best = None
+        for out in ([span], list(sentences)):
+            rest = weight.copy()
+            rest[(out, slice(None)) if side == 0 else (slice(None), out)] = -1.0
+            pairs = assignment(rest)
+            total = sum(float(rest[pair]) for pair in pairs)
+            if best is None or total > best[0]:
+                best = total, rest, pairs
+        _, weight, chosen = best
 
 
 def sentence_pairs(pairs: DataFrame, id_col: str = "pair_id", src: str = "src", mt: str = "mt", src_lang: str = "src_lang", mt_lang: str = "mt_lang", null: float = NULL_SCORE, foreign: float = FOREIGN, most_words: int = MOST_WORDS) -> DataFrame:

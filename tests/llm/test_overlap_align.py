@@ -198,3 +198,39 @@ def test_components(spark):
     got = graph.components(spark.createDataFrame(links, "a long, b long")).collect()
     assert {(r[0], r[1]) for r in got} == {(n, least[n]) for n in linked} and len(got) == len(linked)
     assert graph.components(spark.createDataFrame([], "a string, b string")).count() == 0
+
+
+def test_counts_do_not_depend_on_how_they_are_held(monkeypatch):
+    rng = np.random.default_rng(2)
+    blocks = [(np.sort(rng.choice(30, 6, replace=False)), np.sort(rng.choice(40, 9, replace=False)), rng.integers(0, 3, (6, 9)).astype(np.int32)) for _ in range(50)]
+    found = []
+    for cells in (2000, 0):
+        monkeypatch.setattr(align, "DENSE_CELLS", cells)
+        monkeypatch.setattr(align, "HELD_CODES", 100)
+        counts = align._Counts(30, 40)
+        for block in blocks:
+            counts.add(*block)
+        found.append([x.tolist() for x in counts.merge()])
+    assert found[0] == found[1] and sum(found[0][1]) == sum(int(c.sum()) for _, _, c in blocks)
+
+
+def test_windows_are_about_the_same_place():
+    low, high = align._windows(10, 30)
+    assert (low < high).all() and low[0] == 0 and high[-1] == 30 and (np.diff(low) >= 0).all()
+    assert all(lo <= (i + 0.5) * 3 <= hi for i, (lo, hi) in enumerate(zip(low, high)))
+
+
+def test_spans_compete_with_their_sentences():
+    units = [(0,), (1,), (2,), (0, 1)]
+    single = [(0,), (1,), (2,)]
+    weight = np.full((4, 3), -1.0)
+    weight[0, 0], weight[1, 1], weight[3, 0] = 0.4, 0.3, 0.5
+    assert align.exclusive_assignment(weight, units, single) == [(0, 0), (1, 1)]
+    weight[1, 1], weight[2, 2] = 0.05, 0.2
+    assert align.exclusive_assignment(weight, units, single) == [(2, 2), (3, 0)]
+    assert align.exclusive_assignment(weight.T, single, units) == [(0, 3), (2, 2)]
+    rng = np.random.default_rng(7)
+    for _ in range(30):
+        chosen = align.exclusive_assignment(rng.normal(size=(4, 3)), units, single)
+        taken = [i for u, _ in chosen for i in units[u]]
+        assert len(taken) == len(set(taken)) and len({j for _, j in chosen}) == len(chosen)
