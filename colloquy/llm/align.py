@@ -313,12 +313,9 @@ def strengths(counts: DataFrame) -> DataFrame:
     return kept.where((F.col("ratio") >= SIGNIFICANT) & (F.col("strength") >= LEAST_STRENGTH)).select("pair", "s", "t", "strength")
 
 
-def assignment(weight: np.ndarray) -> list[tuple[int, int]]:
-    """Maximum-weight assignment (Hungarian method with potentials); rows and columns may stay alone at weight 0.
-
-    Only pairs of positive weight are returned. The problem falls apart into the connected components of its positive
-    weights, which are solved one by one.
-    """
+def _groups(weight: np.ndarray, ties_a: list[tuple[int, int]] = (), ties_b: list[tuple[int, int]] = ()) -> list[tuple[list[int], list[int]]]:
+    """Rows and columns of the connected components of positive weights; rows of ``ties_a`` and columns of ``ties_b`` belong
+    together as well."""
     n, m = weight.shape
     rows, cols = np.nonzero(weight > 0)
     parent = list(range(n + m))
@@ -331,21 +328,32 @@ def assignment(weight: np.ndarray) -> list[tuple[int, int]]:
 
     for i, j in zip(rows.tolist(), cols.tolist()):
         parent[find(i)] = find(n + j)
+    for i, j in ties_a:
+        parent[find(i)] = find(j)
+    for i, j in ties_b:
+        parent[find(n + i)] = find(n + j)
     groups: dict[int, tuple[set[int], set[int]]] = {}
     for i, j in zip(rows.tolist(), cols.tolist()):
         g = groups.setdefault(find(i), (set(), set()))
         g[0].add(i)
         g[1].add(j)
+    return [(sorted(left), sorted(right)) for left, right in groups.values()]
+
+
+def assignment(weight: np.ndarray) -> list[tuple[int, int]]:
+    """Maximum-weight assignment (Hungarian method with potentials); rows and columns may stay alone at weight 0.
+
+    Only pairs of positive weight are returned. The problem falls apart into the connected components of its positive
+    weights, which are solved one by one.
+    """
     out = []
-    for left, right in groups.values():
-        r, c = sorted(left), sorted(right)
+    for r, c in _groups(weight):
+        block = weight[np.ix_(r, c)]
         if len(r) == 1 or len(c) == 1:
-            block = weight[np.ix_(r, c)]
             k = int(block.argmax())
             out.append((r[k // len(c)], c[k % len(c)]))
-            continue
-        for a, b in _hungarian(weight[np.ix_(r, c)]):
-            out.append((r[a], c[b]))
+        else:
+            out.extend((r[x], c[y]) for x, y in _hungarian(block))
     return sorted(out)
 
 
@@ -551,28 +559,42 @@ def _joined(member: np.ndarray, best: np.ndarray, spans: list[tuple[int, ...]])
 def exclusive_assignment(weight: np.ndarray, units_a: list[tuple[int, ...]], units_b: list[tuple[int, ...]]) -> list[tuple[int, int]]:
     """``assignment`` of units of which none shares a sentence with another one chosen on its side.
 
-    Where the assignment takes a span and some of its sentences, it is solved without the span and without its sentences,
-    and the better goes on. Each round rules out a span or its sentences for good, so there are at most as many rounds as
-    spans.
+    Where the assignment takes a span and some of its sentences, its component is solved without the span and without its
+    sentences, and the better goes on. Each round rules out a span or its sentences for good, so there are at most as many
+    rounds as spans.
     """
-    chosen = assignment(weight)
-    while True:
-        clash = None
-        for units, side in ((units_a, 0), (units_b, 1)):
-            taken = {pair[side] for pair in chosen}
-            clash = clash or next(((side, u, units[u]) for u in sorted(taken) if len(units[u]) > 1 and taken.intersection(units[u])), None)
-        if clash is None:
-            return chosen
-        side, span, sentences = clash
-        best = None
-        for out in ([span], list(sentences)):
-            rest = weight.copy()
-            rest[(out, slice(None)) if side == 0 else (slice(None), out)] = -1.0
-            pairs = assignment(rest)
-            total = sum(float(rest[pair]) for pair in pairs)
-            if best is None or total > best[0]:
-                best = total, rest, pairs
-        _, weight, chosen = best
+    ties = [[(k, i) for k, u in enumerate(units) if len(u) > 1 for i in u] for units in (units_a, units_b)]
+    if not any(ties):
+        return assignment(weight)
+    out = []
+    for rows, cols in _groups(weight, *ties):
+        block = weight[np.ix_(rows, cols)]
+        chosen = assignment(block)
+        while clash := _clash([(rows[x], cols[y]) for x, y in chosen], units_a, units_b):
+            side, span, sentences = clash
+            place = {k: n for n, k in enumerate(cols if side else rows)}
+            best = None
+            for gone in ([span], sentences):
+                rest = block.copy()
+                gone = [place[k] for k in gone if k in place]
+                rest[(slice(None), gone) if side else (gone, slice(None))] = -1.0
+                pairs = assignment(rest)
+                total = sum(float(rest[pair]) for pair in pairs)
+                if best is None or total > best[0]:
+                    best = total, rest, pairs
+            _, block, chosen = best
+        out.extend((rows[x], cols[y]) for x, y in chosen)
+    return sorted(out)
+
+
+def _clash(chosen: list[tuple[int, int]], units_a: list[tuple[int, ...]], units_b: list[tuple[int, ...]]) -> tuple[int, int, tuple[int, ...]] | None:
+    """Side, span and sentences of a chosen span of which a sentence is chosen too."""
+    for side, units in ((0, units_a), (1, units_b)):
+        taken = {pair[side] for pair in chosen}
+        for u in sorted(taken):
+            if len(units[u]) > 1 and taken.intersection(units[u]):
+                return side, u, units[u]
+    return None
 
 
 def sentence_pairs(pairs: DataFrame, id_col: str = "pair_id", src: str = "src", mt: str = "mt", src_lang: str = "src_lang", mt_lang: str = "mt_lang", null: float = NULL_SCORE, foreign: float = FOREIGN, most_words: int = MOST_WORDS) -> DataFrame:
