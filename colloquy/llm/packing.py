@@ -24,6 +24,8 @@ CAPACITY = 2048
 BLOCK_ROWS = 4000
 #: Nodes of one enumeration; the incumbent found by then is kept, so this bounds time and never drops a row.
 NODES = 2000
+#: Tasks the blocks are spread over, at most; beyond it a task packs several blocks one after another.
+MOST_TASKS = 10_000
 #: Fillings the branch and bound of a block tries; the incumbent found by then is kept.
 SEARCH, TAIL = 200, 24
 
@@ -229,4 +231,5 @@ def pack(sized: DataFrame, id_col: str = "doc_id", size_col: str = "n_tokens", c
         name = [f"b{b}-{n}" for b, n in zip(pdf["_block"], bins)]
         return pdf.drop(columns="_block").assign(container=name)
 
-    return rest.groupBy("_block").applyInPandas(run, f"`{id_col}` {kind}, part_no int, start long, size int, container string")
+    # blocks are small in bytes but dear in work, so they are spread by number
+    return rest.repartition(min(blocks, MOST_TASKS), "_block").groupBy("_block").applyInPandas(run, f"`{id_col}` {kind}, part_no int, start long, size int, container string")
