@@ -37,6 +37,22 @@ def test_index_and_search():
         assert {int(shard.codes[p]) // 3 for p in shard.passages[shard.held[m] : shard.held[m + 1]]} == {m, (m - 1) % 12}
 
 
+def test_shards_of_neighbouring_rows_hold_each_message_once(spark, tmp_path):
+    # windows of dialogues, of which each message stands in up to three
+    def text(d, k):
+        return " ".join(f"w{chr(97 + d)}{chr(97 + k)}{chr(97 + i)}" for i in range(20))
+
+    rows = [(10 * d + k, sample(*[text(d, k + j) for j in range(3)])) for d in range(8) for k in range(6)]
+    df = spark.createDataFrame(rows, "sample_id long, messages string").coalesce(1)
+    chars = sum(len(m) for _, m in rows) // 4
+    overlap.evaluation_messages(df, "sample_id", "messages", chars // overlap.CHUNKS).write.parquet(f"file://{tmp_path}/messages")
+    messages = spark.read.parquet(f"file://{tmp_path}/messages")
+    index = [overlap._read(f) for f in overlap.build_index(messages, f"file://{tmp_path}/index", overlap.shards_of(messages, chars))]
+    assert len(index) >= 4 and sum(len(s.codes) for s in index) == len(rows)
+    # a message stands in two shards at most, where a dialogue is cut, and not in every shard that its windows fall into
+    assert sum(len(s.words) for s in index) <= 20 * (8 * 8 + 2 * (len(index) - 1))
+
+
 def test_common_words():
     rng = random.Random(0)
     for _ in range(30):
