@@ -4,8 +4,8 @@ A linear-chain conditional random field labels words. Emission features are affi
 lexicon; transitions (inside a sentence and across a sentence boundary) are learned with them. Words of code-switched
 text are labelled by forward-backward, so every stretch comes with a posterior probability as its confidence.
 
-The field is fitted on a sample of labelled rows whose bound is a parameter; wrong labels in it are outvoted by
-refitting on the field's own sentence labels. All statistics of the result cover every row.
+The field is fitted on all rows (``fitting``); wrong labels are outvoted by the words of the whole corpus, then by the
+field's own sentence labels. All statistics of the result cover every row.
 """
 
 from __future__ import annotations
@@ -24,8 +24,6 @@ from colloquy.llm import _text
 from colloquy.session import small
 
 LANGS = ("en", "de", "fr", "ar")
-#: Labelled rows the field is fitted on, at most.
-FIT_ROWS = 1600
 #: A sentence counts for a language from so many words on, if its words' mean posterior reaches this share.
 SENTENCE_WORDS = 5
 SENTENCE_SHARE = 0.6
@@ -379,27 +377,21 @@ def worker_tagger(key: str, shared) -> Tagger:
     return _WORKER[key]
 
 
-def fit_rows(samples: DataFrame, alias: DataFrame, glossary: DataFrame | None = None, id_col: str = "sample_id", text_col: str = "messages", label_col: str = "lang", rows: int = FIT_ROWS) -> tuple[list[tuple[list[str], str | None]], dict[str, str]]:
-    """At most ``rows`` rows as ``(messages, stated language)``, those with the smallest hash of their id, and the
-    words of the glossary by language (``?`` where languages share one). The bound holds at every size of the input."""
-    spelling = {r["alias"]: r["lang"] for r in small(alias.select("alias", "lang"))}
+def glossary_words(glossary: DataFrame | None) -> dict[str, str]:
+    """The words of the glossary by language (``?`` where languages share one)."""
     words: dict[str, str] = {}
-    if glossary is not None:
-        for r in small(glossary):
-            for lang in LANGS:
-                for w in _text.words((r.asDict().get(f"{lang}_term") or "").lower()):
-                    words[w] = lang if words.get(w, lang) == lang else "?"
-    hashed = F.xxhash64(id_col)
-    total = max(1, samples.count())
-    share = min(1.0, 1.3 * rows / total + 30 / total)
-    part = samples.where(F.pmod(hashed, F.lit(1 << 30)) < F.lit(int(share * (1 << 30)))).where(F.col(text_col).isNotNull())
-    got = part.select(F.col(label_col).alias("_l"), F.col(text_col).cast("string").alias("_m"), hashed.alias("_h")).orderBy("_h").limit(rows).collect()
-    return [([t for role, t in (_text.turns_of(r["_m"]) or ()) if role != "system" and t], spelling.get((r["_l"] or "").strip().lower())) for r in got], words
+    for r in small(glossary) if glossary is not None else ():
+        for lang in LANGS:
+            for w in _text.words((r.asDict().get(f"{lang}_term") or "").lower()):
+                words[w] = lang if words.get(w, lang) == lang else "?"
+    return words
 
 
-def fit_field(samples: DataFrame, alias: DataFrame, glossary: DataFrame | None = None, id_col: str = "sample_id", text_col: str = "messages", label_col: str = "lang", rows: int = FIT_ROWS) -> Field:
-    """The field fitted on the bounded sample of ``fit_rows``."""
-    return fit(*fit_rows(samples, alias, glossary, id_col, text_col, label_col, rows))
+def fit_field(samples: DataFrame, alias: DataFrame, glossary: DataFrame | None = None, text_col: str = "messages", label_col: str = "lang") -> Field:
+    """The field fitted on all rows."""
+    from colloquy.llm import fitting
+
+    return fitting.fit_corpus(samples, alias, glossary, text_col, label_col, endings=False)[0]
 
 
 def document_languages(samples: DataFrame, field: Field, id_col: str = "sample_id", text_col: str = "messages", keep: tuple[str, ...] = (), json: bool = True) -> DataFrame:
@@ -474,7 +466,7 @@ def language_stretches(samples: DataFrame, field: Field, id_col: str = "sample_i
 def unstated_languages(samples: DataFrame, alias: DataFrame, glossary: DataFrame | None = None, id_col: str = "sample_id", text_col: str = "messages", label_col: str = "lang", field: Field | None = None) -> DataFrame:
     """``(id_col, lang)`` for each language with a whole sentence that the row's label does not state. The alias
     dimension has a fixed size and is joined as such."""
-    field = field or fit_field(samples, alias, glossary, id_col, text_col, label_col)
+    field = field or fit_field(samples, alias, glossary, text_col, label_col)
     tagged = document_languages(samples.withColumn("_label", F.lower(F.trim(F.col(label_col)))), field, id_col, text_col, keep=("_label",))
     names = alias.select(F.col("alias").alias("_label"), F.col("lang").alias("_stated")).dropDuplicates(["_label"])
     rows = tagged.select(id_col, "_label", F.explode("languages.lang").alias("lang")).join(names, "_label", "left")

@@ -77,7 +77,7 @@ def _last_stop(text: str) -> int:
 class Endings:
     """How often the words before a place stand at a sentence's end. Contexts reach from the last word to the last four
     and to the clause's first words with the last ones; numbers and words found in few rows form classes. The
-    estimate interpolates from short to long contexts. Fitted on the bounded sample of the language field."""
+    estimate interpolates from short to long contexts. Of a whole corpus they are counted by ``fitting``."""
 
     def __init__(self, rows: list[list[str]]):
         by_row = [[_fold_tokens(_text.plain(t)) for t in texts] for texts in rows]
@@ -86,16 +86,17 @@ class Endings:
         self.known = {w for w, n in freq.items() if n >= 3}
         self.counts: dict[tuple, list[int]] = {}
         for tokens in (s for seqs in by_row for s in seqs):
-            clause: list[str] = []
-            for i, word in enumerate(tokens[:-1]):
-                if word in _STOPS:
-                    clause = []
-                    continue
-                clause.append(word if word in self.known else "?")
-                end = tokens[i + 1] in _ENDS
+            for clause, end in clauses(tokens, self.known):
                 for context in self._contexts(clause):
                     self.counts.setdefault(context, [0, 0])[end] += 1
 
+    @classmethod
+    def of(cls, known: set[str], counts: dict[tuple, list[int]]) -> Endings:
+        """Endings of counts made elsewhere; contexts that nothing asks for may be left out."""
+        out = cls([])
+        out.known, out.counts = known, counts
+        return out
+
     @staticmethod
     def _contexts(clause: list[str]) -> list[tuple]:
         """Short contexts first; the letter tells the kind."""
@@ -111,12 +112,7 @@ class Endings:
 
     def probability(self, text: str) -> float:
         """Probability that the last word of ``text`` ends a sentence."""
-        clause: list[str] = []
-        for word in _fold_tokens(text[_last_stop(text) :]):
-            if word in _STOPS:
-                clause = []
-            else:
-                clause.append(word if word in self.known else "?")
+        clause = [w if w in self.known else "?" for w in last_clause(text)]
         if not clause:
             return 0.0
         p, mids, ends = 0.1, 0, 0
@@ -129,8 +125,32 @@ class Endings:
         return (ends + p) / (mids + ends + 1)
 
 
-def unfinished(text: str, endings: Endings) -> bool:
-    """Whether a response breaks off before its sentence or list is complete. ``text`` is plain (see ``_text.plain``)."""
+def clauses(tokens: list[str], known: set[str], last: set[str] | None = None) -> Iterator[tuple[list[str], bool]]:
+    """The clause up to each word but a text's last token, and whether a sentence ends there. With ``last`` only of words
+    in it. The list goes on to grow; it is read before the next one is taken."""
+    clause: list[str] = []
+    for word, after in zip(tokens, tokens[1:]):
+        if word in _STOPS:
+            clause = []
+            continue
+        clause.append(word if word in known else "?")
+        if last is None or clause[-1] in last:
+            yield clause, after in _ENDS
+
+
+def last_clause(text: str) -> list[str]:
+    """Folded words of the last clause of a text."""
+    clause: list[str] = []
+    for word in _fold_tokens(text[_last_stop(text) :]):
+        if word in _STOPS:
+            clause = []
+        else:
+            clause.append(word)
+    return clause
+
+
+def open_end(text: str) -> str | bool:
+    """Whether a text is unfinished where its marks tell; else the text without marks, whose last words have to tell."""
     t = text.rstrip()
     if _LIST_TAIL.search(t):
         return True
@@ -139,7 +159,13 @@ def unfinished(text: str, endings: Endings) -> bool:
         core = core.rstrip(".…").rstrip()
     if not core or core[-1] in _ENDS:
         return False
-    return endings.probability(core) < END_PROBABILITY
+    return core
+
+
+def unfinished(text: str, endings: Endings) -> bool:
+    """Whether a response breaks off before its sentence or list is complete. ``text`` is plain (see ``_text.plain``)."""
+    core = open_end(text)
+    return core if isinstance(core, bool) else endings.probability(core) < END_PROBABILITY
 
 
 def copies(response: list[str], prompt: list[str]) -> bool:
@@ -351,18 +377,16 @@ def refusals(checked: DataFrame, clusters: DataFrame, id_col: str = "sample_id")
     return inside.unionByName(opened).distinct()
 
 
-def fit_models(samples: DataFrame, alias: DataFrame, glossary: DataFrame | None = None, id_col: str = "sample_id", text_col: str = "messages", label_col: str = "lang", rows: int = language.FIT_ROWS) -> tuple[language.Field, Endings]:
-    """Language field and endings, both from one bounded sample."""
-    data, words = language.fit_rows(samples, alias, glossary, id_col, text_col, label_col, rows)
-    return language.fit(data, words), Endings([ts for ts, _ in data])
-
-
 def pair_defects(samples: DataFrame, alias: DataFrame, glossary: DataFrame | None = None, id_col: str = "sample_id", text_col: str = "messages", models=None, keep=None) -> DataFrame:
     """``(id_col, defect)``: empty, truncated, refusal, copy, other_language; one row for each defect of a row.
 
     ``keep`` materialises the row checks and the clusters (a callable), so they run once; without it they may run again.
     """
-    field, endings = models or fit_models(samples, alias, glossary, id_col, text_col)
+    if models is None:
+        from colloquy.llm import fitting
+
+        models = fitting.fit_corpus(samples, alias, glossary, text_col)
+    field, endings = models
     checked = row_checks(samples, field, endings, id_col, text_col)
     checked = keep(checked) if keep else checked
     direct = checked.select(id_col, F.explode("defects").alias("defect"))

@@ -7,7 +7,7 @@ import random
 import numpy as np
 import pytest
 
-from colloquy.llm import _text, language, minhash, pairing
+from colloquy.llm import _text, fitting, language, minhash, pairing
 
 SENTENCES = {
     "en": ["I could not sleep last night because of the noise.", "My brother thinks that this is the best way to go.", "What would you like to talk about with her today?", "We went to the market and then we came back home."],
@@ -107,6 +107,21 @@ def test_defects(spark, fitted):
     assert pairing.pair_defects(df.limit(0), None, models=fitted).count() == 0
 
 
+def test_models_come_from_every_row(spark):
+    # the words before an end stand once in each row, so any row left out shows in the counts
+    def row(i):
+        turns = [("user", SENTENCES["de"][i % 4]), ("assistant", f"{SENTENCES['de'][(i + 1) % 4]} Das ist gut so für heute{'.' if i % 3 else ''}")]
+        return i, "de", json.dumps([{"role": r, "content": t} for r, t in turns])
+
+    others = [(10_000 * n + i, k, json.dumps([{"role": "user", "content": s} for s in SENTENCES[k]])) for n, k in enumerate(("en", "fr", "ar"), 1) for i in range(2000)]
+    df = spark.createDataFrame([row(i) for i in range(4000)] + others, "sample_id long, lang string, messages string").repartition(3)
+    alias = spark.createDataFrame([(k, k) for k in SENTENCES], "alias string, lang string")
+    field, endings = fitting.fit_corpus(df, alias)
+    assert endings.counts["2", "fur", "heute"] == [0, sum(i % 3 > 0 for i in range(4000))]
+    memo = language.Tagger(field).tag([s for ss in SENTENCES.values() for s in ss])
+    assert all(language.LANGS[int(memo[s][0].argmax())] == k for k, ss in SENTENCES.items() for s in ss)
+
+
 def test_copies():
     prompt = "ich habe den zug nach bern verpasst und im park geweint danach ging ich ohne mantel nach hause".split()
     assert pairing.copies(prompt + ["ja"], prompt)
