@@ -14,6 +14,8 @@ import re
 import unicodedata
 import uuid
 from collections.abc import Iterator
+from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -34,6 +36,7 @@ BLOCK = 60_000
 _ARABIC = re.compile("[\u0600-\u06ff]")
 
 
+@lru_cache(1 << 18)
 def _hash(text: str) -> int:
     h = 2166136261
     for b in text.encode("utf-8", "surrogatepass"):
@@ -87,48 +90,52 @@ def forward_backward(field: Field, scores: np.ndarray, border: np.ndarray, lengt
     With ``pairs`` also the expected transition counts (inner, border) and the log partition of each row.
     """
     rows, steps, width = scores.shape
-    top = scores.max(axis=2)
-    e = np.exp(scores - top[:, :, None])
+    # places first, rows last: the operations of a place run along its rows
+    scores, edges = np.ascontiguousarray(scores.transpose(1, 2, 0)), np.ascontiguousarray(border.T)
+    top = scores.max(axis=1)
+    e = np.exp(scores - top[:, None])
     inner, across, first = np.exp(field.inner).astype(e.dtype), np.exp(field.border).astype(e.dtype), np.exp(field.start).astype(e.dtype)
+    onward, back = np.vstack([across.T, inner.T]), np.vstack([across, inner])
     alpha = np.empty_like(e)
-    scale = np.empty((rows, steps), e.dtype)
-    a = first * e[:, 0]
+    scale = np.empty((steps, rows), e.dtype)
+    a = first[:, None] * e[0]
     for t in range(steps):
         if t:
-            a = np.where(border[:, t, None], a @ across, a @ inner) * e[:, t]
-        z = a.sum(axis=1, keepdims=True)
+            both = onward @ a
+            a = np.where(edges[t], both[:width], both[width:]) * e[t]
+        z = a.sum(axis=0)
         a = a / z
-        alpha[:, t], scale[:, t] = a, z[:, 0]
-    beta = np.ones((rows, width), e.dtype)
+        alpha[t], scale[t] = a, z
+    beta = np.ones((width, rows), e.dtype)
     post = np.empty_like(e)
     counts = [np.zeros((width, width)), np.zeros((width, width))] if pairs else None
     for t in range(steps - 1, -1, -1):
-        live = t < lengths
         if t < steps - 1:
             inside = t + 1 < lengths
-            step = e[:, t + 1] * beta
-            moved = np.where(border[:, t + 1, None], step @ across.T, step @ inner.T)
-            moved = moved / moved.sum(axis=1, keepdims=True) * width
+            step = e[t + 1] * beta
+            both = back @ step
+            moved = np.where(edges[t + 1], both[:width], both[width:])
             if pairs:
-                for which, matrix in ((0, inner), (1, across)):
-                    pick = inside & (border[:, t + 1] == bool(which))
-                    if pick.any():
-                        joint = alpha[pick, t][:, :, None] * matrix[None] * step[pick][:, None, :]
-                        counts[which] += (joint / joint.sum(axis=(1, 2), keepdims=True)).sum(axis=0)
-            beta = np.where(inside[:, None], moved, 1.0).astype(e.dtype)
-        p = alpha[:, t] * beta
-        post[:, t] = np.where(live[:, None], p / p.sum(axis=1, keepdims=True), 0)
+                share = alpha[t] * (inside / (alpha[t] * moved).sum(axis=0)).astype(e.dtype)
+                apart = share * edges[t + 1]
+                counts[0] += ((share - apart) @ step.T) * inner
+                counts[1] += (apart @ step.T) * across
+            beta = np.where(inside, moved / moved.sum(axis=0) * width, 1.0).astype(e.dtype)
+        p = alpha[t] * beta
+        post[t] = p * ((t < lengths) / p.sum(axis=0)).astype(e.dtype)
+    post = np.ascontiguousarray(post.transpose(2, 0, 1))
     if not pairs:
         return post
-    mask = np.arange(steps)[None] < lengths[:, None]
-    return post, counts, ((np.log(scale) + top) * mask).sum(axis=1)
+    mask = np.arange(steps)[:, None] < lengths
+    return post, counts, ((np.log(scale) + top) * mask).sum(axis=0)
 
 
 def _padded(sequences: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
     lengths = np.fromiter(map(len, sequences), np.int64, len(sequences))
     out = np.zeros((len(sequences), max(1, int(lengths.max(initial=0)))), np.int64)
     mask = np.arange(out.shape[1])[None] < lengths[:, None]
-    out[mask] = np.fromiter((w for s in sequences for w in s), np.int64)
+    if lengths.any():
+        out[mask] = np.concatenate(sequences)
     return out, lengths
 
 
@@ -206,8 +213,9 @@ def fit(rows: list[tuple[list[str], str | None]], glossary: dict[str, str] | Non
     state = None
     for turn, epochs in enumerate(passes):
         if turn:
+            table = _word_scores(field, owner, feat, len(words))
             for p in packed:
-                p[3] = _relabel(field, owner, feat, len(words), p)
+                p[3] = _relabel(field, table, p)
         for _ in range(epochs):
             state = _step(field, packed, owner, feat, len(words), total, state)
     return field
@@ -217,10 +225,10 @@ def _word_scores(field: Field, owner: np.ndarray, feat: np.ndarray, n: int) -> n
     return np.stack([np.bincount(owner, field.weights[feat, k], n) for k in range(len(LANGS))], axis=1).astype(np.float32)
 
 
-def _step(field: Field, packed: list, owner, feat, n_words: int, total: int, state):
-    """One full-batch Adam step on the conditional log-likelihood of the labelled positions."""
+def _step(field: Field, packed: list, owner, feat, n_words: int, total: int, state, table: np.ndarray | None = None):
+    """One full-batch Adam step on the conditional log-likelihood of the labelled positions. ``table``: the words' scores."""
     width = len(LANGS)
-    table = _word_scores(field, owner, feat, n_words)
+    table = _word_scores(field, owner, feat, n_words) if table is None else table
     by_word = np.zeros((n_words, width))
     inner, border, start = np.zeros((width, width)), np.zeros((width, width)), np.zeros(width)
     for ids, edges, lengths, gold in packed:
@@ -230,16 +238,17 @@ def _step(field: Field, packed: list, owner, feat, n_words: int, total: int, sta
         ids, edges, lengths, gold = ids[pick], edges[pick], lengths[pick], gold[pick]
         post, counts, _ = forward_backward(field, table[ids], edges, lengths, pairs=True)
         live = np.arange(ids.shape[1])[None] < lengths[:, None]
-        truth = np.eye(width)[np.maximum(gold, 0)] * live[:, :, None]
-        diff = truth - post
+        flat, truth = ids[live], np.maximum(gold[live], 0)
+        diff = -post[live]
+        diff[np.arange(len(flat)), truth] += 1
         for k in range(width):
-            by_word[:, k] += np.bincount(ids.ravel(), diff[:, :, k].ravel(), n_words)
-        start += diff[:, 0].sum(axis=0)
-        both = live[:, 1:]
+            by_word[:, k] += np.bincount(flat, diff[:, k], n_words)
+        head = np.zeros(len(flat), bool)
+        head[np.cumsum(lengths) - lengths] = True
+        start += diff[head].sum(axis=0)
+        moves, across = truth[:-1] * width + truth[1:], edges[live][1:]
         for which, out in ((False, inner), (True, border)):
-            sel = both & (edges[:, 1:] == which)
-            np.add.at(out, (gold[:, :-1][sel], gold[:, 1:][sel]), 1.0)
-            out -= counts[int(which)]
+            out += np.bincount(moves[~head[1:] & (across == which)], minlength=width * width).reshape(width, width) - counts[int(which)]
     grad = np.stack([np.bincount(feat, by_word[owner, k], BUCKETS) for k in range(width)], axis=1)
     grads = [grad / total - 1e-6 * field.weights, start / total, inner / total, border / total]
     state = state or (0, [np.zeros_like(g) for g in grads], [np.zeros_like(g) for g in grads])
@@ -252,10 +261,10 @@ def _step(field: Field, packed: list, owner, feat, n_words: int, total: int, sta
     return t, state[1], state[2]
 
 
-def _relabel(field: Field, owner, feat, n_words: int, packed: list) -> np.ndarray:
-    """Labels of the field itself, one for all words of a sentence, by its mean posterior."""
+def _relabel(field: Field, table: np.ndarray, packed: list) -> np.ndarray:
+    """Labels of the field itself, one for all words of a sentence, by its mean posterior; ``table``: the words' scores."""
     ids, edges, lengths, _ = packed
-    post = forward_backward(field, _word_scores(field, owner, feat, n_words)[ids], edges, lengths)
+    post = forward_backward(field, table[ids], edges, lengths)
     live = np.arange(ids.shape[1])[None] < lengths[:, None]
     first = edges.copy()
     first[:, 0] = True
@@ -295,25 +304,30 @@ class Tagger:
         return self.memo
 
     def _tag(self, texts: list[str]) -> None:
-        spans, word_lists = [], []
+        spans, held = [], []
+        parts: dict[str, list[str]] = {}
         for text in texts:
             flat = _text.plain(text)
             own, ws = [], []
             for a, b in _text.sentences(flat):
-                piece = _text.words(flat[a:b])
+                sentence = flat[a:b]
+                piece = parts.get(sentence)
+                if piece is None:
+                    piece = parts[sentence] = _text.words(sentence)
                 if piece:
                     own.append((a, b, len(piece)))
-                    ws.append(piece)
+                    ws.append(sentence)
             spans.append(own)
-            word_lists.append(ws)
-        every = {w for ws in word_lists for piece in ws for w in piece}
+            held.append(ws)
+        every = set(chain.from_iterable(parts.values()))
         if len(self.ids) + len(every) > 600_000:
             self.ids.clear()
         new = [w for w in every if w not in self.ids]
         if new:
             self._score(new)
-        get = self.ids.__getitem__
-        sequences = [[get(w) for piece in ws for w in piece] for ws in word_lists]
+        get, none = self.ids.__getitem__, np.zeros(0, np.int64)
+        coded = {s: np.fromiter(map(get, ws), np.int64, len(ws)) for s, ws in parts.items()}
+        sequences = [np.concatenate([coded[s] for s in ws]) if ws else none for ws in held]
         order = sorted(range(len(texts)), key=lambda i: len(sequences[i]))
         width = len(LANGS)
         for group in _blocks(order, list(map(len, sequences))):

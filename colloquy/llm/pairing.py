@@ -52,15 +52,20 @@ TOPICAL_LETTERS = 4
 #: Prompts a task keeps per language to compare openings with.
 KEPT_PROMPTS = 8
 
-_TOKEN = re.compile(r"\d+(?:[:.,]\d+)*|[^\W_]+|[,،;؛:.!?؟…]")
+_TOKEN = re.compile(r"[^\W\d_][^\W_]*|\d+(?:[:.,]\d+)*|[,،;؛:.!?؟…]")
 _ENDS = frozenset(".!?؟")
 _STOPS = _ENDS | frozenset(",،;؛…")
 _LIST_TAIL = re.compile(r"(?:^|\n)\s*(?:\d{1,3}[.)]|[-*•])\s*$")
 _DECOR = re.compile(r"[^\w.!?؟…]+$")
 
 
+def raw_tokens(text: str) -> list[str]:
+    """Folded words, numbers and stops."""
+    return _TOKEN.findall(_text.fold(text))
+
+
 def _fold_tokens(text: str) -> list[str]:
-    return ["#" if t[0].isdigit() else t for t in _TOKEN.findall(_text.fold(text))]
+    return ["#" if t[0].isdigit() else t for t in raw_tokens(text)]
 
 
 def _last_stop(text: str) -> int:
@@ -125,17 +130,16 @@ class Endings:
         return (ends + p) / (mids + ends + 1)
 
 
-def clauses(tokens: list[str], known: set[str], last: set[str] | None = None) -> Iterator[tuple[list[str], bool]]:
-    """The clause up to each word but a text's last token, and whether a sentence ends there. With ``last`` only of words
-    in it. The list goes on to grow; it is read before the next one is taken."""
+def clauses(tokens: list[str], known: set[str]) -> Iterator[tuple[list[str], bool]]:
+    """The clause up to each word but a text's last token, and whether a sentence ends there. The list goes on to grow; it
+    is read before the next one is taken."""
     clause: list[str] = []
     for word, after in zip(tokens, tokens[1:]):
         if word in _STOPS:
             clause = []
             continue
         clause.append(word if word in known else "?")
-        if last is None or clause[-1] in last:
-            yield clause, after in _ENDS
+        yield clause, after in _ENDS
 
 
 def last_clause(text: str) -> list[str]:

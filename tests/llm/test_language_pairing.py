@@ -122,6 +122,49 @@ def test_models_come_from_every_row(spark):
     assert all(language.LANGS[int(memo[s][0].argmax())] == k for k, ss in SENTENCES.items() for s in ss)
 
 
+def test_fit_reads_its_rows_once(spark):
+    rows = [(k, json.dumps([{"role": "user", "content": s} for s in ss])) for k, ss in SENTENCES.items() for _ in range(50)]
+    read = spark.sparkContext.accumulator(0)
+
+    def passed(batches):
+        for batch in batches:
+            read.add(batch.num_rows)
+            yield batch
+
+    df = spark.createDataFrame(rows, "lang string, messages string").mapInArrow(passed, "lang string, messages string")
+    fitting.fit_corpus(df, spark.createDataFrame([(k, k) for k in SENTENCES], "alias string, lang string"))
+    assert read.value == len(rows)
+
+
+def test_batches_are_counted_whole(monkeypatch):
+    monkeypatch.setattr(fitting, "PLACES", 7)
+    rng = random.Random(5)
+    texts = ["", "\n", "...", *("".join(rng.choice(["Ja", "ja", "nein", "so", "3.5", " ", " ", ".", ". ", "!\n", "\n", ", "]) for _ in range(12)) for _ in range(60))]
+    rows = [(rng.choices(texts, k=rng.randrange(4)), rng.randrange(-1, 4)) for _ in range(80)]
+    spans = {t: [t[a:b] for a, b in _text.sentences(t)] for t in texts}
+    sentences = list(dict.fromkeys(s for ss in spans.values() for s in ss))
+    messages = np.array([sentences.index(s) for t in texts for s in spans[t]]), np.array([len(spans[t]) for t in texts])
+    held = np.array([texts.index(t) for ts, _ in rows for t in ts]), np.array([len(ts) for ts, _ in rows])
+    counts = fitting._Counts(fitting._one_token)
+    names, flat, size = counts.add([pairing.raw_tokens(s) for s in sentences], messages, held, np.array([k for _, k in rows]))
+    tokens = [[w for t in ts for w in pairing._fold_tokens(t)] for ts, _ in rows]
+    for w, n in counts.ids.words.items():
+        assert counts.rows[n] == sum(w in ws for ws in tokens)
+        assert counts.by_label[n].tolist() == [sum(ws.count(w) for ws, (_, k) in zip(tokens, rows) if k == label) for label in range(4)]
+    known = {"ja", "nein", "#"}
+    endings = pairing.Endings([])
+    for ts, _ in rows:
+        for t in ts:
+            for clause, end in pairing.clauses(pairing._fold_tokens(t), known):
+                for context in endings._contexts(clause):
+                    endings.counts.setdefault(context, [0, 0])[end] += 1
+    asked = rng.sample(list(endings.counts), len(endings.counts) // 2)
+    flat, many = fitting._flat(flat, size, messages[0])
+    got = fitting._Asked(asked, known).count(names, flat, fitting._sums(many, messages[1]), np.bincount(held[0], minlength=len(texts)))
+    assert dict(zip(asked, got.tolist())) == {c: endings.counts[c] for c in asked}
+    assert fitting._Asked([], known).count(names, flat, fitting._sums(many, messages[1]), np.ones(len(texts))).shape == (0, 2)
+
+
 def test_copies():
     prompt = "ich habe den zug nach bern verpasst und im park geweint danach ging ich ohne mantel nach hause".split()
     assert pairing.copies(prompt + ["ja"], prompt)
