@@ -291,62 +291,65 @@ class Tagger:
         self.table[base : base + len(new)] = self.field.emissions(new)
         self.ids.update((w, base + i) for i, w in enumerate(new))
 
-    def tag(self, texts: list[str]) -> dict[str, tuple]:
+    def tag(self, texts: list[str], sentences: bool = True) -> dict[str, tuple]:
         """For each distinct text ``(words per language, confidence per language, sentences)`` where sentences are
-        ``(start, end, n_words, posteriors)`` with offsets in the plain text. Results of earlier calls are reused."""
+        ``(start, end, n_words, posteriors)`` with offsets in the plain text. Results of earlier calls are reused, so a
+        tagger's calls agree on whether they ask for ``sentences``."""
         fresh = [t for t in dict.fromkeys(texts) if t not in self.memo]
         if fresh:
             if len(self.memo) > 15_000:
                 self.memo.clear()
                 fresh = list(dict.fromkeys(texts))
             for at in range(0, len(fresh), 4000):
-                self._tag(fresh[at : at + 4000])
+                self._tag(fresh[at : at + 4000], sentences)
         return self.memo
 
-    def _tag(self, texts: list[str]) -> None:
+    def _tag(self, texts: list[str], sentences: bool) -> None:
         spans, held = [], []
-        parts: dict[str, list[str]] = {}
+        numbers: dict[str, int] = {}
+        parts: list[list[str]] = []
         for text in texts:
             flat = _text.plain(text)
-            own, ws = [], []
+            own = []
             for a, b in _text.sentences(flat):
-                sentence = flat[a:b]
-                piece = parts.get(sentence)
-                if piece is None:
-                    piece = parts[sentence] = _text.words(sentence)
-                if piece:
-                    own.append((a, b, len(piece)))
-                    ws.append(sentence)
+                n = numbers.setdefault(flat[a:b], len(parts))
+                if n == len(parts):
+                    parts.append(_text.words(flat[a:b]))
+                if parts[n]:
+                    own.append((a, b, len(parts[n])))
+                    held.append(n)
             spans.append(own)
-            held.append(ws)
-        every = set(chain.from_iterable(parts.values()))
+        every = set(chain.from_iterable(parts))
         if len(self.ids) + len(every) > 600_000:
             self.ids.clear()
         new = [w for w in every if w not in self.ids]
         if new:
             self._score(new)
-        get, none = self.ids.__getitem__, np.zeros(0, np.int64)
-        coded = {s: np.fromiter(map(get, ws), np.int64, len(ws)) for s, ws in parts.items()}
-        sequences = [np.concatenate([coded[s] for s in ws]) if ws else none for ws in held]
-        order = sorted(range(len(texts)), key=lambda i: len(sequences[i]))
         width = len(LANGS)
-        for group in _blocks(order, list(map(len, sequences))):
-            ids, lengths = _padded([sequences[i] for i in group])
-            border = np.zeros(ids.shape, bool)
-            counts = np.fromiter((n for i in group for _, _, n in spans[i]), np.int64)
-            owner = np.repeat(np.arange(len(group)), [len(spans[i]) for i in group])
-            ends = np.cumsum(counts)
-            starts = ends - counts
-            row_start = np.repeat(np.cumsum(lengths) - lengths, [len(spans[i]) for i in group])
-            border[owner, starts - row_start] = True
+        size = np.fromiter(map(len, parts), np.int64, len(parts))
+        words, many = _text.listed(np.fromiter(map(self.ids.__getitem__, chain.from_iterable(parts)), np.int64, int(size.sum())), size, np.array(held, np.int64))
+        head = np.zeros(len(words), bool)
+        head[np.cumsum(many) - many] = True
+        length = np.fromiter((sum(n for _, _, n in own) for own in spans), np.int64, len(spans))
+        begin = np.cumsum(length) - length
+        for group in _blocks(np.argsort(length, kind="stable").tolist(), length.tolist()):
+            lengths = length[group]
+            place = np.arange(max(1, lengths.max()))
+            live = place < lengths[:, None]
+            at = np.where(live, begin[group][:, None] + place, 0)
+            ids, border = (words[at], head[at] & live) if len(words) else (at, live)
             post = forward_backward(self.field, self.table[ids], border, lengths)
-            live = np.arange(ids.shape[1])[None] < lengths[:, None]
             flat = post[live]
             best = flat.argmax(axis=1)
             row = np.repeat(np.arange(len(group)), lengths)
             n_words = np.bincount(row * width + best, minlength=len(group) * width).reshape(-1, width)
             mass = np.bincount(row * width + best, flat.max(axis=1), len(group) * width).reshape(-1, width)
             conf = mass / np.maximum(n_words, 1)
+            if not sentences:
+                self.memo.update((texts[i], (n_words[j], conf[j], ())) for j, i in enumerate(group))
+                continue
+            counts = np.fromiter((n for i in group for _, _, n in spans[i]), np.int64)
+            starts = np.cumsum(counts) - counts
             sums = np.add.reduceat(flat, starts, axis=0) / counts[:, None] if len(starts) else np.zeros((0, width))
             k = 0
             for j, i in enumerate(group):

@@ -197,16 +197,31 @@ def copies(response: list[str], prompt: list[str]) -> bool:
     return overlap.common_words(a, b) >= COPY_ORDER * len(response)
 
 
-def opening(folded: str) -> list[str]:
-    """The words of a folded response's first sentence, of its first two where that has under five; numbers as ``#``."""
+def opening(text: str) -> list[str]:
+    """The folded words of a plain text's first sentence, of its first two where that has under five; numbers as ``#``."""
     words: list[str] = []
-    for a, b in _text.sentences(folded):
-        words += ["#" if w.isdigit() else w for w in _text.words(folded[a:b])]
-        if len(words) >= minhash.SHINGLE:
-            break
+    for a, b in _text.each_sentence(text):
+        # marks that folding takes away may have hidden an end
+        folded = _text.fold(text[a:b])
+        for c, d in _text.each_sentence(folded):
+            words += ["#" if w.isdigit() else w for w in _text.words(folded[c:d])]
+            if len(words) >= minhash.SHINGLE:
+                return words
     return words
 
 
+class _Codes(dict):
+    """Codes of words above 0; with ``numbers`` all numbers are one word."""
+
+    def __init__(self, numbers: bool):
+        self.numbers = numbers
+
+    def __missing__(self, word: str) -> int:
+        w = "#" if self.numbers and word.isdigit() else word
+        self[word] = code = minhash.word_codes([w], {})[0]
+        return code
+
+
 def _code(words: list[str]) -> int:
     return xxhash.xxh64_intdigest(" ".join(words).encode("utf-8", "surrogatepass")) - (1 << 63)
 
@@ -221,7 +236,7 @@ class _Openings:
         if text not in self.memo:
             if len(self.memo) > 20_000:
                 self.memo.clear()
-            words = opening(_text.fold(_text.plain(text)))
+            words = opening(_text.plain(text))
             self.memo[text] = _code(words) if words else None
         return self.memo[text]
 
@@ -245,7 +260,7 @@ def row_checks(samples: DataFrame, field: language.Field, endings: Endings, id_c
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tagger, model = language.worker_tagger(field_key, shared), ends.value
         given: set[int] = set()
-        known: dict[str, int] = {}
+        said_codes, asked_codes = _Codes(numbers=True), _Codes(numbers=False)
         opened = _Openings()
         kept: dict[int, list[tuple[frozenset, frozenset]]] = {}
         for whole in batches:
@@ -262,9 +277,10 @@ def row_checks(samples: DataFrame, field: language.Field, endings: Endings, id_c
                     take.append(i)
                     pairs.append((last or "", prompt or ""))
                     earlier.append(turns[:-1])
-                memo = tagger.tag([t for p in pairs for t in p if t])
-                if len(known) > 500_000:
-                    known.clear()
+                memo = tagger.tag([t for p in pairs for t in p if t], sentences=False)
+                for codes in (said_codes, asked_codes):
+                    if len(codes) > 250_000:
+                        codes.clear()
                 out: list[tuple] = []
                 spoken: list[list[int]] = []
                 asked_for: list[list[int]] = []
@@ -272,8 +288,7 @@ def row_checks(samples: DataFrame, field: language.Field, endings: Endings, id_c
                 for (last, prompt), turns in zip(pairs, earlier):
                     found = []
                     flat = _text.plain(last)
-                    folded = _text.fold(flat)
-                    said = _text.words(folded)
+                    said = _text.words(_text.fold(flat))
                     asked = _text.words(_text.fold(_text.plain(prompt)))
                     if not said:
                         found.append("empty")
@@ -286,16 +301,16 @@ def row_checks(samples: DataFrame, field: language.Field, endings: Endings, id_c
                             mine, theirs = memo[last][0], memo[prompt][0]
                             if mine.sum() and theirs.sum() and mine.argmax() != theirs.argmax():
                                 found.append("other_language")
-                    words = opening(folded)
+                    words = opening(flat)
                     code = text = None
                     if words and "copy" not in found and not ("truncated" in found and len(words) == len(said)):
                         code = _code(words)
                         if code not in given:
                             given.add(code)
                             text = " ".join(words)
-                    spoken.append(minhash.word_codes(["#" if w.isdigit() else w for w in said], known))
-                    asked_for.append(minhash.word_codes(asked, known))
-                    opening_words.append(minhash.word_codes(words, known) if text is not None else [])
+                    spoken.append(list(map(said_codes.__getitem__, said)))
+                    asked_for.append(list(map(asked_codes.__getitem__, asked)))
+                    opening_words.append(list(map(said_codes.__getitem__, words)) if text is not None else [])
                     own = other = 0
                     if prompt:
                         # an unrelated prompt is one whose sample shares no message with this one

@@ -159,12 +159,22 @@ def test_batches_are_counted_whole(monkeypatch):
                 for context in endings._contexts(clause):
                     endings.counts.setdefault(context, [0, 0])[end] += 1
     asked = rng.sample(list(endings.counts), len(endings.counts) // 2)
-    flat, many = fitting._flat(flat, size, messages[0])
+    flat, many = _text.listed(flat, size, messages[0])
     got = fitting._Asked(asked, known).count(names, flat, fitting._sums(many, messages[1]), np.bincount(held[0], minlength=len(texts)))
     assert dict(zip(asked, got.tolist())) == {c: endings.counts[c] for c in asked}
     assert fitting._Asked([], known).count(names, flat, fitting._sums(many, messages[1]), np.ones(len(texts))).shape == (0, 2)
 
 
+def test_openings_fold_no_more_than_they_need(monkeypatch):
+    folded, fold = [], _text.fold
+    monkeypatch.setattr(_text, "fold", lambda t: folded.append(t) or fold(t))
+    words = "ja gut ich mochte heute noch # dinge sagen".split()
+    assert pairing._Openings()("Ja, gut. " + "Ich möchte heute noch 3 Dinge sagen. " * 50) == pairing._code(words)
+    assert sum(map(len, folded)) < 60
+    # a mark behind the stop is folded away, so the sentence ends there
+    assert pairing._Openings()("Ich möchte heute noch etwas.\u0323 Ja.") == pairing._code("ich mochte heute noch etwas".split())
+
+
 def test_copies():
     prompt = "ich habe den zug nach bern verpasst und im park geweint danach ging ich ohne mantel nach hause".split()
     assert pairing.copies(prompt + ["ja"], prompt)
