@@ -49,22 +49,27 @@ def bare(word: str) -> str:
     return word if word.isascii() else _text.MARKS.sub("", unicodedata.normalize("NFKD", word))
 
 
-def features(word: str, lexicon: dict[str, int]) -> list[int]:
-    """Hashed features of a word: itself, affixes, character n-grams, script and lexicon entry."""
+@lru_cache(1 << 17)
+def _own_features(word: str) -> tuple[str, list[int]]:
+    """The form of a word that the lexicon holds, and its features but for the lexicon's, script first."""
     low = word.lower()
     if low.isdigit():
-        return [_hash("digit")]
-    found = ["s=" + ("ar" if _ARABIC.search(low) else "lat" if low.isascii() else "acc")]
+        return "", [_hash("digit")]
+    script = "s=" + ("ar" if _ARABIC.search(low) else "lat" if low.isascii() else "acc")
     low = bare(low)
-    entry = lexicon.get(low)
-    if entry is not None:
-        found.append(f"x={entry}")
-    found.append("w=" + low)
+    padded = f"^{low}$"
+    found = [script, "w=" + low]
     found += [f"p{n}=" + low[:n] for n in (1, 2, 3) if len(low) >= n]
     found += [f"e{n}=" + low[-n:] for n in (1, 2, 3, 4) if len(low) >= n]
-    padded = f"^{low}$"
     found += ["g=" + padded[i : i + 3] for i in range(len(padded) - 2)]
-    return [_hash(f) for f in found]
+    return low, list(map(_hash, found))
+
+
+def features(word: str, lexicon: dict[str, int]) -> list[int]:
+    """Hashed features of a word: itself, affixes, character n-grams, script and lexicon entry."""
+    form, found = _own_features(word)
+    entry = lexicon.get(form) if form else None
+    return found if entry is None else [found[0], _hash(f"x={entry}"), *found[1:]]
 
 
 class Field:
@@ -225,18 +230,21 @@ def _word_scores(field: Field, owner: np.ndarray, feat: np.ndarray, n: int) -> n
     return np.stack([np.bincount(owner, field.weights[feat, k], n) for k in range(len(LANGS))], axis=1).astype(np.float32)
 
 
-def _step(field: Field, packed: list, owner, feat, n_words: int, total: int, state, table: np.ndarray | None = None):
-    """One full-batch Adam step on the conditional log-likelihood of the labelled positions. ``table``: the words' scores."""
+def _step(field: Field, packed: list, owner, feat, n_words: int, total: int, state, table: np.ndarray | None = None, own: bool = False):
+    """One full-batch Adam step on the conditional log-likelihood of the labelled positions. ``table``: the words' scores.
+    With ``own`` the field labels the sentences itself (see ``_relabel``)."""
     width = len(LANGS)
     table = _word_scores(field, owner, feat, n_words) if table is None else table
     by_word = np.zeros((n_words, width))
     inner, border, start = np.zeros((width, width)), np.zeros((width, width)), np.zeros(width)
     for ids, edges, lengths, gold in packed:
-        pick = (gold[:, 0] >= 0) & (lengths > 0)
+        pick = (lengths > 0) if own else (gold[:, 0] >= 0) & (lengths > 0)
         if not pick.any():
             continue
         ids, edges, lengths, gold = ids[pick], edges[pick], lengths[pick], gold[pick]
         post, counts, _ = forward_backward(field, table[ids], edges, lengths, pairs=True)
+        if own:
+            gold = _labels(post, edges, lengths)
         live = np.arange(ids.shape[1])[None] < lengths[:, None]
         flat, truth = ids[live], np.maximum(gold[live], 0)
         diff = -post[live]
@@ -264,13 +272,16 @@ def _step(field: Field, packed: list, owner, feat, n_words: int, total: int, sta
 def _relabel(field: Field, table: np.ndarray, packed: list) -> np.ndarray:
     """Labels of the field itself, one for all words of a sentence, by its mean posterior; ``table``: the words' scores."""
     ids, edges, lengths, _ = packed
-    post = forward_backward(field, table[ids], edges, lengths)
-    live = np.arange(ids.shape[1])[None] < lengths[:, None]
+    return _labels(forward_backward(field, table[ids], edges, lengths), edges, lengths)
+
+
+def _labels(post: np.ndarray, edges: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    live = np.arange(edges.shape[1])[None] < lengths[:, None]
     first = edges.copy()
     first[:, 0] = True
     sentence = np.cumsum(first.ravel()) - 1
     sums = np.stack([np.bincount(sentence, post[:, :, k].ravel(), sentence[-1] + 1) for k in range(len(LANGS))], axis=1)
-    return np.where(live, sums.argmax(axis=1)[sentence].reshape(ids.shape), -1)
+    return np.where(live, sums.argmax(axis=1)[sentence].reshape(edges.shape), -1)
 
 
 class Tagger:
@@ -291,6 +302,32 @@ class Tagger:
         self.table[base : base + len(new)] = self.field.emissions(new)
         self.ids.update((w, base + i) for i, w in enumerate(new))
 
+    def counts(self, names: list[str], words: np.ndarray, head: np.ndarray, length: np.ndarray) -> np.ndarray:
+        """Words per language of messages of ``length`` words, numbers of ``names``; ``head`` is set at a sentence's first."""
+        if len(self.ids) + len(names) > 600_000:
+            self.ids.clear()
+        new = [w for w in names if w not in self.ids]
+        if new:
+            self._score(new)
+        words = np.fromiter(map(self.ids.__getitem__, names), np.int64, len(names))[words]
+        width = len(LANGS)
+        out = np.zeros((len(length), width), np.int64)
+        for group, lengths, flat in self._posteriors(words, head, length):
+            row = np.repeat(np.arange(len(group)), lengths)
+            out[group] = np.bincount(row * width + flat.argmax(axis=1), minlength=len(group) * width).reshape(-1, width)
+        return out
+
+    def _posteriors(self, words: np.ndarray, head: np.ndarray, length: np.ndarray) -> Iterator[tuple[list[int], np.ndarray, np.ndarray]]:
+        """Messages in groups: their numbers, lengths, and the posteriors of their words one after another."""
+        begin = np.cumsum(length) - length
+        for group in _blocks(np.argsort(length, kind="stable").tolist(), length.tolist()):
+            lengths = length[group]
+            place = np.arange(max(1, lengths.max()))
+            live = place < lengths[:, None]
+            at = np.where(live, begin[group][:, None] + place, 0)
+            ids, border = (words[at], head[at] & live) if len(words) else (at, live)
+            yield group, lengths, forward_backward(self.field, self.table[ids], border, lengths)[live]
+
     def tag(self, texts: list[str], sentences: bool = True) -> dict[str, tuple]:
         """For each distinct text ``(words per language, confidence per language, sentences)`` where sentences are
         ``(start, end, n_words, posteriors)`` with offsets in the plain text. Results of earlier calls are reused, so a
@@ -331,15 +368,7 @@ class Tagger:
         head = np.zeros(len(words), bool)
         head[np.cumsum(many) - many] = True
         length = np.fromiter((sum(n for _, _, n in own) for own in spans), np.int64, len(spans))
-        begin = np.cumsum(length) - length
-        for group in _blocks(np.argsort(length, kind="stable").tolist(), length.tolist()):
-            lengths = length[group]
-            place = np.arange(max(1, lengths.max()))
-            live = place < lengths[:, None]
-            at = np.where(live, begin[group][:, None] + place, 0)
-            ids, border = (words[at], head[at] & live) if len(words) else (at, live)
-            post = forward_backward(self.field, self.table[ids], border, lengths)
-            flat = post[live]
+        for group, lengths, flat in self._posteriors(words, head, length):
             best = flat.argmax(axis=1)
             row = np.repeat(np.arange(len(group)), lengths)
             n_words = np.bincount(row * width + best, minlength=len(group) * width).reshape(-1, width)

@@ -49,13 +49,18 @@ def shingles(codes: np.ndarray) -> np.ndarray:
 def shingle_lists(texts: list[list[int]]) -> list[np.ndarray]:
     """``shingles`` of many texts at once."""
     size = np.fromiter(map(len, texts), np.int64, len(texts))
-    wide = np.fromiter(chain.from_iterable(texts), np.uint64, int(size.sum()))
+    return shingle_runs(np.fromiter(chain.from_iterable(texts), np.uint64, int(size.sum())), size)
+
+
+def shingle_runs(codes: np.ndarray, size: np.ndarray) -> list[np.ndarray]:
+    """``shingles`` of texts of ``size`` words that stand one after another."""
+    wide = codes.astype(np.uint64)
     out = np.full(max(0, len(wide) - SHINGLE + 1), SHINGLE, np.uint64)
     for k in range(SHINGLE):
         out = (out ^ wide[k : k + len(out)]) * np.uint64(0x9E3779B97F4A7C15)
         out ^= out >> np.uint64(29)
     found, ends = out.view(np.int64), np.cumsum(size)
-    return [found[e - n : e - SHINGLE + 1] if n >= SHINGLE else shingles(np.array(t)) for t, n, e in zip(texts, size.tolist(), ends.tolist())]
+    return [found[e - n : e - SHINGLE + 1] if n >= SHINGLE else shingles(wide[e - n : e]) for n, e in zip(size.tolist(), ends.tolist())]
 
 
 def similar(a: Column, b: Column) -> Column:

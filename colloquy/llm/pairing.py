@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from colloquy.llm import _text, graph, language, minhash, overlap
+from colloquy.llm import _text, graph, language, minhash, overlap, reading
 from colloquy.session import fixed
 
 #: A response copies its prompt if this share of its word trigrams stands in the prompt.
@@ -51,6 +51,8 @@ HELD = 0.8
 TOPICAL_LETTERS = 4
 #: Prompts a task keeps per language to compare openings with.
 KEPT_PROMPTS = 8
+#: Rows that are read at once.
+PACK_ROWS = 10_000
 
 _TOKEN = re.compile(r"[^\W\d_][^\W_]*|\d+(?:[:.,]\d+)*|[,،;؛:.!?؟…]")
 _ENDS = frozenset(".!?؟")
@@ -117,7 +119,11 @@ class Endings:
 
     def probability(self, text: str) -> float:
         """Probability that the last word of ``text`` ends a sentence."""
-        clause = [w if w in self.known else "?" for w in last_clause(text)]
+        return self.after(last_clause(text))
+
+    def after(self, words: list[str]) -> float:
+        """Probability that the last one of a clause's folded words ends a sentence."""
+        clause = [w if w in self.known else "?" for w in words]
         if not clause:
             return 0.0
         p, mids, ends = 0.1, 0, 0
@@ -156,6 +162,9 @@ def last_clause(text: str) -> list[str]:
 def open_end(text: str) -> str | bool:
     """Whether a text is unfinished where its marks tell; else the text without marks, whose last words have to tell."""
     t = text.rstrip()
+    # a mark behind a word leaves nothing to ask
+    if t[-1:] in _ENDS and (t[-1] != "." or not (t[-2:-1] in (".", "…") or t[-2:-1].isdigit())):
+        return False
     if _LIST_TAIL.search(t):
         return True
     core = _DECOR.sub("", t)
@@ -166,6 +175,12 @@ def open_end(text: str) -> str | bool:
     return core
 
 
+def open_clause(text: str) -> str | bool:
+    """``open_end`` with the words of the last clause in place of the text, between spaces."""
+    core = open_end(text)
+    return core if isinstance(core, bool) else " ".join(last_clause(core))
+
+
 def unfinished(text: str, endings: Endings) -> bool:
     """Whether a response breaks off before its sentence or list is complete. ``text`` is plain (see ``_text.plain``)."""
     core = open_end(text)
@@ -241,7 +256,7 @@ class _Openings:
         return self.memo[text]
 
 
-def row_checks(samples: DataFrame, field: language.Field, endings: Endings, id_col: str = "sample_id", text_col: str = "messages") -> DataFrame:
+def row_checks(samples: DataFrame, field: language.Field, endings: Endings, id_col: str = "sample_id", text_col: str = "messages", packs: DataFrame | None = None) -> DataFrame:
     """One row per sample, by a narrow map: ``id_col``; ``defects`` (all but refusals); ``code`` of the response's opening
     and, where the task has not given them out before, ``opening`` and its ``shingles``; ``held``, the shingles of the
     response; ``prompt``, a MinHash value of the prompt, equal for near copies; ``own`` and ``other``, how many topical
@@ -251,91 +266,135 @@ def row_checks(samples: DataFrame, field: language.Field, endings: Endings, id_c
     Rows with null or unreadable messages are left out. A list without any message, or one that ends with a client,
     counts as an empty response. Where the last client message has no content, nothing is compared with it. Responses
     that are copies, and openings that are broken off, have no ``code``. A response of one or two words states no
-    language.
+    language. ``packs`` are the messages of ``samples`` as read by ``fitting.fit_pairs``; with them no text is read again.
     """
     field_key, shared = uuid.uuid4().hex, samples.sparkSession.sparkContext.broadcast(field)
     ends = samples.sparkSession.sparkContext.broadcast(endings)
-    kind = dict(samples.dtypes)[id_col]
+    kind, packed = dict(samples.dtypes)[id_col], packs is not None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tagger, model = language.worker_tagger(field_key, shared), ends.value
-        given: set[int] = set()
-        said_codes, asked_codes = _Codes(numbers=True), _Codes(numbers=False)
-        opened = _Openings()
-        kept: dict[int, list[tuple[frozenset, frozenset]]] = {}
-        for whole in batches:
-            for at in range(0, whole.num_rows, 2000):
-                batch = whole.slice(at, 2000)
-                take, pairs, earlier = [], [], []
-                for i, raw in enumerate(batch.column(1).to_pylist()):
-                    turns = _text.turns_of(raw)
-                    if turns is None:
-                        continue
-                    turns = [t for t in turns if t[0] != "system"]
-                    last = turns[-1][1] if turns and turns[-1][0] != "client" else None
-                    prompt = next((t for role, t in reversed(turns[:-1]) if role == "client"), None) if turns else None
-                    take.append(i)
-                    pairs.append((last or "", prompt or ""))
-                    earlier.append(turns[:-1])
-                memo = tagger.tag([t for p in pairs for t in p if t], sentences=False)
-                for codes in (said_codes, asked_codes):
-                    if len(codes) > 250_000:
-                        codes.clear()
-                out: list[tuple] = []
-                spoken: list[list[int]] = []
-                asked_for: list[list[int]] = []
-                opening_words: list[list[int]] = []
-                for (last, prompt), turns in zip(pairs, earlier):
-                    found = []
-                    flat = _text.plain(last)
-                    said = _text.words(_text.fold(flat))
-                    asked = _text.words(_text.fold(_text.plain(prompt)))
-                    if not said:
-                        found.append("empty")
-                    else:
-                        if unfinished(flat, model):
-                            found.append("truncated")
-                        if copies(said, asked):
-                            found.append("copy")
-                        if prompt and len(said) >= OTHER_WORDS:
-                            mine, theirs = memo[last][0], memo[prompt][0]
-                            if mine.sum() and theirs.sum() and mine.argmax() != theirs.argmax():
-                                found.append("other_language")
-                    words = opening(flat)
-                    code = text = None
-                    if words and "copy" not in found and not ("truncated" in found and len(words) == len(said)):
-                        code = _code(words)
-                        if code not in given:
-                            given.add(code)
-                            text = " ".join(words)
-                    spoken.append(list(map(said_codes.__getitem__, said)))
-                    asked_for.append(list(map(asked_codes.__getitem__, asked)))
-                    opening_words.append(list(map(said_codes.__getitem__, words)) if text is not None else [])
-                    own = other = 0
-                    if prompt:
-                        # an unrelated prompt is one whose sample shares no message with this one
-                        dialogue, topics = frozenset(hash(t) for _, t in turns if t), frozenset(asked)
-                        ring = kept.setdefault(int(memo[prompt][0].argmax()), [])
-                        about = {w for w in words if len(w) >= TOPICAL_LETTERS} if code is not None else None
-                        unrelated = next((ws for ds, ws in ring if not ds & dialogue), None) if about else None
-                        if unrelated is not None:
-                            own, other = len(about & topics), len(about & unrelated)
-                        if not ring or ring[-1][0].isdisjoint(dialogue):
-                            ring.append((dialogue, topics))
-                            del ring[:-KEPT_PROMPTS]
-                    history = [c for role, t in turns if role == "therapist" and t and (c := opened(t)) is not None]
-                    out.append((found, code, text, own, other, history))
-                found, codes, texts, own, other, history = list(zip(*out)) if out else [()] * 6
-                held, parts = ([list(dict.fromkeys(x.tolist())) for x in minhash.shingle_lists(lists)] for lists in (spoken, opening_words))
-                parts = [x if t is not None else None for x, t in zip(parts, texts)]
-                sketches = [int(x.min()) if len(x) else 0 for x in minhash.shingle_lists(asked_for)]
-                columns = (found, codes, texts, parts, held, sketches, own, other, history)
-                index, many = pa.array(take, pa.int32()), pa.list_(pa.int64())
-                types = (pa.list_(pa.string()), pa.int64(), pa.string(), many, many, pa.int64(), pa.int32(), pa.int32(), many)
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(index), *(pa.array(c, t) for c, t in zip(columns, types))], names=[id_col, *CHECKED])
+        check = _Checks(language.worker_tagger(field_key, shared), ends.value)
+        for batch in batches:
+            if packed:
+                found = (reading.Pack.loads(x.as_py()) for x in batch.column(0))
+            else:
+                found = (reading.read(turns_without_system(part.column(1)), part.column(0), open_clause) for part in (batch.slice(at, PACK_ROWS) for at in range(0, batch.num_rows, PACK_ROWS)))
+            for pack in found:
+                columns = zip(*check(pack)) if len(pack.rows["row"]) else [()] * len(types)
+                yield pa.RecordBatch.from_arrays([pack.rows["id"], *(pa.array(c, t) for c, t in zip(columns, types))], names=[id_col, *CHECKED])
 
+    many = pa.list_(pa.int64())
+    types = (pa.list_(pa.string()), pa.int64(), pa.string(), many, many, pa.int64(), pa.int32(), pa.int32(), many)
     schema = "defects array<string>, code bigint, opening string, shingles array<bigint>, held array<bigint>, prompt bigint, own int, other int, history array<bigint>"
-    return samples.select(id_col, F.col(text_col).cast("string").alias("_text")).mapInArrow(run, f"`{id_col}` {kind}, {schema}")
+    texts = packs.select("pack") if packed else samples.select(id_col, F.col(text_col).cast("string").alias("_text"))
+    return texts.mapInArrow(run, f"`{id_col}` {kind}, {schema}")
+
+
+def turns_without_system(texts: pa.Array) -> Iterator[list[tuple[str, str | None]] | None]:
+    """The turns of each text but system messages; None if it is unreadable."""
+    for raw in texts.to_pylist():
+        turns = _text.turns_of(raw)
+        yield [t for t in turns if t[0] != "system"] if turns is not None else None
+
+
+class _Checks:
+    """The row checks of a task, pack by pack."""
+
+    def __init__(self, tagger: language.Tagger, endings: Endings):
+        self.tagger, self.endings = tagger, endings
+        self.given: set[int] = set()
+        self.said_codes, self.asked_codes = _Codes(numbers=True), _Codes(numbers=False)
+        self.kept: dict[int, list[tuple[frozenset, frozenset]]] = {}
+
+    def _languages(self, pack: reading.Pack, take: np.ndarray) -> np.ndarray:
+        """Language of most words of the messages ``take``; -1 where they have none. Other messages get -2."""
+        names, flat, size = pack.stream(reading.lower_words)
+        held, parts = _text.listed(pack.sentences, pack.parts, take)
+        flat, many = _text.listed(flat, size, held)
+        edge = np.zeros(len(flat), bool)
+        edge[(np.cumsum(many) - many)[many > 0]] = True
+        n_words = self.tagger.counts(names, flat, edge, reading.sums(many, parts))
+        out = np.full(len(pack.parts), -2)
+        out[take] = np.where(n_words.any(axis=1), n_words.argmax(axis=1), -1)
+        return out
+
+    def _openings(self, pack: reading.Pack, names: list[str], flat: list[int], begin: np.ndarray, many: np.ndarray, take: list[int]) -> dict[int, list[str]]:
+        """``opening`` of the messages ``take``, of ``many`` folded words in each sentence."""
+        owner = np.repeat(np.arange(len(pack.parts)), pack.parts)
+        upto = np.cumsum(many) - begin[owner]
+        width = reading.sums(many, pack.parts)
+        np.minimum.at(width, owner, np.where(upto >= minhash.SHINGLE, upto, len(flat)))
+        word = ["#" if w.isdigit() else w for w in names]
+        found = {m: [word[i] for i in flat[a : a + n]] for m, a, n in zip(take, begin[take].tolist(), width[take].tolist())}
+        found.update((m, opening(text)) for m, text in pack.rows["odd"].items() if m in found)
+        return found
+
+    def __call__(self, pack: reading.Pack) -> Iterator[tuple]:
+        names, flat, size = pack.stream(reading.folded_words)
+        flat, many = _text.listed(flat, size, pack.sentences)
+        length = reading.sums(many, pack.parts)
+        begin = np.cumsum(length) - length
+        rows = pack.rows
+        lasts, prompts = (np.unique(x[x >= 0]) for x in (rows["last"], rows["prompt"]))
+        spoken = rows["spoken"]
+        lang = self._languages(pack, np.union1d(lasts, prompts)).tolist()
+        for codes in (self.said_codes, self.asked_codes):
+            if len(codes) > 250_000:
+                codes.clear()
+        said_of, asked_of = (np.fromiter(map(codes.__getitem__, names), np.int64, len(names)) for codes in (self.said_codes, self.asked_codes))
+        held_of, sketch_of = ({m: x for m, x in zip(take.tolist(), minhash.shingle_runs(*_text.listed(of[flat], length, take)))} for of, take in ((said_of, lasts), (asked_of, prompts)))
+        held_of = {m: list(dict.fromkeys(x.tolist())) for m, x in held_of.items()}
+        sketch_of = {m: int(x.min()) if len(x) else 0 for m, x in sketch_of.items()}
+        flat = flat.tolist()
+        opened = self._openings(pack, names, flat, begin, many, np.union1d(lasts, pack.own[spoken]).tolist())
+        code_of = {m: _code(words) if words else None for m, words in opened.items()}
+        message = [flat[a : a + n] for a, n in zip(begin.tolist(), length.tolist())]
+        begun = [list(map(self.said_codes.__getitem__, opened[m])) for m in lasts.tolist()]
+        parts_of = dict(zip(lasts.tolist(), minhash.shingle_lists(begun)))
+        ends = np.cumsum(pack.held)[rows["row"]]
+        starts = ends - pack.held[rows["row"]]
+        unfinished_of = [False, True, *(self.endings.after(c.split()) < END_PROBABILITY for c in rows["clauses"])]
+        own_of, spoken, hashes = pack.own.tolist(), spoken.tolist(), rows["hash"].tolist()
+        columns = (rows["last"], rows["prompt"], rows["state"], starts, ends - rows["cut"])
+        for last, prompt, state, start, end in zip(*(x.tolist() for x in columns)):
+            found = []
+            said = message[last] if last >= 0 else []
+            asked = message[prompt] if prompt >= 0 else []
+            if not said:
+                found.append("empty")
+            else:
+                if unfinished_of[state]:
+                    found.append("truncated")
+                if copies(said, asked):
+                    found.append("copy")
+                if prompt >= 0 and len(said) >= OTHER_WORDS and lang[last] != lang[prompt] and min(lang[last], lang[prompt]) >= 0:
+                    found.append("other_language")
+            words = opened[last] if last >= 0 else []
+            code = text = parts = None
+            if words and "copy" not in found and not ("truncated" in found and len(words) == len(said)):
+                code = code_of[last]
+                if code not in self.given:
+                    self.given.add(code)
+                    text = " ".join(words)
+                    parts = list(dict.fromkeys(parts_of[last].tolist()))
+            earlier = own_of[start:end]
+            own = other = 0
+            if prompt >= 0:
+                # an unrelated prompt is one whose sample shares no message with this one
+                dialogue = frozenset(map(hashes.__getitem__, earlier))
+                ring = self.kept.setdefault(max(lang[prompt], 0), [])
+                about = {w for w in words if len(w) >= TOPICAL_LETTERS} if code is not None else None
+                unrelated = next((ws for ds, ws in ring if ds.isdisjoint(dialogue)), None) if about else None
+                fresh = not ring or ring[-1][0].isdisjoint(dialogue)
+                if unrelated is not None or fresh:
+                    topics = frozenset(map(names.__getitem__, asked))
+                    if unrelated is not None:
+                        own, other = len(about & topics), len(about & unrelated)
+                    if fresh:
+                        ring.append((dialogue, topics))
+                        del ring[:-KEPT_PROMPTS]
+            history = [c for m, by in zip(earlier, spoken[start:end]) if by and (c := code_of[m]) is not None]
+            yield found, code, text, parts, held_of.get(last, ()), sketch_of.get(prompt, 0), own, other, history
 
 
 CHECKED = ("defects", "code", "opening", "shingles", "held", "prompt", "own", "other", "history")
@@ -404,9 +463,8 @@ def pair_defects(samples: DataFrame, alias: DataFrame, glossary: DataFrame | Non
     if models is None:
         from colloquy.llm import fitting
 
-        models = fitting.fit_corpus(samples, alias, glossary, text_col)
-    field, endings = models
-    checked = row_checks(samples, field, endings, id_col, text_col)
+        models = fitting.fit_pairs(samples, alias, glossary, id_col, text_col)
+    checked = row_checks(samples, *models[:2], id_col, text_col, *models[2:])
     checked = keep(checked) if keep else checked
     direct = checked.select(id_col, F.explode("defects").alias("defect"))
     clusters = opening_clusters(checked, keep)

@@ -5,9 +5,10 @@ import json
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
-from colloquy.llm import _text, fitting, language, minhash, pairing
+from colloquy.llm import _text, fitting, language, minhash, pairing, reading
 
 SENTENCES = {
     "en": ["I could not sleep last night because of the noise.", "My brother thinks that this is the best way to go.", "What would you like to talk about with her today?", "We went to the market and then we came back home."],
@@ -136,6 +137,47 @@ def test_fit_reads_its_rows_once(spark):
     assert read.value == len(rows)
 
 
+def test_pair_defects_read_their_rows_once(spark):
+    ask = [{"role": "user", "content": SENTENCES["de"][0]}]
+    rows = [(i, "de", json.dumps([*ask, {"role": "assistant", "content": s}])) for i, s in enumerate([*SENTENCES["de"], SENTENCES["de"][0], "", SENTENCES["fr"][3]] * 20)]
+    read = spark.sparkContext.accumulator(0)
+
+    def passed(batches):
+        for batch in batches:
+            read.add(batch.num_rows)
+            yield batch
+
+    schema = "sample_id long, lang string, messages string"
+    df, alias = spark.createDataFrame(rows, schema).mapInArrow(passed, schema), spark.createDataFrame([(k, k) for k in SENTENCES], "alias string, lang string")
+    got = pairing.pair_defects(df, alias)
+    assert {(r["sample_id"], r["defect"]) for r in got.where("defect in ('copy', 'empty')").collect()} == {(i, "copy" if i % 7 in (0, 4) else "empty") for i in range(140) if i % 7 in (0, 4, 5)}
+    assert read.value == len(rows)
+
+
+def test_pieces_give_the_words_of_texts():
+    rng = random.Random(7)
+    parts = ["Ja", "ŒUVRE", "naïve", "3", "12", "a1", "1b", "٣", "ΟΔΟΣ", "شكرًا", "_", "e\u0301", "\u0323", "æ", "ß", "ue", ".", ".", ":", ",", "!", "؟", "…", "...", " ", " ", " ", "\n", "'", "’", "Client: ", "-"]
+    texts = list(dict.fromkeys("".join(rng.choices(parts, k=rng.randrange(1, 25))) for _ in range(3000)))
+    pack = reading.read([[("client", None), ("therapist", t)] for t in texts], pa.array(range(len(texts))), pairing.open_clause)
+    pack = reading.Pack.loads(pack.dumps())
+    spans = [[p[a:b] for a, b in _text.sentences(p)] for p in map(_text.plain, texts)]
+    assert pack.parts.tolist() == list(map(len, spans))
+
+    def per_text(split):
+        names, flat, size = pack.stream(split)
+        flat, many = _text.listed(flat, size, pack.sentences)
+        return [[names[i] for i in x] for x in np.split(flat, np.cumsum(fitting._sums(many, pack.parts))[:-1])]
+
+    assert per_text(reading.lower_words) == [[w.lower() for s in ss for w in _text.words(s)] for ss in spans]
+    assert per_text(reading.folded_words) == [_text.words(_text.fold(_text.plain(t))) for t in texts]
+    assert per_text(fitting.folded_tokens) == [[w for s in ss for w in pairing._fold_tokens(s)] for ss in spans]
+    names, flat, size = pack.stream(reading.folded_words)
+    flat, many = _text.listed(flat, size, pack.sentences)
+    length = reading.sums(many, pack.parts)
+    opened = pairing._Checks(None, None)._openings(pack, names, flat.tolist(), np.cumsum(length) - length, many, list(range(len(texts))))
+    assert [opened[m] for m in range(len(texts))] == [pairing.opening(_text.plain(t)) for t in texts]
+
+
 def test_batches_are_counted_whole(monkeypatch):
     monkeypatch.setattr(fitting, "PLACES", 7)
     rng = random.Random(5)
