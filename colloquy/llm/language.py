@@ -50,11 +50,11 @@ def bare(word: str) -> str:
 
 
 @lru_cache(1 << 17)
-def _own_features(word: str) -> tuple[str, list[int]]:
+def _own_features(word: str) -> tuple[str, tuple[int, ...]]:
     """The form of a word that the lexicon holds, and its features but for the lexicon's, script first."""
     low = word.lower()
     if low.isdigit():
-        return "", [_hash("digit")]
+        return "", (_hash("digit"),)
     script = "s=" + ("ar" if _ARABIC.search(low) else "lat" if low.isascii() else "acc")
     low = bare(low)
     padded = f"^{low}$"
@@ -62,14 +62,14 @@ def _own_features(word: str) -> tuple[str, list[int]]:
     found += [f"p{n}=" + low[:n] for n in (1, 2, 3) if len(low) >= n]
     found += [f"e{n}=" + low[-n:] for n in (1, 2, 3, 4) if len(low) >= n]
     found += ["g=" + padded[i : i + 3] for i in range(len(padded) - 2)]
-    return low, list(map(_hash, found))
+    return low, tuple(map(_hash, found))
 
 
-def features(word: str, lexicon: dict[str, int]) -> list[int]:
+def features(word: str, lexicon: dict[str, int]) -> tuple[int, ...]:
     """Hashed features of a word: itself, affixes, character n-grams, script and lexicon entry."""
     form, found = _own_features(word)
     entry = lexicon.get(form) if form else None
-    return found if entry is None else [found[0], _hash(f"x={entry}"), *found[1:]]
+    return found if entry is None else (found[0], _hash(f"x={entry}"), *found[1:])
 
 
 class Field:

@@ -20,6 +20,8 @@ from colloquy.llm import _text
 
 _M = _text.MARKS.pattern[1:-2]
 _PIECE = re.compile(rf"[\w{_M}]+(?:(?<=\d)[:.,](?=\d)[\w{_M}]+)*|[,،;؛:.!?؟…]")
+#: The same for ASCII.
+_ASCII_PIECE = re.compile(r"[0-9A-Za-z_]+(?:(?<=[0-9])[:.,](?=[0-9])[0-9A-Za-z_]+)*|[,;:.!?]")
 #: The texts of ``_text.each_sentence``, and empty ones.
 _SENTENCES = re.compile(r"[^.!?؟\n]*(?:[.!?؟](?!\s)[^.!?؟\n]*)*[.!?؟]?")
 #: Where folding depends on more than a piece: marks beside a number's or a sentence's stop, a sigma. Such a sentence is one
@@ -29,13 +31,13 @@ _WHOLE = re.compile(rf"\d[{_M}]+[:.,]|[:.,!?؟][{_M}]|Σ")
 
 
 @lru_cache(1 << 17)
-def lower_words(piece: str) -> list[str]:
-    return [w.lower() for w in _text.words(piece)]
+def lower_words(piece: str) -> tuple[str, ...]:
+    return tuple(w.lower() for w in _text.words(piece))
 
 
 @lru_cache(1 << 17)
-def folded_words(piece: str) -> list[str]:
-    return _text.words(_text.fold(piece))
+def folded_words(piece: str) -> tuple[str, ...]:
+    return tuple(_text.words(_text.fold(piece)))
 
 
 def small(numbers: np.ndarray) -> np.ndarray:
@@ -61,7 +63,7 @@ class Pack:
     def __init__(self, pieces: list[str], flat: np.ndarray, size: np.ndarray, sentences: np.ndarray, parts: np.ndarray, own: np.ndarray, held: np.ndarray, rows: dict | None = None):
         self.pieces, self.flat, self.size, self.sentences, self.parts, self.own, self.held, self.rows = pieces, flat, size, sentences, parts, own, held, rows
 
-    def stream(self, split: Callable[[str], list[str]]) -> tuple[list[str], np.ndarray, np.ndarray]:
+    def stream(self, split: Callable[[str], tuple[str, ...]]) -> tuple[list[str], np.ndarray, np.ndarray]:
         """What ``split`` makes of the pieces: its words, their numbers over all sentences, and the sentences' sizes."""
         numbers = _Numbers()
         lists = list(map(split, self.pieces))
@@ -120,7 +122,7 @@ def read(rows: Iterable[list[tuple[str, str | None]] | None], ids: pa.Array | No
             open_to = ending(_text.plain(turns[-1][1]))
             states[last] = int(open_to) if isinstance(open_to, bool) else 2 + clauses[open_to]
         checked.append((place, last, messages[prompt] if prompt else -1, cut, states.get(last, 0)))
-    lists = list(map(_PIECE.findall, sentences))
+    lists = [(_ASCII_PIECE if s.isascii() else _PIECE).findall(s) for s in sentences]
     flat, size = _numbered(lists, pieces)
     marked = np.fromiter((not p.isascii() and _MARKED.search(p) is not None for p in pieces), bool, len(pieces))
     whole = np.zeros(len(lists), bool)
